@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from draftlake.functions import text as tx
 
 
+def _fenced(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column through a one-element explode.
+
+    The optimizer copies projected expressions into every later filter and
+    projection that mentions them; it does not look inside a generator, so an
+    expensive parse behind one runs once per row.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def with_dimension(df: DataFrame, column: str = "text", alias: str = "dimension", when: Column | None = None) -> DataFrame:
-    """Add the parsed dimension struct.
+    """Add the parsed dimension struct (an ``unknown`` reading where ``when`` is false).
 
-    Normalising and rule matching are their own projections, so the ten patterns
+    Normalising and rule matching are separate fenced steps, so the ten patterns
     run once per row and only the winning pattern's groups are extracted.
     """
     source = F.coalesce(F.col(column), F.lit(""))
-    source = source if when is None else F.when(when, source).otherwise("")
-    rule = tx.dimension_rule(F.col("_norm"))
-    return (
-        df.withColumn("_norm", tx.normalize_dim(source))
-        .withColumn("_rule", rule if when is None else F.when(when, rule).otherwise(0))
-        .withColumn(alias, tx.dimension_fields(F.col("_rule"), F.col("_norm"), F.col(column)))
-        .drop("_norm", "_rule")
-    )
+    norm, rule = tx.normalize_dim(source), tx.dimension_rule(F.col("_norm"))
+    if when is not None:
+        norm, rule = F.when(when, norm).otherwise(""), F.when(when, rule).otherwise(0)
+    stepped = _fenced(_fenced(df, "_norm", norm), "_rule", rule)
+    return _fenced(stepped, alias, tx.dimension_fields(F.col("_rule"), F.col("_norm"), F.col(column))).drop("_norm", "_rule")
 
 
 def enrich_ocr(blocks: DataFrame) -> DataFrame:

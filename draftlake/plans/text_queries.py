@@ -179,8 +179,8 @@ def f2(src: Source) -> DataFrame:
 
     register_sql_functions(src.spark)
     return src.spark.sql(
-        "SELECT kind, COUNT(*) AS n, ROUND(SUM(value), 6) AS total FROM "
-        "(SELECT INLINE(ARRAY(parse_dimension(text))) FROM {blocks}) GROUP BY kind",
+        "SELECT d.kind AS kind, COUNT(*) AS n, ROUND(SUM(d.value), 6) AS total FROM "
+        "(SELECT parse_dimension(text) AS d FROM {blocks}) GROUP BY d.kind",
         blocks=src["ocr_blocks"].select("text"),
     )
 
