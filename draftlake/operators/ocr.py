@@ -6,16 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions import text as tx
-
-
-def _fenced(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """Add a column through a one-element explode.
-
-    The optimizer copies projected expressions into every later filter and
-    projection that mentions them; it does not look inside a generator, so an
-    expensive parse behind one runs once per row.
-    """
-    return df.select("*", F.explode(F.array(column)).alias(name))
+from draftlake.operators.fence import fence
 
 
 def with_dimension(df: DataFrame, column: str = "text", alias: str = "dimension", when: Column | None = None) -> DataFrame:
@@ -28,8 +19,9 @@ def with_dimension(df: DataFrame, column: str = "text", alias: str = "dimension"
     norm, rule = tx.normalize_dim(source), tx.dimension_rule(F.col("_norm"))
     if when is not None:
         norm, rule = F.when(when, norm).otherwise(""), F.when(when, rule).otherwise(0)
-    stepped = _fenced(_fenced(df, "_norm", norm), "_rule", rule)
-    return _fenced(stepped, alias, tx.dimension_fields(F.col("_rule"), F.col("_norm"), F.col(column))).drop("_norm", "_rule")
+    stepped = fence(fence(df, {"_norm": norm}), {"_rule": rule})
+    parsed = tx.dimension_fields(F.col("_rule"), F.col("_norm"), F.col(column))
+    return fence(stepped, {alias: parsed}).drop("_norm", "_rule")
 
 
 def enrich_ocr(blocks: DataFrame) -> DataFrame:

@@ -213,6 +213,23 @@ SELECT 'p' || CAST(CAST(FLOOR(l_orderkey / 100) AS BIGINT) AS STRING) AS page_id
        MIN(l_partkey) % 500 + (CASE WHEN l_orderkey % 89 = 0 THEN 480 ELSE CAST(MIN(l_quantity) AS BIGINT) END) AS x1,
        MIN(l_suppkey) % 300 + (CASE WHEN l_orderkey % 89 = 0 THEN 330 ELSE MIN(l_linenumber) * 3 END) AS y1
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
+""",
+    ),
+    "break_centres": (
+        ("orders",),
+        """
+SELECT 'p' || CAST(CAST(FLOOR(b / 5) AS BIGINT) AS STRING) AS page_id, b AS break_id,
+       CAST(lo * 17 % 600 AS DOUBLE) AS x, CAST(hi * 29 % 400 AS DOUBLE) AS y
+FROM (SELECT CAST(FLOOR(o_orderkey / 20) AS BIGINT) AS b, MIN(o_custkey) AS lo, MAX(o_custkey) AS hi
+      FROM {orders} GROUP BY CAST(FLOOR(o_orderkey / 20) AS BIGINT)) t
+""",
+    ),
+    "polyline_sizes": (
+        ("orders",),
+        """
+SELECT 'p' || CAST(CAST(FLOOR(o_orderkey / 100) AS BIGINT) AS STRING) AS page_id, 'k' || CAST(o_orderkey AS STRING) AS id,
+       o_orderkey AS a, o_custkey AS b, CAST(1 + o_custkey % 6 AS INT) AS n, o_custkey % 3 = 0 AS closed
+FROM {orders}
 """,
     ),
     "archive_entries": (
