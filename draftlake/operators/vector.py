@@ -535,7 +535,7 @@ def distinct_segments(segments: DataFrame) -> DataFrame:
     )
 
 
-def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX) -> DataFrame:
+def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX, focus: str | None = None) -> DataFrame:
     """Unordered pairs of segments that could be collinear; a superset of the true pairs.
 
     Two segments can only merge when their midpoints are at most la+lb+gap+4 apart
@@ -544,6 +544,8 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX) ->
     long cells along the line, thin cells across it.  The larger segment looks into
     nine cells of its size class; the smaller one files itself under every size class
     from its own up and under the three nearest directions.
+
+    ``focus`` names a boolean column: only pairs with such a segment are searched.
     """
     usable = fence(
         segments,
@@ -570,7 +572,8 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX) ->
         t = F.col("midy") * F.cos(turn) - F.col("midx") * F.sin(turn)
         return df.withColumns({"cs": F.floor(s / along_cell), "ct": F.floor(t / across_cell)})
 
-    carried = ["page_id", "seg_id", *ENDS, "len", "ang", "cls", "rms_px", "inliers", *([c for c in ["copies"] if c in segments.columns])]
+    extra = [c for c in ("copies", focus) if c in segments.columns]
+    carried = ["page_id", "seg_id", *ENDS, "len", "ang", "cls", "rms_px", "inliers", *extra]
     big = placed(usable.withColumns({"k": F.col("cls"), "d": F.col("dir")}))
     big = spread(big, "cs", "ct").select(
         *[F.col(c).alias(c if c == "page_id" else f"a_{c}") for c in carried], "k", "d", "cs", "ct"
@@ -580,7 +583,14 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX) ->
     small = placed(small).select(
         *[F.col(c).alias(c if c == "page_id" else f"b_{c}") for c in carried], "k", "d", "cs", "ct"
     )
-    pairs = big.join(small, ["page_id", "k", "d", "cs", "ct"]).drop("k", "d", "cs", "ct")
+    where = ["page_id", "k", "d", "cs", "ct"]
+    if focus is None:
+        pairs = big.join(small, where)
+    else:
+        # Focused segments on either side; pairs focused on both sides only once.
+        a_in, b_in = F.col(f"a_{focus}"), F.col(f"b_{focus}")
+        pairs = big.where(a_in).join(small, where).unionByName(big.where(~a_in).join(small.where(b_in), where))
+    pairs = pairs.drop("k", "d", "cs", "ct")
     # Equal classes meet twice, once from each side.
     return pairs.where(
         (F.col("a_seg_id") != F.col("b_seg_id"))
@@ -682,54 +692,62 @@ def merge_collinear(segments: DataFrame) -> DataFrame:
     The merged segment keeps the smaller id and is tested again with its new line.
     """
     columns = ["page_id", "seg_id", *ENDS, "rms_px", "inliers"]
-    current = settle(distinct_segments(segments).select(*columns))
-    while True:
-        pairs = collinear_candidates(current)
-        low_first = pairs.select(
-            *[
-                F.when(F.col("a_seg_id") < F.col("b_seg_id"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}")
-                for c in ["seg_id", *ENDS, "len", "ang", "rms_px", "inliers"]
-            ],
-            *[
-                F.when(F.col("a_seg_id") < F.col("b_seg_id"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}")
-                for c in ["seg_id", *ENDS, "len", "ang", "rms_px", "inliers"]
-            ],
-            "page_id",
-        )
-        inliers = F.col("a_inliers") + F.col("b_inliers")
-        weight = F.col("a_rms_px") ** 2 * F.col("a_inliers") + F.col("b_rms_px") ** 2 * F.col("b_inliers")
-        rank = F.struct(F.xxhash64("a_seg_id", "b_seg_id").alias("h"), F.col("a_seg_id").alias("i"), F.col("b_seg_id").alias("j"))
-        options = settle(
-            _mergeable(low_first).select(
-                "page_id",
-                F.col("a_seg_id").alias("i"),
-                F.col("b_seg_id").alias("j"),
-                rank.alias("rank"),
-                F.struct(
-                    F.col("m_x1").alias("x1"),
-                    F.col("m_y1").alias("y1"),
-                    F.col("m_x2").alias("x2"),
-                    F.col("m_y2").alias("y2"),
-                    F.sqrt(weight / F.greatest(inliers, F.lit(1))).alias("rms_px"),
-                    inliers.alias("inliers"),
-                ).alias("m"),
-            )
-        )
-        if options.isEmpty():
-            return current
+    current = settle(distinct_segments(segments).select(*columns, F.lit(True).alias("fresh")))
+    options = settle(_merge_options(collinear_candidates(current)))
+    while not options.isEmpty():
         touched = options.select("page_id", F.explode(F.array("i", "j")).alias("seg"), "rank")
         best = touched.groupBy("page_id", "seg").agg(F.min("rank").alias("rank"))
         # A pair chosen by both its segments appears twice among the best.
         agreed = best.groupBy("page_id", "rank").agg(F.count("*").alias("votes")).where(F.col("votes") == 2)
-        chosen = options.join(agreed.select("page_id", "rank"), ["page_id", "rank"])
+        chosen = settle(options.join(agreed.select("page_id", "rank"), ["page_id", "rank"]))
         absorbed = chosen.select("page_id", F.col("j").alias("seg_id"))
         grown = chosen.select("page_id", F.col("i").alias("seg_id"), "m")
         kept = current.join(absorbed, ["page_id", "seg_id"], "left_anti").join(grown, ["page_id", "seg_id"], "left")
         current = settle(
             kept.select(
-                "page_id", "seg_id", *[F.coalesce(F.col(f"m.{c}"), F.col(c)).alias(c) for c in [*ENDS, "rms_px", "inliers"]]
+                "page_id",
+                "seg_id",
+                *[F.coalesce(F.col(f"m.{c}"), F.col(c)).alias(c) for c in [*ENDS, "rms_px", "inliers"]],
+                F.col("m").isNotNull().alias("fresh"),
             )
         )
+        # Options between segments that did not change stay valid; only the grown
+        # segments are searched again.
+        changed = chosen.select("page_id", F.explode(F.array("i", "j")).alias("seg"))
+        old = options
+        for side in ("i", "j"):
+            old = old.join(changed.withColumnRenamed("seg", side), ["page_id", side], "left_anti")
+        new = _merge_options(collinear_candidates(current, focus="fresh"))
+        options = settle(old.unionByName(new))
+    return current.select(*columns)
+
+
+def _merge_options(pairs: DataFrame) -> DataFrame:
+    """Valid merges (i absorbs j, i < j) with the merged geometry and a hash rank."""
+    carried = ["seg_id", *ENDS, "len", "ang", "rms_px", "inliers"]
+    a_first = F.col("a_seg_id") < F.col("b_seg_id")
+    swap = lambda mine, other, c: F.when(a_first, F.col(f"{mine}_{c}")).otherwise(F.col(f"{other}_{c}")).alias(f"{mine}_{c}")
+    sides = F.struct(*[swap("a", "b", c) for c in carried], *[swap("b", "a", c) for c in carried])
+    low_first = pairs.select("page_id", F.inline(F.array(sides)))
+    inliers = F.col("a_inliers") + F.col("b_inliers")
+    weight = F.col("a_rms_px") ** 2 * F.col("a_inliers") + F.col("b_rms_px") ** 2 * F.col("b_inliers")
+    rank = F.struct(
+        F.xxhash64("a_seg_id", "b_seg_id").alias("h"), F.col("a_seg_id").alias("i"), F.col("b_seg_id").alias("j")
+    )
+    return _mergeable(low_first).select(
+        "page_id",
+        F.col("a_seg_id").alias("i"),
+        F.col("b_seg_id").alias("j"),
+        rank.alias("rank"),
+        F.struct(
+            F.col("m_x1").alias("x1"),
+            F.col("m_y1").alias("y1"),
+            F.col("m_x2").alias("x2"),
+            F.col("m_y2").alias("y2"),
+            F.sqrt(weight / F.greatest(inliers, F.lit(1))).alias("rms_px"),
+            inliers.alias("inliers"),
+        ).alias("m"),
+    )
 
 
 def snap_angles(segments: DataFrame, tolerance: float = geo.SNAP_TOLERANCE_DEG) -> DataFrame:

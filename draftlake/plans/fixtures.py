@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from draftlake.session import tune
 
@@ -242,6 +243,21 @@ SELECT CAST(FLOOR(l_orderkey / 10) AS BIGINT) AS archive_id, (l_orderkey % 10) *
        CASE WHEN l_suppkey % 61 = 0 THEN 'symlink' ELSE 'file' END AS type,
        CAST(l_quantity AS BIGINT) * 1000 AS size, CAST(1 + CAST(FLOOR(l_orderkey / 10) AS BIGINT) % 10 AS INT) AS depth
 FROM {_LINES} t
+""",
+    ),
+    "pixels": (
+        ("embeddings",),
+        """
+SELECT 'p' || CAST(CAST(FLOOR(vec_id / 50) AS BIGINT) AS STRING) AS page_id, x, CAST(vec_id % 50 AS INT) AS y,
+       CAST(FLOOR(LEAST(GREATEST(128 + 600 * CAST(e AS DOUBLE), 0), 255)) AS INT) AS v
+FROM {embeddings}
+""",
+    ),
+    "page_sizes": (
+        ("events",),
+        """
+SELECT 'p' || CAST(user_id AS STRING) AS page_id, CAST(600 + MIN(event_id) % 3 * 100 AS INT) AS width, CAST(400 + MIN(event_id) % 2 * 50 AS INT) AS height
+FROM {events} GROUP BY user_id
 """,
     ),
     "requests": (
@@ -268,6 +284,10 @@ class Source:
 
     def __getitem__(self, name: str) -> DataFrame:
         inputs, text = TABLES[name]
+        if name == "pixels":
+            # A vector becomes one image row.
+            rows = self.raw("embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+            return self.spark.sql(text, embeddings=rows)
         return self.spark.sql(text, **{i: self.raw(i) for i in inputs})
 
 
@@ -280,5 +300,10 @@ def oracle_with(*names: str, body: str) -> str:
     parts = []
     for name in names:
         inputs, text = TABLES[name]
-        parts.append(f"{name} AS ({text.format(**{i: i for i in inputs})})")
+        views = {i: i for i in inputs}
+        if name == "pixels":
+            views = {
+                "embeddings": "(SELECT vec_id, CAST(UNNEST(RANGE(LEN(embedding))) AS INT) AS x, UNNEST(embedding) AS e FROM embeddings) r"
+            }
+        parts.append(f"{name} AS ({text.format(**views)})")
     return "WITH " + ",\n".join(parts) + "\n" + body
