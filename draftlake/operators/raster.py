@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from draftlake.functions import rules
 from draftlake.operators import vector
 from draftlake.operators.grid import offsets
-from draftlake.session import settle
+from draftlake.session import settle, spread_rows
 
 # ---------------------------------------------------------------- fixed values
 ADAPTIVE_BLOCK = 31
@@ -455,7 +455,7 @@ def rasterise(primitives: DataFrame, polylines: DataFrame | None, sizes: DataFra
     if polylines is not None:
         edges = vector.polyline_edges(polylines.where(shown)).join(sizes, "page_id")
         lines = lines.unionByName(edges.select("page_id", "width", "height_px", *[whole(F.col(c)).alias(c) for c in vector.ENDS]))
-    strokes = _line_samples(lines, thickness)
+    strokes = _line_samples(spread_rows(lines, "page_id", *vector.ENDS), thickness)
     rounds = drawn.where(F.col("type").isin("CIRCLE", "ARC"))
     thick = dilate(strokes.unionByName(_arc_samples(rounds, thickness)), thickness, thickness)
     inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height_px"))

@@ -13,7 +13,7 @@ from draftlake.operators.fence import fence
 from draftlake.operators.grid import cell, spread
 from draftlake.operators.ordered import first_per_key, with_next
 from draftlake.schemas import DEFAULT_LAYER, layer_table
-from draftlake.session import settle
+from draftlake.session import settle, spread_rows
 
 # ---------------------------------------------------------------- fixed values
 LINE_RESIDUAL_PX = 1.5
@@ -548,7 +548,7 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX, foc
     ``focus`` names a boolean column: only pairs with such a segment are searched.
     """
     usable = fence(
-        segments,
+        spread_rows(segments, "page_id", "seg_id"),
         {
             "len": geo.length(*ends()),
             "ang": geo.folded_angle(*ends()),

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["catalog_queries", "event_queries", "text_queries", "vector_queries", "raster_queries"]
+_MODULES = [
+    "catalog_queries",
+    "event_queries",
+    "text_queries",
+    "vector_queries",
+    "raster_queries",
+    "iterative_queries",
+    "source_queries",
+]
 
 
 def all_queries() -> dict:

@@ -52,3 +52,12 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions ahead of a step that multiplies them.
+
+    The rows are still few here, and a small input would otherwise arrive in one
+    partition and be multiplied by one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -1,0 +1,150 @@
+"""CAD documents, catalogue tables, artifact and entity sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from draftlake.schemas import CAD_DOCUMENT, CATALOGUE
+
+
+def read_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """CAD documents, one row each; malformed files are left out.
+
+    ``lines=True`` reads one document per line, which splits large inputs.
+    """
+    reader = spark.read.schema(CAD_DOCUMENT).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
+    return reader.option("multiLine", not lines).json(path)
+
+
+def _point(column: str, index: int) -> Column:
+    return F.get(F.col(column), index)
+
+
+def cad_primitives(documents: DataFrame) -> DataFrame:
+    """Primitive rows of CAD documents in the flat layout of the vector operators."""
+    flat = documents.select(
+        F.col("document.page_id").alias("page_id"),
+        F.col("document.px_per_mm").alias("px_per_mm"),
+        F.get("document.image_size_px", 1).alias("height_px"),
+        F.explode("primitives").alias("p"),
+    ).select("page_id", "px_per_mm", "height_px", "p.*")
+    start = lambda i: F.coalesce(_point("p1", i), _point("center", i), _point("position", i))
+    corner = lambda v: F.struct(F.get(v, 0).alias("x"), F.get(v, 1).alias("y"))
+    return flat.select(
+        "page_id",
+        "px_per_mm",
+        "height_px",
+        "id",
+        "type",
+        "layer",
+        "confidence",
+        F.col("fit.method").alias("fit_method"),
+        F.col("fit.rms_px").alias("fit_rms_px"),
+        F.col("fit.inliers").alias("fit_inliers"),
+        "source_pixels",
+        start(0).alias("x1"),
+        start(1).alias("y1"),
+        _point("p2", 0).alias("x2"),
+        _point("p2", 1).alias("y2"),
+        "radius",
+        "start_angle_deg",
+        "end_angle_deg",
+        F.transform("vertices", corner).alias("vertices"),
+        "closed",
+        "text",
+        "height",
+        "rotation_deg",
+    )
+
+
+def cad_pages(documents: DataFrame) -> DataFrame:
+    """One row per document: ids, scale, size, review flag."""
+    return documents.select(
+        "document.batch_id",
+        "document.file_id",
+        "document.page_id",
+        F.coalesce("document.page_type", F.lit("unknown")).alias("page_type"),
+        "document.dpi",
+        "document.px_per_mm",
+        F.get("document.image_size_px", 0).alias("width_px"),
+        F.get("document.image_size_px", 1).alias("height_px"),
+        F.coalesce("qa.requires_review", F.lit(False)).alias("requires_review"),
+    )
+
+
+def cad_dimensions(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("document.page_id").alias("page_id"), F.inline("dimensions"))
+
+
+def catalog(spark: SparkSession, folder: str, views: bool = True) -> dict[str, DataFrame]:
+    """The catalogue tables found under ``folder`` (one parquet folder each).
+
+    Tables that were never written come back empty with their schema.
+    """
+    from pyspark.errors import AnalysisException
+
+    tables = {}
+    for name, schema in CATALOGUE.items():
+        try:
+            tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
+        except AnalysisException:
+            tables[name] = spark.createDataFrame([], schema)
+        if views:
+            tables[name].createOrReplaceTempView(name)
+    return tables
+
+
+def artifact_key(artifact: Column) -> Column:
+    """Deterministic key of a page artifact; missing ids read ``unknown``."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    return F.concat_ws("/", F.lit("pages"), known("batch_id"), known("file_id"), known("page_id"), artifact)
+
+
+def write_artifacts(df: DataFrame, root: str, artifact: str = "artifact") -> None:
+    """Write artifacts by batch; a repeated run replaces only the batches it holds."""
+    keyed = df.withColumn("key", artifact_key(F.col(artifact))).withColumn(
+        "batch_id", F.coalesce(F.nullif(F.col("batch_id"), F.lit("")), F.lit("unknown"))
+    )
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
+
+
+def entity_lines(entities: DataFrame) -> DataFrame:
+    """Group-code text of every entity: page_id, id, text (code and value on alternating lines)."""
+
+    def pair(code: int, value: Column) -> Column:
+        return F.concat(F.lit(f"{code}\n"), value)
+
+    def real(column: str) -> Column:
+        return F.format_string("%.6f", F.coalesce(F.col(column), F.lit(0.0)))
+
+    kind = F.col("type")
+    head = F.concat_ws("\n", pair(0, kind), pair(8, F.col("layer")))
+    start = F.concat_ws("\n", pair(10, real("x1_mm")), pair(20, real("y1_mm")))
+    line = F.concat_ws("\n", head, start, pair(11, real("x2_mm")), pair(21, real("y2_mm")))
+    circle = F.concat_ws("\n", head, start, pair(40, real("radius_mm")))
+    arc = F.concat_ws("\n", circle, pair(50, real("start_deg")), pair(51, real("end_deg")))
+    note = F.concat_ws("\n", head, start, pair(40, real("text_height_mm")), pair(1, F.col("text")), pair(50, real("rotation_deg")))
+    body = F.when(kind == "LINE", line).when(kind == "CIRCLE", circle).when(kind == "ARC", arc).when(kind == "TEXT", note)
+    if "vertices_mm" in entities.columns:
+        corner = lambda v: F.format_string("10\n%.6f\n20\n%.6f", v["x"], v["y"])
+        poly = F.concat_ws(
+            "\n",
+            head,
+            pair(90, F.size("vertices_mm").cast("string")),
+            pair(70, F.col("closed").cast("int").cast("string")),
+            F.array_join(F.transform("vertices_mm", corner), "\n"),
+        )
+        body = body.when(kind == "LWPOLYLINE", poly)
+    return entities.select("page_id", "id", body.alias("text")).where(F.col("text").isNotNull())
+
+
+def write_entities(entities: DataFrame, path: str) -> None:
+    """Entity table as parquet and its group-code text, ordered by page and id.
+
+    Text is written entity by entity from range-partitioned rows, so a page with very
+    many entities continues over several files instead of filling one task.
+    """
+    entities.write.mode("overwrite").parquet(f"{path}/table")
+    lines = entity_lines(entities).repartitionByRange("page_id", "id").sortWithinPartitions("page_id", "id")
+    lines.select("page_id", "text").write.mode("overwrite").partitionBy("page_id").text(f"{path}/text")
