@@ -22,17 +22,16 @@ Backend = Callable[[pd.DataFrame], pd.DataFrame]
 
 def apply_backend(
     df: DataFrame,
-    load: Callable[[], Backend | None] | None,
+    load: Callable[[], Backend] | None,
     schema: str,
     fallback: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Run a model over Arrow batches, or the rules when there is none.
 
     ``load`` is called once per task and returns the batch function, so weights load
-    once and never travel with the plan.  ``None`` (or a loader that returns ``None``
-    on the driver) selects the rule fallback.
+    once and never travel with the plan.  ``None`` selects the rule fallback.
     """
-    if load is None or load() is None:
+    if load is None:
         return fallback(df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +47,7 @@ def no_blocks(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], ROLE_SCHEMAS["detect"])
 
 
-def classify_pages(pixels: DataFrame, load: Callable[[], Backend | None] | None = None) -> DataFrame:
+def classify_pages(pixels: DataFrame, load: Callable[[], Backend] | None = None) -> DataFrame:
     """Page type per page by a model or by the routing rules.
 
     A model receives one row per image row (``page_id, y, v array``), never a whole

@@ -68,7 +68,22 @@ def a9(src: Source) -> DataFrame:
     return raster.otsu(src["pixels"])
 
 
-@query("w9_adaptive_threshold")
+@query(
+    "w9_adaptive_threshold",
+    oracle_with(
+        "pixels",
+        body="""
+, k AS (SELECT k, EXP(-k * k / 50.0) / SUM(EXP(-k * k / 50.0)) OVER () AS w FROM (SELECT CAST(UNNEST(RANGE(-15, 16)) AS DOUBLE) AS k) r),
+size AS (SELECT page_id, MAX(x) AS mx, MAX(y) AS my FROM pixels GROUP BY page_id),
+h AS (SELECT p.page_id, p.x, p.y, p.v, SUM(k.w * q.v) AS h FROM pixels p JOIN size s ON s.page_id = p.page_id CROSS JOIN k
+  JOIN pixels q ON q.page_id = p.page_id AND q.y = p.y AND q.x = CAST(LEAST(GREATEST(p.x + k.k, 0), s.mx) AS INT) GROUP BY ALL),
+m AS (SELECT p.page_id, p.x, p.y, p.v, SUM(k.w * q.h) AS m FROM h p JOIN size s ON s.page_id = p.page_id CROSS JOIN k
+  JOIN h q ON q.page_id = p.page_id AND q.x = p.x AND q.y = CAST(LEAST(GREATEST(p.y + k.k, 0), s.my) AS INT) GROUP BY ALL),
+t AS (SELECT page_id, x, y, v > ROUND_EVEN(m, 0) - 10 AS white FROM m),
+f AS (SELECT page_id, AVG(CAST(white AS INT)) * 255 > 127 AS flip FROM t GROUP BY page_id)
+SELECT t.page_id, x, y FROM t JOIN f ON f.page_id = t.page_id WHERE white <> flip""",
+    ),
+)
 def w9(src: Source) -> DataFrame:
     return raster.adaptive_threshold(src["pixels"])
 

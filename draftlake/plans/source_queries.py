@@ -183,8 +183,7 @@ def _event_stream(src: Source, files_per_trigger: int = 1) -> tuple[DataFrame, s
     path = _scratch(src, "stream")
     table = src["envelopes"].withColumn("created_at", F.col("created_at").cast("timestamp"))
     table.repartitionByRange(4, "created_at").write.parquet(f"{path}/in")
-    schema = table._jdf.schema().toDDL()
-    return runs.read_table_stream(src.spark, f"{path}/in", schema, files_per_trigger), path
+    return runs.read_table_stream(src.spark, f"{path}/in", table.schema, files_per_trigger), path
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from draftlake.streaming import events as ev
 
@@ -25,7 +26,7 @@ def read_events(spark: SparkSession, path: str | None = None, files_per_trigger:
     return spark.readStream.format("kafka").options(**options).load().selectExpr("CAST(value AS STRING) AS raw")
 
 
-def read_table_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
+def read_table_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 100) -> DataFrame:
     """A folder of parquet files as a stream of rows."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
