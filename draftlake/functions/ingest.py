@@ -141,7 +141,9 @@ def entry_violation(name: Column, entry_type: Column | None = None) -> Column:
     floor = F.array(F.lit(".."))
     left_over = F.aggregate(F.split(name, "/"), floor, climbs)
     survivors = F.slice(left_over, 2, F.size(left_over))
-    traversal = F.exists(F.coalesce(survivors, empty), lambda part: part.startswith(".."))
+    # Only names with ".." somewhere need the walk.
+    climbing = F.exists(F.coalesce(survivors, empty), lambda part: part.startswith(".."))
+    traversal = F.when(name.contains(".."), climbing).otherwise(False)
     verdict = (
         F.when(F.coalesce(name, F.lit("")) == "", "empty")
         .when(name.startswith("/") | name.startswith("\\") | (F.substring(name, 2, 1) == ":"), "absolute")

@@ -492,8 +492,9 @@ def near_points(points: DataFrame, tol: float = ENDPOINT_TOLERANCE_PX) -> DataFr
     )
 
 
-# Directions are cut into buckets of the angle tolerance.
-_BUCKETS = int(round(180.0 / COLLINEAR_ANGLE_DEG))
+# Directions are cut into buckets twice as wide as the angle tolerance.
+_BUCKET_DEG = 2 * COLLINEAR_ANGLE_DEG
+_BUCKETS = int(round(180.0 / _BUCKET_DEG))
 
 
 def _principal(xs: list[Column], ys: list[Column]) -> dict[str, Column]:
@@ -542,8 +543,8 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX, foc
     and each lies almost on the other's line.  Segments are therefore keyed by page,
     direction bucket, size class, and position in a frame turned to that direction:
     long cells along the line, thin cells across it.  The larger segment looks into
-    nine cells of its size class; the smaller one files itself under every size class
-    from its own up and under the three nearest directions.
+    the few cells of its size class within reach; the smaller one files itself under
+    every size class from its own up and under the one or two directions it may match.
 
     ``focus`` names a boolean column: only pairs with such a segment are searched.
     """
@@ -556,33 +557,42 @@ def collinear_candidates(segments: DataFrame, gap: float = COLLINEAR_GAP_PX, foc
             "midy": (F.col("y1") + F.col("y2")) / 2.0,
         },
     ).where(F.col("len") >= MIN_MERGE_PX)
-    # Class k covers lengths up to 2^k - gap - 4; cells along the line are 2^(k+1) long.
+    # Class k covers lengths up to 2^k - gap - 4, so a larger segment of class k and
+    # any smaller one have midpoints at most len + 2^k apart.
     usable = usable.withColumn("cls", F.ceil(F.log2(F.col("len") + gap + 4.0)).cast("int"))
-    usable = usable.withColumn("dir", (F.floor(F.col("ang") / COLLINEAR_ANGLE_DEG) % _BUCKETS).cast("int"))
+    usable = usable.withColumn("dir", (F.floor(F.col("ang") / _BUCKET_DEG) % _BUCKETS).cast("int"))
     top = usable.groupBy("page_id").agg(F.max("cls").alias("top"))
 
-    along_cell = F.pow(F.lit(2.0), F.col("k") + 1)
-    # Directions differ by at most half a bucket plus the tolerance; two pixels across.
-    slope = math.sin(math.radians(COLLINEAR_ANGLE_DEG * 1.5)) * 1.001
-    across_cell = along_cell * slope + COLLINEAR_DISTANCE_PX + 1.0
+    # Directions differ by at most half a bucket plus the tolerance.
+    slope = math.sin(math.radians(_BUCKET_DEG / 2 + COLLINEAR_ANGLE_DEG)) * 1.001
+    unit = F.pow(F.lit(2.0), F.col("k"))
+    along_cell, across_cell = unit * 4.0, unit * (4.0 * slope) + 2.0 * COLLINEAR_DISTANCE_PX + 2.0
 
     def placed(df: DataFrame) -> DataFrame:
-        turn = F.radians((F.col("d") + 0.5) * COLLINEAR_ANGLE_DEG)
-        s = F.col("midx") * F.cos(turn) + F.col("midy") * F.sin(turn)
-        t = F.col("midy") * F.cos(turn) - F.col("midx") * F.sin(turn)
-        return df.withColumns({"cs": F.floor(s / along_cell), "ct": F.floor(t / across_cell)})
+        turn = F.radians((F.col("d") + 0.5) * _BUCKET_DEG)
+        return fence(
+            df,
+            {
+                "s": F.col("midx") * F.cos(turn) + F.col("midy") * F.sin(turn),
+                "t": F.col("midy") * F.cos(turn) - F.col("midx") * F.sin(turn),
+                "along": along_cell,
+                "across": across_cell,
+            },
+        )
 
     extra = [c for c in ("copies", focus) if c in segments.columns]
     carried = ["page_id", "seg_id", *ENDS, "len", "ang", "cls", "rms_px", "inliers", *extra]
     big = placed(usable.withColumns({"k": F.col("cls"), "d": F.col("dir")}))
-    big = spread(big, "cs", "ct").select(
-        *[F.col(c).alias(c if c == "page_id" else f"a_{c}") for c in carried], "k", "d", "cs", "ct"
-    )
-    near_dirs = F.array(*[F.pmod(F.col("dir") + s, F.lit(_BUCKETS)) for s in (-1, 0, 1)])
+    reach = F.col("len") + F.pow(F.lit(2.0), F.col("k")) + 4.0
+    aside = reach * slope + COLLINEAR_DISTANCE_PX + 1.0
+    cells = lambda c, far, size: F.sequence(F.floor((F.col(c) - far) / F.col(size)), F.floor((F.col(c) + far) / F.col(size)))
+    big = big.withColumn("cs", F.explode(cells("s", reach, "along"))).withColumn("ct", F.explode(cells("t", aside, "across")))
+    big = big.select(*[F.col(c).alias(c if c == "page_id" else f"a_{c}") for c in carried], "k", "d", "cs", "ct")
+    side = lambda delta: F.pmod(F.floor((F.col("ang") + delta) / _BUCKET_DEG), F.lit(_BUCKETS)).cast("int")
+    near_dirs = F.array_distinct(F.array(side(-COLLINEAR_ANGLE_DEG - 1e-9), side(COLLINEAR_ANGLE_DEG + 1e-9)))
     small = usable.join(top, "page_id").withColumn("k", F.explode(F.sequence("cls", "top"))).withColumn("d", F.explode(near_dirs))
-    small = placed(small).select(
-        *[F.col(c).alias(c if c == "page_id" else f"b_{c}") for c in carried], "k", "d", "cs", "ct"
-    )
+    small = placed(small).withColumns({"cs": F.floor(F.col("s") / F.col("along")), "ct": F.floor(F.col("t") / F.col("across"))})
+    small = small.select(*[F.col(c).alias(c if c == "page_id" else f"b_{c}") for c in carried], "k", "d", "cs", "ct")
     where = ["page_id", "k", "d", "cs", "ct"]
     if focus is None:
         pairs = big.join(small, where)
@@ -614,9 +624,14 @@ def _mergeable(pairs: DataFrame, gap: float = COLLINEAR_GAP_PX) -> DataFrame:
     return fence(spanned, {"m_len": merged}).where(F.col("m_len") <= F.col("a_len") + F.col("b_len") + gap)
 
 
-def _swapped(pairs: DataFrame) -> DataFrame:
-    renamed = {c: ("b_" + c[2:] if c.startswith("a_") else "a_" + c[2:]) for c in pairs.columns if c[:2] in ("a_", "b_")}
-    return pairs.select(*[F.col(c).alias(renamed.get(c, c)) for c in pairs.columns])
+def _both_orders(pairs: DataFrame) -> DataFrame:
+    """Every pair as (a, b) and as (b, a), from one evaluation of the pair search."""
+    close = pairs.where(geo.angle_gap(F.col("a_ang"), F.col("b_ang")) <= COLLINEAR_ANGLE_DEG)
+    names = [c[2:] for c in pairs.columns if c.startswith("a_")]
+    order = lambda first, second: F.struct(
+        *[F.col(f"{first}_{n}").alias(f"a_{n}") for n in names], *[F.col(f"{second}_{n}").alias(f"b_{n}") for n in names]
+    )
+    return close.select("page_id", F.inline(F.array(order("a", "b"), order("b", "a"))))
 
 
 def collinear_pairs(segments: DataFrame) -> DataFrame:
@@ -626,7 +641,7 @@ def collinear_pairs(segments: DataFrame) -> DataFrame:
     (b, a) does not.
     """
     pairs = collinear_candidates(distinct_segments(segments))
-    return _mergeable(pairs.unionByName(_swapped(pairs))).select(
+    return _mergeable(_both_orders(pairs)).select(
         "page_id",
         F.col("a_seg_id").alias("a_id"),
         F.col("b_seg_id").alias("b_id"),
