@@ -241,20 +241,50 @@ def t8_stream(src: Source) -> DataFrame:
     return first_per_key(versions, ["batch_id"], F.desc("_epoch")).select("batch_id", "expected", "exported", "complete")
 
 
-@query("t10_event_rates_stream")
+# The files of a stream may arrive in any order, so the delays below exceed the
+# 30 days of the log and nothing is late.
+_DELAY = "40 days"
+
+
+@query(
+    "t10_event_rates_stream",
+    oracle_with(
+        "envelopes",
+        body="SELECT time_bucket(INTERVAL '15 seconds', created_at) AS window_start, event_type, COUNT(*) AS events FROM envelopes GROUP BY ALL",
+    ),
+)
 def t10_stream(src: Source) -> DataFrame:
-    """Windows closed by the watermark; the newest ones stay open."""
     events, path = _event_stream(src)
-    return runs.drain(ev.event_rates(events), f"{path}/out", f"{path}/ckpt")
+    versions = runs.drain(ev.event_rates(events, watermark=_DELAY), f"{path}/out", f"{path}/ckpt", mode="update")
+    return first_per_key(versions, ["window_start", "event_type"], F.desc("_epoch")).drop("_epoch")
 
 
-@query("t4_dedupe_stream")
+@query(
+    "t4_dedupe_stream",
+    oracle_with(
+        "envelopes",
+        body="SELECT DISTINCT page_id, event_type, CASE WHEN page_id IS NULL THEN event_id END AS lone_id FROM envelopes",
+    ),
+)
 def t4_stream(src: Source) -> DataFrame:
     events, path = _event_stream(src)
-    return runs.drain(ev.dedupe_events(events, "40 days"), f"{path}/out", f"{path}/ckpt").select("event_id", "event_type", "page_id")
+    once = runs.drain(ev.dedupe_events(events, _DELAY), f"{path}/out", f"{path}/ckpt")
+    return once.select("page_id", "event_type", F.when(F.col("page_id").isNull(), F.col("event_id")).alias("lone_id"))
 
 
-@query("t9_stage_pairs_stream")
+@query(
+    "t9_stage_pairs_stream",
+    oracle_with(
+        "envelopes",
+        body="""
+, stages AS (SELECT * FROM (VALUES ('ocr', 'page.ocr.requested', 'page.ocr.done'), ('geometry', 'page.geometry.requested', 'page.geometry.done'),
+  ('qa', 'page.qa.requested', 'page.qa.done'), ('export', 'page.export.requested', 'page.export.done')) v(stage, req, done))
+SELECT a.page_id, s.stage, a.event_id, a.created_at AS requested_at, d.created_at AS done_at FROM envelopes a JOIN stages s ON s.req = a.event_type
+JOIN envelopes d ON d.page_id = a.page_id AND d.event_type = s.done AND d.created_at BETWEEN a.created_at AND a.created_at + INTERVAL 6 HOUR""",
+    ),
+)
 def t9_stream(src: Source) -> DataFrame:
+    """Matched pairs; unmatched requests stay in state until the watermark passes them."""
     events, path = _event_stream(src)
-    return runs.drain(ev.stage_pairs_stream(events, "6 hours"), f"{path}/out", f"{path}/ckpt")
+    pairs = runs.drain(ev.stage_pairs_stream(events, "6 hours", _DELAY), f"{path}/out", f"{path}/ckpt")
+    return pairs.where(F.col("done_at").isNotNull())

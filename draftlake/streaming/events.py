@@ -271,18 +271,20 @@ def stage_latency(events: DataFrame, block: str = "HOUR") -> DataFrame:
     )
 
 
-def stage_pairs_stream(events: DataFrame, within: str = "1 hour") -> DataFrame:
+def stage_pairs_stream(events: DataFrame, within: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Streaming twin of ``stage_latency``: outer join of requests and completions.
 
-    State is bounded by the watermark and the time bound.  A request emits every
-    completion inside the bound; the earliest is the one that counts.
+    State is bounded by the watermark (by default the time bound) and the time bound.
+    A request emits every completion inside the bound; the earliest is the one that
+    counts.  A request without one is emitted once the watermark has passed it.
     """
+    delay = watermark or within
     usable = events.where(F.coalesce(F.col("page_id"), F.lit("")) != "")
     asked = (
         usable.withColumn("stage", _stage_of(0))
         .where(F.col("stage").isNotNull())
         .select("page_id", "stage", "event_id", F.col("created_at").alias("requested_at"))
-        .withWatermark("requested_at", within)
+        .withWatermark("requested_at", delay)
         .alias("asked")
     )
     done = (
@@ -291,7 +293,7 @@ def stage_pairs_stream(events: DataFrame, within: str = "1 hour") -> DataFrame:
         .select(
             F.col("page_id").alias("done_page"), F.col("stage").alias("done_stage"), F.col("created_at").alias("done_at")
         )
-        .withWatermark("done_at", within)
+        .withWatermark("done_at", delay)
         .alias("done")
     )
     return asked.join(
