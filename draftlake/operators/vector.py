@@ -300,13 +300,14 @@ def fit_circles(points: DataFrame, keys: list[str] = CHAIN) -> DataFrame:
 def fit_rms(points: DataFrame, fits: DataFrame, keys: list[str] = CHAIN) -> DataFrame:
     """Fits with their radial residual and whether the fit is accepted."""
     off = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2) - F.col("r")
-    residual = (
-        points.join(fits.where(F.col("r").isNotNull()).select(*keys, "cx", "cy", "r"), keys)
-        .groupBy(*keys)
+    # Every chain has points, so one join and one aggregation carry the fit along.
+    judged = (
+        points.join(fits.select(*keys, "cx", "cy", "r", "inliers"), keys)
+        .groupBy(*keys, "cx", "cy", "r", "inliers")
         .agg(F.sqrt(F.avg(off * off)).alias("rms_px"))
     )
     good = (F.col("rms_px") <= CIRCLE_RESIDUAL_PX) & (F.col("inliers") >= CIRCLE_MIN_INLIERS)
-    return fits.join(residual, keys, "left").withColumn("accepted", F.coalesce(good, F.lit(False)))
+    return judged.withColumn("accepted", F.coalesce(good, F.lit(False)))
 
 
 def arc_extent(points: DataFrame, fits: DataFrame, keys: list[str] = CHAIN) -> DataFrame:
