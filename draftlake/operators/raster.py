@@ -491,10 +491,10 @@ def _line_samples(lines: DataFrame, margin: int) -> DataFrame:
 
 
 def _arc_samples(rounds: DataFrame, margin: int) -> DataFrame:
-    """Sample circles and arcs at one-pixel steps, two samples per pixel of arc length.
+    """Sample circles and arcs once per page row and page column on either half.
 
-    A circle that is far larger than its page is cut into the page's rows and columns
-    rather than sampled all around.
+    Rows and columns outside the page are never visited, so a circle far larger than
+    its page costs no more than the page's sides.
     """
     radius = F.bround(F.coalesce(F.col("radius"), F.lit(0.0)), 0)
     shape = rounds.select(

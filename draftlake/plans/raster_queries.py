@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import rules
 from draftlake.operators import raster
-from draftlake.operators import vector as vec
 from draftlake.plans.fixtures import Source, oracle_with
 from draftlake.plans.registry import joined, query, r6
 

@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,4 +208,3 @@ def test_empty_page_needs_review(spark):
     empty = spark.createDataFrame([], "page_id string, type string, confidence double")
     r = vec.doc_review(empty, pages).first()
     assert r["requires_review"] and r["warnings"] == ["no_primitives_detected", "no_line_primitives"]
-    assert isinstance(pd.DataFrame([r.asDict()]), pd.DataFrame)
