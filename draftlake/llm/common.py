@@ -105,3 +105,23 @@ def _plain(column: pa.Array):
     if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
         return column.to_numpy(zero_copy_only=False)
     return column.to_pylist()
+
+
+def keep_rows(df: DataFrame, wanted: Callable[[], Callable[[dict], list]], *columns: str) -> DataFrame:
+    """Rows of ``df`` that a test in Python keeps; all columns pass through untouched.
+
+    ``wanted()`` is called once per task and gives a function from a batch (only the named
+    columns, texts as bytes) to one boolean per row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = wanted()
+        for b in batches:
+            if b.num_rows:
+                own = {}
+                for n in columns:
+                    c = b.column(b.schema.get_field_index(n))
+                    own[n] = _plain(c.cast(pa.binary()) if pa.types.is_string(c.type) else c)
+                yield b.filter(pa.array(test(own), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import exact_dedup, line_dedup, mixing, simhash
-from draftlake.llm.common import table
+from draftlake.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, paragraphs, simhash, token_planes, toxicity
+from draftlake.llm.common import Scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.grade_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -25,18 +43,61 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, folder, "documents")))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents"), f"{Scratch(spark).root}/tokens"
+    token_planes.write_tokens(docs, path, vocabulary())
+    return token_planes.read_tokens(spark, path, with_ids=False)
+
+
 QUERIES: dict[str, Run] = {
-    "op2_mix_sources": op2_mix_sources,
-    "op5_exact_dedup": op5_exact_dedup,
-    "op6_simhash": op6_simhash,
-    "op8_line_dedup": op8_line_dedup,
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_mix_sources,
+        op3_chat_format,
+        op4_paragraph_dedup,
+        op5_exact_dedup,
+        op6_simhash,
+        op7_language_id,
+        op8_line_dedup,
+        op9_decontaminate,
+        op10_token_planes,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+        WITH turns AS (
+            SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        placed AS (
+            SELECT *, row_number() OVER w AS place,
+                   list(coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '')) OVER w AS said
+            FROM turns
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''),
+                         (role IS NOT NULL)::int * 2 + (text IS NOT NULL)::int
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        sizes AS (SELECT conv_id, max(place) AS n_turns FROM placed GROUP BY conv_id),
+        ends AS (
+            SELECT p.said, s.n_turns, min(p.conv_id) AS conv_id, count(*) AS n_copies
+            FROM placed p JOIN sizes s ON p.conv_id = s.conv_id AND p.place = s.n_turns GROUP BY p.said, s.n_turns),
+        inner_prefixes AS (
+            SELECT DISTINCT p.said FROM placed p JOIN sizes s ON p.conv_id = s.conv_id AND p.place < s.n_turns),
+        kept AS (SELECT e.* FROM ends e WHERE NOT EXISTS (SELECT 1 FROM inner_prefixes i WHERE i.said = e.said))
+        SELECT p.conv_id, k.n_turns, k.n_copies, p.place,
+               '<|im_start|>' || coalesce(p.role, '') || chr(10) || coalesce(p.text, '') || '<|im_end|>' || chr(10) AS rendered
+        FROM placed p JOIN kept k USING (conv_id)""",
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
