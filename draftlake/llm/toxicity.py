@@ -26,7 +26,7 @@ SAMPLE_PER_GRADE = 3000  # labelled rows of each grade that fitting may use
 MIN_DOCUMENTS = 4  # of the sample that must hold a word for it to be a feature
 STEPS = 250
 RATE = 0.15
-SPARSE = 3e-4  # pull of each weight towards zero
+SPARSE = 5e-5  # pull of each weight towards zero
 EDGE = b".,;:!?\"'()[]*&%$#-_"
 SEED = 29
 CACHE = 500_000
