@@ -128,8 +128,9 @@ def _unequal(docs: DataFrame, pairs: DataFrame, id: str, text: str) -> DataFrame
         "doc_id", F.col("keep_id"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), *KEY
     )
     wanted = asked.withColumn("role", F.lit(1)).unionByName(stay.withColumn("role", F.lit(0)))
+    # The rows asked for grow with the table, so this join is a merge join at every size.
     parts = (
-        clean.join(wanted, "doc_id")
+        clean.join(wanted.hint("merge"), "doc_id")
         .where(F.octet_length("norm") == F.col("n_bytes"))
         .select("doc_id", "keep_id", "salt", "role", *KEY, F.explode(pieces).alias("piece"))
         .select("doc_id", "keep_id", "salt", "role", *KEY, F.col("piece.no").alias("no"), F.col("piece.part").alias("part"))
