@@ -114,7 +114,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_wor
     """(pid, shingles) of the paragraphs ``wanted`` (pid, doc_id, digest) by a pass over their documents."""
     # Grouped by document: as many entries as the document has paragraphs at most.
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"), F.collect_list("pid").alias("pids"))
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text")).join(per_doc, "doc_id")
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
+    # What is wanted grows with the table, so this join is a merge join at every size.
+    source = source.join(per_doc.hint("merge"), "doc_id")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut = Paragraphs(min_words)
