@@ -11,7 +11,6 @@ from draftlake.functions import ingest
 MAX_FILES = 10_000
 MAX_DEPTH = 8
 MAX_BYTES = 20 * 1024**3
-MAX_PIXELS = 200_000_000
 # ---------------------------------------------------------- end of fixed values
 
 BLOCK = 4096

@@ -8,7 +8,10 @@ so one page can hold most of the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,6 @@ ADAPTIVE_BLOCK = 31
 ADAPTIVE_OFFSET = 10
 SKEW_MAX_DEG = 10.0
 SKEW_STEP_DEG = 0.2
-SKEW_MAX_SIDE = 2000
 HAUSDORFF_PERCENTILE = 0.99
 FRAME_SHARE = 0.4
 TEXT_BLOB = {"area": (10, 600), "side": (4, 60), "per_pixels": 50_000}
@@ -142,36 +144,31 @@ def binarize(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
 
 
 # ------------------------------------------------------------------------ skew
-def shrink(ink: DataFrame, sizes: DataFrame, max_side: int = SKEW_MAX_SIDE) -> DataFrame:
-    """Ink of pages larger than ``max_side`` on a smaller grid; ``sizes``: page_id, width, height."""
-    side = F.greatest("width", "height")
-    scale = F.least(F.lit(1.0), F.lit(float(max_side)) / side)
-    small = ink.join(sizes, "page_id").withColumn("_s", scale)
-    to = lambda c: F.floor(F.col(c) * F.col("_s")).cast("int")
-    return small.select("page_id", to("x").alias("x"), to("y").alias("y"), to("width").alias("width"), to("height").alias("height")).distinct()
-
-
 def skew_profile(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_DEG, step: float = SKEW_STEP_DEG) -> DataFrame:
-    """Row-sum statistics of every page at every trial angle.
+    """Row-sum statistics of every page at every trial angle, at full resolution.
 
-    Every pixel is repeated once per angle and counted per row before the shuffle,
-    so what travels is rows of the page, not pixels.
+    A task turns its batches of pixels by all angles at once and counts them per row of the
+    page, so what travels is rows of the page per task, not pixels.
     """
     count = int(round(2 * max_angle / step)) + 1
-    trial = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    turned = shrink(ink, sizes).withColumn("i", trial)
-    angle = F.radians(F.lit(-max_angle) + F.col("i") * F.lit(step))
-    cx, cy = F.col("width") / 2.0, F.col("height") / 2.0
-    dx, dy = F.col("x") - cx, F.col("y") - cy
-    moved = turned.select(
-        "page_id",
-        "i",
-        "height",
-        "width",
-        F.floor(F.cos(angle) * dx + F.sin(angle) * dy + cx + 0.5).alias("rx"),
-        F.floor(F.cos(angle) * dy - F.sin(angle) * dx + cy + 0.5).alias("ry"),
-    ).where((F.col("rx") >= 0) & (F.col("rx") < F.col("width")) & (F.col("ry") >= 0) & (F.col("ry") < F.col("height")))
-    rows = moved.groupBy("page_id", "i", "height", "ry").agg(F.count("*").alias("c"))
+    # One row per page; ink keeps its place, a page's rows may be spread over all tasks.
+    placed = ink.select(*PIXEL).distinct().join(sizes.select("page_id", "width", "height"), "page_id")
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        angles = np.radians(-max_angle + np.arange(count) * step)
+        cos, sin = np.cos(angles)[:, None], np.sin(angles)[:, None]
+        for pdf in batches:
+            for (page, width, height), own in pdf.groupby(["page_id", "width", "height"], sort=False):
+                cx, cy = width / 2.0, height / 2.0
+                dx, dy = own["x"].to_numpy(np.float64)[None, :] - cx, own["y"].to_numpy(np.float64)[None, :] - cy
+                rx, ry = np.floor(cos * dx + sin * dy + cx + 0.5), np.floor(cos * dy - sin * dx + cy + 0.5)
+                seen = (rx >= 0) & (rx < width) & (ry >= 0) & (ry < height)
+                i = np.broadcast_to(np.arange(count)[:, None], ry.shape)[seen]
+                cell, c = np.unique(i * int(height) + ry[seen].astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"page_id": page, "i": cell // int(height), "height": int(height), "ry": cell % int(height), "c": c})
+
+    part = placed.mapInPandas(turned, "page_id string, i int, height int, ry long, c long")
+    rows = part.groupBy("page_id", "i", "height", "ry").agg(F.sum("c").alias("c"))
     sums = rows.groupBy("page_id", "i", "height").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
     # Integer form of the variance over all rows, empty ones included.
     return sums.select("page_id", "i", (F.col("ss") * F.col("height") - F.col("s") * F.col("s")).alias("score"))

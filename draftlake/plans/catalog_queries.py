@@ -218,11 +218,12 @@ def j2(src: Source) -> DataFrame:
     oracle_with(
         "files_meta",
         "batches_meta",
-        body="SELECT file_id, batch_id, batch_id IN (SELECT batch_id FROM batches_meta) AS accepted FROM files_meta",
+        body="SELECT file_id, batch_id, batch_id IN (SELECT batch_id FROM batches_meta WHERE status <> 'ready') AS accepted FROM files_meta",
     ),
 )
 def j4(src: Source) -> DataFrame:
-    ok, bad = catalog.require_batch(src["files_meta"], src["batches_meta"])
+    # Files of batches that are closed for uploads have no parent here.
+    ok, bad = catalog.require_batch(src["files_meta"], src["batches_meta"].where("status <> 'ready'"))
     return (
         ok.select("file_id", "batch_id")
         .withColumn("accepted", F.lit(True))

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from draftlake.session import tune
 
-# (l_orderkey, l_linenumber) repeats in the driver's data; ids must not.
+# (l_orderkey, l_linenumber) repeats in the driver's data; ids must not.  Every row stays and
+# is numbered inside its order; rows that are equal in all columns may swap numbers.
 _LINES = """
-(SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey, MIN(l_suppkey) AS l_suppkey,
-        MIN(l_quantity) AS l_quantity, MIN(l_discount) AS l_discount, MIN(l_tax) AS l_tax
- FROM {lineitem} GROUP BY l_orderkey, l_linenumber)
+(SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount, l_tax,
+        CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS BIGINT) AS l_linenumber
+ FROM {lineitem})
 """
 
 _PAGE_OF_ORDER = "'p' || CAST(CAST(FLOOR(l_orderkey / 100) AS BIGINT) AS STRING)"
@@ -108,7 +109,7 @@ FROM (SELECT CAST(FLOOR(user_id / 3) AS BIGINT) AS f, MIN(ts) AS first_ts, SUM(C
 SELECT 'b' || CAST(b AS STRING) AS batch_id, 'batch ' || CAST(b AS STRING) AS name,
        CASE b % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'processing' ELSE 'ready' END AS status, first_ts AS created_at
 FROM (SELECT CAST(FLOOR(user_id / 15) AS BIGINT) AS b, MIN(ts) AS first_ts FROM {events}
-      WHERE CAST(FLOOR(user_id / 15) AS BIGINT) % 7 <> 6 GROUP BY CAST(FLOOR(user_id / 15) AS BIGINT)) t
+      GROUP BY CAST(FLOOR(user_id / 15) AS BIGINT)) t
 """,
     ),
     "artifacts": (
@@ -147,7 +148,7 @@ FROM {orders}
     "ocr_blocks": (
         ("lineitem",),
         f"""
-SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) AS block_id, {_PAGE_OF_ORDER} AS page_id,
+SELECT CAST(l_orderkey * 100 + l_linenumber AS STRING) AS block_id, {_PAGE_OF_ORDER} AS page_id,
        {_OCR_TEXT} AS text,
        CASE WHEN (l_orderkey + l_linenumber) % 22 IN (6, 20) THEN 'titleblock_text'
             WHEN (l_orderkey + l_linenumber) % 22 = 8 AND l_linenumber > 3 THEN 'dimension_text' ELSE 'unknown' END AS kind,
@@ -159,7 +160,7 @@ FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS STRING) AS q FROM {_LINES} d) t
     "segments": (
         ("lineitem",),
         f"""
-SELECT l_orderkey * 10 + l_linenumber AS seg_id, {_PAGE_OF_ORDER} AS page_id,
+SELECT l_orderkey * 100 + l_linenumber AS seg_id, {_PAGE_OF_ORDER} AS page_id,
        CAST(l_partkey * 13 % 600 AS DOUBLE) AS x1, CAST(l_suppkey * 37 % 400 AS DOUBLE) AS y1,
        CAST((CASE WHEN l_linenumber <= 3 THEN l_partkey * 13 % 600 + 5 + l_partkey % 40 ELSE l_partkey * 7 % 600 END) AS DOUBLE) AS x2,
        CAST((l_suppkey * 37 + l_linenumber) % 400 AS DOUBLE) AS y2,
@@ -170,16 +171,16 @@ FROM {_LINES} t
     "chain_points": (
         ("lineitem",),
         f"""
-SELECT {_PAGE_OF_ORDER} AS page_id, CAST(FLOOR(l_orderkey / 20) AS BIGINT) AS chain_id, l_orderkey * 10 + l_linenumber AS ord,
-       100 + (20 + CAST(FLOOR(l_orderkey / 20) AS BIGINT) % 40) * COS(RADIANS(CAST((l_orderkey * 10 + l_linenumber) * 7 % 300 AS DOUBLE))) + (l_partkey % 3 - 1) * 0.2 AS x,
-       200 + (20 + CAST(FLOOR(l_orderkey / 20) AS BIGINT) % 40) * SIN(RADIANS(CAST((l_orderkey * 10 + l_linenumber) * 7 % 300 AS DOUBLE))) AS y
+SELECT {_PAGE_OF_ORDER} AS page_id, CAST(FLOOR(l_orderkey / 20) AS BIGINT) AS chain_id, l_orderkey * 100 + l_linenumber AS ord,
+       100 + (20 + CAST(FLOOR(l_orderkey / 20) AS BIGINT) % 40) * COS(RADIANS(CAST((l_orderkey * 100 + l_linenumber) * 7 % 300 AS DOUBLE))) + (l_partkey % 3 - 1) * 0.2 AS x,
+       200 + (20 + CAST(FLOOR(l_orderkey / 20) AS BIGINT) % 40) * SIN(RADIANS(CAST((l_orderkey * 100 + l_linenumber) * 7 % 300 AS DOUBLE))) AS y
 FROM {_LINES} t
 """,
     ),
     "primitives": (
         ("lineitem",),
         f"""
-SELECT 'n' || CAST(l_orderkey * 10 + l_linenumber AS STRING) AS id, {_PAGE_OF_ORDER} AS page_id,
+SELECT 'n' || CAST(l_orderkey * 100 + l_linenumber AS STRING) AS id, {_PAGE_OF_ORDER} AS page_id,
        CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 'LINE' WHEN 1 THEN 'CIRCLE' WHEN 2 THEN 'ARC' WHEN 3 THEN 'TEXT' WHEN 4 THEN NULL ELSE 'LINE' END AS type,
        CASE l_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '04_CENTER_AXIS' WHEN 2 THEN '99_RASTER_REFERENCE' WHEN 3 THEN 'EXTRA' ELSE '02_PART_VISIBLE' END AS layer,
        CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_suppkey % 11 AS DOUBLE) / 10 END AS confidence,
@@ -191,18 +192,22 @@ SELECT 'n' || CAST(l_orderkey * 10 + l_linenumber AS STRING) AS id, {_PAGE_OF_OR
 FROM {_LINES} t
 """,
     ),
+    # Three clusters of dots per page, each across a border of 256-pixel tiles in both directions.
     "ink_a": (
         ("lineitem",),
         """
-SELECT DISTINCT 'p' || CAST(CAST(FLOOR(l_orderkey / 500) AS BIGINT) AS STRING) AS page_id, CAST(l_partkey % 64 AS INT) AS x, CAST(l_suppkey * 5 % 48 AS INT) AS y
-FROM {lineitem} WHERE l_linenumber <= 2
+SELECT DISTINCT 'p' || CAST(CAST(FLOOR(l_orderkey / 500) AS BIGINT) AS STRING) AS page_id,
+       CAST(224 + l_partkey % 64 + 256 * (CAST(FLOOR(l_partkey / 64) AS BIGINT) % 3) AS INT) AS x, CAST(232 + l_suppkey * 5 % 48 AS INT) AS y
+FROM {lineitem}
 """,
     ),
     "ink_b": (
         ("lineitem",),
         """
-SELECT DISTINCT 'p' || CAST(CAST(FLOOR(l_orderkey / 500) AS BIGINT) AS STRING) AS page_id, CAST(l_partkey % 64 AS INT) AS x, CAST(l_suppkey * 5 % 48 AS INT) AS y
-FROM {lineitem} WHERE l_linenumber BETWEEN 2 AND 3
+SELECT DISTINCT 'p' || CAST(CAST(FLOOR(l_orderkey / 500) AS BIGINT) AS STRING) AS page_id,
+       CAST(224 + (l_partkey + l_linenumber % 2) % 64 + 256 * (CAST(FLOOR(l_partkey / 64) AS BIGINT) % 3) AS INT) AS x,
+       CAST(232 + (l_suppkey * 5 + CAST(l_quantity AS INT) % 2) % 48 AS INT) AS y
+FROM {lineitem}
 """,
     ),
     "component_table": (
@@ -236,7 +241,7 @@ FROM {orders}
     "archive_entries": (
         ("lineitem",),
         f"""
-SELECT CAST(FLOOR(l_orderkey / 10) AS BIGINT) AS archive_id, (l_orderkey % 10) * 10 + l_linenumber AS ord,
+SELECT CAST(FLOOR(l_orderkey / 10) AS BIGINT) AS archive_id, (l_orderkey % 10) * 100 + l_linenumber AS ord,
        CASE WHEN l_partkey % 97 = 0 THEN '../etc/' WHEN l_partkey % 89 = 0 THEN '/abs/' WHEN l_partkey % 83 = 0 THEN 'C:/' WHEN l_partkey % 79 = 0 THEN 'a/../'
             WHEN l_partkey % 73 = 0 THEN 'sub/../../etc/' WHEN l_partkey % 71 = 0 THEN 'dir/..foo/' WHEN l_partkey % 67 = 0 THEN './a//b/../' ELSE 'dir/' END
          || CAST(l_partkey AS STRING) || CASE l_partkey % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.png' ELSE '.txt' END AS name,

@@ -11,8 +11,8 @@ from draftlake.plans.fixtures import Source, oracle_with
 from draftlake.plans.registry import joined, query, r6
 
 
-def _ink_sizes(ink: DataFrame, width: int = 64, height: int = 48) -> DataFrame:
-    """All derived ink pages are 64×48."""
+def _ink_sizes(ink: DataFrame, width: int = 832, height: int = 512) -> DataFrame:
+    """All derived ink pages are 832×512."""
     return ink.select("page_id").distinct().select("page_id", F.lit(width).alias("width"), F.lit(height).alias("height"))
 
 
@@ -139,11 +139,11 @@ def p13(src: Source) -> DataFrame:
     oracle_with(
         "ink_a",
         body="""
-, t AS (SELECT i.page_id, a.i, FLOOR(COS(RADIANS(-10.0 + a.i * 0.2)) * (x - 32.0) + SIN(RADIANS(-10.0 + a.i * 0.2)) * (y - 24.0) + 32.0 + 0.5) AS rx,
-   FLOOR(COS(RADIANS(-10.0 + a.i * 0.2)) * (y - 24.0) - SIN(RADIANS(-10.0 + a.i * 0.2)) * (x - 32.0) + 24.0 + 0.5) AS ry
+, t AS (SELECT i.page_id, a.i, FLOOR(COS(RADIANS(-10.0 + a.i * 0.2)) * (x - 416.0) + SIN(RADIANS(-10.0 + a.i * 0.2)) * (y - 256.0) + 416.0 + 0.5) AS rx,
+   FLOOR(COS(RADIANS(-10.0 + a.i * 0.2)) * (y - 256.0) - SIN(RADIANS(-10.0 + a.i * 0.2)) * (x - 416.0) + 256.0 + 0.5) AS ry
   FROM ink_a i, (SELECT UNNEST(RANGE(0, 101)) AS i) a),
-c AS (SELECT page_id, i, ry, COUNT(*) AS c FROM t WHERE rx >= 0 AND rx < 64 AND ry >= 0 AND ry < 48 GROUP BY page_id, i, ry),
-s AS (SELECT page_id, i, CAST(SUM(c * c) * 48 - SUM(c) * SUM(c) AS BIGINT) AS score FROM c GROUP BY page_id, i),
+c AS (SELECT page_id, i, ry, COUNT(*) AS c FROM t WHERE rx >= 0 AND rx < 832 AND ry >= 0 AND ry < 512 GROUP BY page_id, i, ry),
+s AS (SELECT page_id, i, CAST(SUM(c * c) * 512 - SUM(c) * SUM(c) AS BIGINT) AS score FROM c GROUP BY page_id, i),
 b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS rn FROM s)
 SELECT page_id, ROUND(-10.0 + i * 0.2, 6) + 0.0 AS angle FROM b WHERE rn = 1""",
     ),

@@ -93,12 +93,12 @@ def s6(src: Source) -> DataFrame:
         "pages_meta",
         body="""
 SELECT COALESCE(p.batch_id, 'unknown') AS batch_id, 'pages/' || COALESCE(p.batch_id, 'unknown') || '/' || COALESCE(p.file_id, 'unknown') || '/' || a.page_id || '/' || a.kind AS key, COUNT(*) AS n
-FROM artifacts a LEFT JOIN pages_meta p ON p.page_id = a.page_id AND p.status <> 'failed' GROUP BY ALL""",
+FROM artifacts a LEFT JOIN pages_meta p ON p.page_id = a.page_id GROUP BY ALL""",
     ),
 )
 def s7(src: Source) -> DataFrame:
     path = _scratch(src, "artifacts")
-    pages = src["pages_meta"].where(F.col("status") != "failed").select("page_id", "file_id", "batch_id")
+    pages = src["pages_meta"].select("page_id", "file_id", "batch_id")
     placed = src["artifacts"].join(pages, "page_id", "left")
     for _ in range(2):  # a repeated run replaces, it does not append
         tables.write_artifacts(placed, path, "kind")

@@ -159,12 +159,11 @@ def p21(src: Source) -> DataFrame:
         body="""
 SELECT p.page_id, p.status, o.blocks, o.titleblocks FROM pages_meta p
 LEFT JOIN (SELECT page_id, COUNT(*) AS blocks, COUNT(*) FILTER (kind = 'titleblock_text') AS titleblocks FROM ocr_blocks
-           WHERE confidence > 0.3 AND page_id NOT LIKE '%7' GROUP BY page_id) o ON o.page_id = p.page_id""",
+           GROUP BY page_id) o ON o.page_id = p.page_id""",
     ),
 )
 def j3(src: Source) -> DataFrame:
-    ready = src["ocr_blocks"].where((F.col("confidence") > 0.3) & ~F.col("page_id").endswith("7"))
-    return ocr.attach_ocr(src["pages_meta"].select("page_id", "status"), ready)
+    return ocr.attach_ocr(src["pages_meta"].select("page_id", "status"), src["ocr_blocks"])
 
 
 @query(

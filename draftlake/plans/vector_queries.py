@@ -241,14 +241,10 @@ def a2(src: Source) -> DataFrame:
 
 _COUNTS = f"""
 , c AS (SELECT page_id, COUNT(*) AS n, {_WEAK} AS low, COUNT(*) FILTER (type = 'LINE') AS lines FROM primitives
-  WHERE radius > 20 AND page_id NOT LIKE '%3' GROUP BY page_id),
+  GROUP BY page_id),
 j AS (SELECT p.page_id, COALESCE(n, 0) AS n, COALESCE(low, 0) AS low, COALESCE(lines, 0) AS lines FROM pages_meta p LEFT JOIN c ON c.page_id = p.page_id)"""
 
 
-def _some(src: Source) -> DataFrame:
-    return src["primitives"].where((F.col("radius") > 20) & ~F.col("page_id").endswith("3"))
-
-
 @query(
     "a3_doc_review",
     oracle_with(
@@ -261,7 +257,7 @@ SELECT page_id, n = 0 OR low > GREATEST(5, FLOOR(0.1 * n)) AS requires_review,
     ),
 )
 def a3(src: Source) -> DataFrame:
-    return vec.doc_review(_some(src), src["pages_meta"]).withColumn("warnings", joined("warnings"))
+    return vec.doc_review(src["primitives"], src["pages_meta"]).withColumn("warnings", joined("warnings"))
 
 
 @query(
@@ -275,7 +271,7 @@ SELECT page_id, n > 0 AND low = 0 AS ok, CASE WHEN n = 0 THEN 'no_primitives' WH
     ),
 )
 def a4(src: Source) -> DataFrame:
-    return vec.review_summary(_some(src), src["pages_meta"])
+    return vec.review_summary(src["primitives"], src["pages_meta"])
 
 
 @query(

@@ -61,30 +61,34 @@ def _gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def scan_pixels(spark: SparkSession, folder: str, glob: str = "*.png", max_pixels: int = archive.MAX_PIXELS) -> DataFrame:
-    """Gray pixels of page images; the page id is the file name without its suffix.
-
-    Undecodable files and pages above the pixel limit are left out.  Spark's image
-    source decodes in the JVM; the numpy step emits bounded chunks.
-    """
+def _images(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     images = (
         spark.read.format("image")
-        .option("dropInvalid", "true")
+        .option("dropInvalid", "false")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
-    )
-    named = images.where(F.col("width").cast("long") * F.col("height") <= max_pixels).select(
-        F.regexp_replace(F.element_at(F.split("origin", "/"), -1), r"\.[^.]*$", "").alias("page_id"),
-        "width",
-        "height",
-        "channels",
-        "data",
     )
+    return images.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def scan_pixels(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
+    """Gray pixels of page images of any size; the page id is the file name without its suffix.
+
+    Spark's image source decodes in the JVM; the numpy step emits bounded chunks.  Files
+    that cannot be decoded have no pixels, ``undecodable`` lists them.
+    """
+    page = F.regexp_replace(F.element_at(F.split("origin", "/"), -1), r"\.[^.]*$", "").alias("page_id")
+    named = _images(spark, folder, glob).where(F.col("width") > 0).select(page, "width", "height", "channels", "data")
     return named.mapInPandas(_gray, "page_id string, x int, y int, v int")
 
 
+def undecodable(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
+    """(path, reason) of the page images that ``scan_pixels`` has no pixels of."""
+    bad = _images(spark, folder, glob).where(~(F.col("width") > 0))
+    return bad.select(F.col("origin").alias("path"), F.lit("not a readable image").alias("reason"))
+
+
 # -------------------------------------------------------------------- archives
 CHILD_SCHEMA = (
     "archive_id string, file_id string, ord long, name string, type string, size long, depth int, content binary, error string"

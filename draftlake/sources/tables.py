@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from draftlake.schemas import CAD_DOCUMENT, CATALOGUE
 
 
+def _cad_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    reader = spark.read.schema(f"{CAD_DOCUMENT}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    return reader.option("recursiveFileLookup", "true").option("multiLine", not lines).json(path).withColumn("path", F.input_file_name())
+
+
 def read_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """CAD documents, one row each; malformed files are left out.
+    """CAD documents, one row each; ``rejected_cad`` lists what could not be read.
 
     ``lines=True`` reads one document per line, which splits large inputs.
     """
-    reader = spark.read.schema(CAD_DOCUMENT).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
-    return reader.option("multiLine", not lines).json(path)
+    return _cad_rows(spark, path, lines).where(F.col("_broken").isNull()).drop("_broken", "path")
+
+
+def rejected_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, schema_version if readable, content) of what is no CAD document."""
+    rows = _cad_rows(spark, path, lines).where(F.col("_broken").isNotNull())
+    return rows.select("path", "schema_version", F.col("_broken").alias("content"))
 
 
 def _point(column: str, index: int) -> Column:
@@ -80,7 +90,8 @@ def cad_dimensions(documents: DataFrame) -> DataFrame:
 def catalog(spark: SparkSession, folder: str, views: bool = True) -> dict[str, DataFrame]:
     """The catalogue tables found under ``folder`` (one parquet folder each).
 
-    Tables that were never written come back empty with their schema.
+    Tables that were never written come back empty with their schema; any other failure
+    to read one is raised.
     """
     from pyspark.errors import AnalysisException
 
@@ -88,7 +99,9 @@ def catalog(spark: SparkSession, folder: str, views: bool = True) -> dict[str, D
     for name, schema in CATALOGUE.items():
         try:
             tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
-        except AnalysisException:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             tables[name] = spark.createDataFrame([], schema)
         if views:
             tables[name].createOrReplaceTempView(name)

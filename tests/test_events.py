@@ -112,7 +112,7 @@ def test_list_batches_limits(spark):
     assert catalog.list_batches(df, 1).first()["batch_id"] == "119"
 
 
-def test_read_cad_skips_malformed(spark, tmp_path):
+def test_read_cad_lists_malformed(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         '{"schema_version":"0.1","document":{"page_id":"p","px_per_mm":10.0,"image_size_px":[1200,800]},'
         '"primitives":[{"id":"1","type":"LINE","p1":[1.0,2.0],"p2":[3.0,4.0]},{"id":"2","type":"CIRCLE","center":[5.0,6.0],"radius":7.0}],'
@@ -121,6 +121,8 @@ def test_read_cad_skips_malformed(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"schema_version": ')
     docs = tables.read_cad(spark, str(tmp_path))
     assert docs.count() == 1
+    bad = tables.rejected_cad(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.content.startswith('{"schema_version"')) for r in bad] == [("b.json", True)]
     prims = {r["id"]: r for r in tables.cad_primitives(docs).collect()}
     assert prims["1"]["x2"] == 3.0 and prims["2"]["x1"] == 5.0 and prims["2"]["height_px"] == 800
     assert tables.cad_dimensions(docs).first()["kind"] == "linear"

@@ -205,7 +205,8 @@ def test_scan_pixels(spark, tmp_path):
     back = np.zeros_like(gray)
     back[got["y"], got["x"]] = got["v"]
     assert (back == gray).all()
-    assert files.scan_pixels(spark, str(tmp_path), max_pixels=100).count() == 0
+    bad = files.undecodable(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.reason) for r in bad] == [("broken.png", "not a readable image")]
 
 
 @pytest.mark.parametrize("shape", ["line", "rectangle", "circle"])
