@@ -527,9 +527,14 @@ def _span(df: DataFrame, points: list[tuple[str, str]]) -> DataFrame:
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
-    """Copies of one geometry folded together: least id, summed inliers, weighted rms."""
+    """Copies of one geometry folded together: least id, summed inliers, weighted rms.
+
+    Segments too short to merge stay apart, copies included.
+    """
     weight = F.col("rms_px") * F.col("rms_px") * F.col("inliers")
-    return segments.groupBy("page_id", *ENDS).agg(
+    short = geo.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) < MIN_MERGE_PX
+    own = F.when(short, F.col("seg_id")).alias("_own")
+    return segments.groupBy("page_id", *ENDS, own).agg(
         F.min("seg_id").alias("seg_id"),
         F.count("*").alias("copies"),
         F.sqrt(F.sum(weight) / F.greatest(F.sum("inliers"), F.lit(1))).alias("rms_px"),

@@ -9,8 +9,10 @@ from draftlake.schemas import CAD_DOCUMENT, CATALOGUE
 
 
 def _cad_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    reader = spark.read.schema(f"{CAD_DOCUMENT}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
-    return reader.option("recursiveFileLookup", "true").option("multiLine", not lines).json(path).withColumn("path", F.input_file_name())
+    texts = spark.read.option("wholetext", not lines).option("recursiveFileLookup", "true").text(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = F.from_json("value", f"{CAD_DOCUMENT}, _broken string", options)
+    return texts.where(F.trim("value") != "").select(F.input_file_name().alias("path"), "value", parsed.alias("_d"))
 
 
 def read_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -18,13 +20,13 @@ def read_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
     ``lines=True`` reads one document per line, which splits large inputs.
     """
-    return _cad_rows(spark, path, lines).where(F.col("_broken").isNull()).drop("_broken", "path")
+    return _cad_rows(spark, path, lines).where(F.col("_d._broken").isNull()).select("_d.*").drop("_broken")
 
 
 def rejected_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(path, schema_version if readable, content) of what is no CAD document."""
-    rows = _cad_rows(spark, path, lines).where(F.col("_broken").isNotNull())
-    return rows.select("path", "schema_version", F.col("_broken").alias("content"))
+    """(path, content) of the files, or lines, that are no CAD documents."""
+    rows = _cad_rows(spark, path, lines).where(F.col("_d._broken").isNotNull())
+    return rows.select("path", F.col("value").alias("content"))
 
 
 def _point(column: str, index: int) -> Column:
