@@ -946,10 +946,15 @@ def align_breaks(segments: DataFrame, centres: DataFrame, radius: float = BREAK_
     return current
 
 
-def rotate_points(ink: DataFrame, angle_deg: float, width: int, height: int) -> DataFrame:
-    """Turn ink pixels about the page centre onto the nearest pixel."""
+def rotate_points(ink: DataFrame, turns: DataFrame) -> DataFrame:
+    """Turn ink pixels about the page centre onto the nearest pixel.
+
+    ``turns``: page_id, angle_deg, width, height; each page has its own angle and size, and
+    pages that are not listed stay as they are.
+    """
+    joined = ink.join(turns.select("page_id", "angle_deg", "width", "height"), "page_id", "left")
     turned = geo.rotate_about(
-        F.col("x").cast("double"), F.col("y").cast("double"), F.lit(width / 2.0), F.lit(height / 2.0), F.lit(angle_deg)
+        F.col("x").cast("double"), F.col("y").cast("double"), F.col("width") / 2.0, F.col("height") / 2.0, F.col("angle_deg")
     )
-    nearest = lambda c: F.bround(c, 0).cast("int")
-    return ink.withColumn("_p", turned).select("page_id", nearest("_p.x").alias("x"), nearest("_p.y").alias("y")).distinct()
+    nearest = lambda c: F.coalesce(F.bround(f"_p.{c}", 0).cast("int"), c).alias(c)
+    return joined.withColumn("_p", turned).select("page_id", nearest("x"), nearest("y")).distinct()

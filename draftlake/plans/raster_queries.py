@@ -375,3 +375,12 @@ def i7(src: Source) -> DataFrame:
 
     curves = _polylines(src).withColumn("layer", F.lit("02_PART_VISIBLE"))
     return raster.rasterise(src["primitives"], curves, src["page_sizes"]).groupBy("page_id").agg(F.count("*").alias("ink"))
+
+
+@query("page_preparation")
+def page_preparation(src: Source) -> DataFrame:
+    """Gray pixels to quality rows: threshold, deskew, frame, density, warnings."""
+    from draftlake.plans import pages
+
+    _, rows = pages.prepare(src["pixels"])
+    return rows.withColumns({c: r6(c) for c in ("contrast", "noise", "fg_ratio", "text_density")}).withColumn("warnings", joined("warnings"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.operators import backends
+from draftlake.operators import backends, ocr
 from draftlake.operators import vector as vec
 from draftlake.operators.ordered import first_per_key
 from draftlake.plans.event_queries import _REASON, _STATUS
@@ -53,6 +53,46 @@ def s3(src: Source) -> DataFrame:
     return read.select("id", F.size("vertices").alias("vertices"), "closed", "type")
 
 
+@query(
+    "s3_cad_roundtrip",
+    oracle_with(
+        "primitives",
+        "pages_meta",
+        body="""
+, r AS (SELECT *, type IN ('CIRCLE', 'ARC', 'TEXT') AS single FROM primitives)
+SELECT r.page_id, r.id, type, layer, confidence, x1, y1, CASE WHEN COALESCE(single, FALSE) THEN NULL ELSE x2 END AS x2,
+       CASE WHEN COALESCE(single, FALSE) THEN NULL ELSE y2 END AS y2, radius, start_angle_deg, end_angle_deg, text, height, rotation_deg,
+       CAST(m.dpi AS DOUBLE) / 25.4 AS px_per_mm, m.height_px
+FROM r LEFT JOIN pages_meta m ON m.page_id = r.page_id""",
+    ),
+)
+def s3_roundtrip(src: Source) -> DataFrame:
+    path, blocks = _scratch(src, "cad"), src["ocr_blocks"]
+    tables.write_cad(src["pages_meta"], src["primitives"], blocks, ocr.dimensions(ocr.enrich_ocr(blocks)), path)
+    read = tables.cad_primitives(tables.read_cad(src.spark, f"{path}/primitives", lines=True))
+    return read.select(
+        *"page_id id type layer confidence x1 y1 x2 y2 radius start_angle_deg end_angle_deg text height rotation_deg px_per_mm height_px".split()
+    )
+
+
+@query(
+    "s3_cad_heads",
+    oracle_with(
+        "primitives",
+        "pages_meta",
+        body="""
+, c AS (SELECT page_id, COUNT(*) AS n, COUNT(*) FILTER (COALESCE(NULLIF(confidence, 0), 1) < 0.55) AS low FROM primitives GROUP BY page_id)
+SELECT p.page_id, p.batch_id, p.file_id, p.page_type, COALESCE(n, 0) = 0 OR COALESCE(low, 0) > GREATEST(5, FLOOR(0.1 * COALESCE(n, 0))) AS requires_review
+FROM pages_meta p LEFT JOIN c ON c.page_id = p.page_id""",
+    ),
+)
+def s3_heads(src: Source) -> DataFrame:
+    path, blocks = _scratch(src, "cad"), src["ocr_blocks"]
+    tables.write_cad(src["pages_meta"], src["primitives"], blocks, ocr.dimensions(ocr.enrich_ocr(blocks)), path)
+    heads = tables.read_cad(src.spark, f"{path}/head", lines=True)
+    return heads.select("document.page_id", "document.batch_id", "document.file_id", "document.page_type", "qa.requires_review")
+
+
 _VALID = "COALESCE(event_type, '') <> ''"
 
 
@@ -120,7 +160,8 @@ def s8(src: Source) -> DataFrame:
         "page_id", (F.col("dpi").cast("double") / F.lit(25.4)).alias("px_per_mm"), "height_px"
     )
     tables.write_entities(vec.entities(src["primitives"], pages), path)
-    lines = src.spark.read.text(f"{path}/text")
+    text = src.spark.read.parquet(f"{path}/text")
+    lines = text.select("page_id", F.explode(F.split("text", "\n")).alias("value"))
     # Entity kinds stand on the line after code 0 and are the only such words in the text.
     return lines.groupBy("page_id").agg(
         F.count_if(F.col("value").isin("LINE", "CIRCLE", "ARC", "TEXT", "LWPOLYLINE")).alias("entities"),

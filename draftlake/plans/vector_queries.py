@@ -10,6 +10,7 @@ from draftlake.functions import rules
 from draftlake.operators import vector as vec
 from draftlake.plans.fixtures import Source, oracle_with
 from draftlake.plans.registry import joined, query, r6
+from draftlake.schemas import LAYERS
 
 _PAGES = """
 , scale AS (SELECT page_id, CASE WHEN dpi IS NULL THEN NULL ELSE CAST(dpi AS DOUBLE) / CAST(25.4 AS DOUBLE) END AS ppm,
@@ -209,12 +210,36 @@ def p28(src: Source) -> DataFrame:
     oracle_with(
         "ink_a",
         body="""
-SELECT DISTINCT page_id, CAST(ROUND_EVEN((x - 32.0) * COS(RADIANS(7.3)) + (y - 24.0) * SIN(RADIANS(7.3)) + 32.0, 0) AS INT) AS x,
-       CAST(ROUND_EVEN((y - 24.0) * COS(RADIANS(7.3)) - (x - 32.0) * SIN(RADIANS(7.3)) + 24.0, 0) AS INT) AS y FROM ink_a""",
+, t AS (SELECT *, RADIANS((CAST(SUBSTR(page_id, 2) AS BIGINT) % 21 - 10) * 0.7) AS a FROM ink_a)
+SELECT DISTINCT page_id, CAST(ROUND_EVEN((x - 416.0) * COS(a) + (y - 256.0) * SIN(a) + 416.0, 0) AS INT) AS x,
+       CAST(ROUND_EVEN((y - 256.0) * COS(a) - (x - 416.0) * SIN(a) + 256.0, 0) AS INT) AS y FROM t""",
     ),
 )
 def p29(src: Source) -> DataFrame:
-    return vec.rotate_points(src["ink_a"], 7.3, 64, 48)
+    ink = src["ink_a"]
+    number = F.substring("page_id", 2, 18).cast("long")
+    turns = ink.select("page_id").distinct().withColumns(
+        {"angle_deg": (number % 21 - 10) * F.lit(0.7), "width": F.lit(832), "height": F.lit(512)}
+    )
+    return vec.rotate_points(ink, turns)
+
+
+@query(
+    "j12_layer_of_role",
+    oracle_with(
+        "ocr_blocks",
+        body="""
+SELECT block_id, CASE kind WHEN 'titleblock_text' THEN 'text' WHEN 'dimension_text' THEN 'dimension_text' ELSE kind END AS role,
+       COALESCE(l.layer, '02_PART_VISIBLE') AS layer
+FROM ocr_blocks b LEFT JOIN (VALUES {roles}) l(role, layer)
+  ON l.role = CASE kind WHEN 'titleblock_text' THEN 'text' WHEN 'dimension_text' THEN 'dimension_text' ELSE kind END""".replace(
+            "{roles}", ", ".join(f"('{r}', '{n}')" for n, _, r, _ in LAYERS)
+        ),
+    ),
+)
+def j12_roles(src: Source) -> DataFrame:
+    role = F.when(F.col("kind") == "titleblock_text", "text").otherwise(F.col("kind"))
+    return vec.layer_of_role(src["ocr_blocks"].select("block_id", role.alias("role")))
 
 
 # -------------------------------------------------------------------- summaries

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.schemas import CAD_DOCUMENT, CATALOGUE
+from draftlake.schemas import CAD_DOCUMENT, CATALOGUE, LAYERS
+
+# ---------------------------------------------------------------- fixed values
+CAD_VERSION = "0.1"
+WEAK_CONFIDENCE = 0.55
+# ---------------------------------------------------------- end of fixed values
 
 
 def _cad_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -29,6 +34,60 @@ def rejected_cad(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return rows.select("path", F.col("value").alias("content"))
 
 
+def write_cad(pages: DataFrame, primitives: DataFrame, ocr: DataFrame, dimensions: DataFrame, path: str) -> None:
+    """CAD documents as line-oriented parts: ``head``, ``primitives``, ``ocr``, ``dimensions``.
+
+    Every line is a CAD document of its page that holds the head or one entry, so a page
+    with very many entries spans lines and files instead of filling one row.  Each part is
+    range-partitioned by page and read back by ``read_cad(part, lines=True)``.
+
+    ``pages``: batch_id, file_id, page_id, dpi, page_type, width_px, height_px; the other
+    tables are those of the vector and text operators.
+    """
+    scale = F.col("dpi").cast("double") / F.lit(25.4)
+    size = F.array(F.col("width_px").cast("int"), F.col("height_px").cast("int"))
+    ids = ["batch_id", "file_id", "page_id"]
+    facts = pages.select(
+        *ids, F.lit("mm").alias("units"), F.col("dpi").cast("int").alias("dpi"), scale.alias("px_per_mm"), "page_type", size.alias("image_size_px")
+    )
+    layers = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("role"), F.lit(c).alias("color")) for n, c, r, _ in LAYERS])
+    head = facts.select(F.lit(CAD_VERSION).alias("schema_version"), F.struct(*facts.columns).alias("document"), layers.alias("layers"))
+    weak = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < WEAK_CONFIDENCE
+    counts = primitives.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(weak).alias("low"))
+    review = (F.coalesce("n", F.lit(0)) == 0) | (F.coalesce("low", F.lit(0)) > F.greatest(F.lit(5), F.floor(F.lit(0.1) * F.coalesce("n", F.lit(0)))))
+    judged = head.withColumn("page_id", F.col("document.page_id")).join(counts, "page_id", "left")
+    _write_part(judged.withColumn("qa", F.struct(review.alias("requires_review"))).drop("n", "low"), f"{path}/head")
+
+    about = facts.select("page_id", "px_per_mm", "image_size_px")
+
+    def entries(rows: DataFrame, name: str, entry: Column, to: str) -> None:
+        placed = rows.select("page_id", F.array(entry).alias(name)).join(about, "page_id", "left")
+        _write_part(placed.select("page_id", F.struct("page_id", "px_per_mm", "image_size_px").alias("document"), name), f"{path}/{to}")
+
+    kind, at = F.col("type"), F.array("x1", "y1")
+    shape = F.struct(
+        "id",
+        "type",
+        "layer",
+        "confidence",
+        F.when(~kind.isin("CIRCLE", "ARC", "TEXT") | kind.isNull(), at).alias("p1"),
+        F.when(~kind.isin("CIRCLE", "ARC", "TEXT") | kind.isNull(), F.array("x2", "y2")).alias("p2"),
+        F.when(kind.isin("CIRCLE", "ARC"), at).alias("center"),
+        F.when(kind == "TEXT", at).alias("position"),
+        *[F.col(c) for c in ("radius", "start_angle_deg", "end_angle_deg", "text", "height", "rotation_deg")],
+    )
+    entries(primitives, "primitives", shape, "primitives")
+    box = F.array("x1", "y1", "x2", "y2").alias("bbox_px")
+    entries(ocr, "ocr", F.struct(F.col("block_id").alias("id"), "text", box, "confidence", "kind"), "ocr")
+    anchor = F.array("anchor_x", "anchor_y").alias("anchor_px")
+    fields = [F.col(c) for c in ("kind", "value", "unit", "tolerance")]
+    entries(dimensions, "dimensions", F.struct(F.col("block_id").alias("id"), *fields, anchor, "raw_text"), "dimensions")
+
+
+def _write_part(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("page_id").sortWithinPartitions("page_id").drop("page_id").write.mode("overwrite").json(path)
+
+
 def _point(column: str, index: int) -> Column:
     return F.get(F.col(column), index)
 
@@ -116,12 +175,19 @@ def artifact_key(artifact: Column) -> Column:
     return F.concat_ws("/", F.lit("pages"), known("batch_id"), known("file_id"), known("page_id"), artifact)
 
 
-def write_artifacts(df: DataFrame, root: str, artifact: str = "artifact") -> None:
-    """Write artifacts by batch; a repeated run replaces only the batches it holds."""
+def write_artifacts(df: DataFrame, root: str, artifact: str = "artifact", rows_per_file: int = 100_000) -> None:
+    """Write artifacts by batch; a repeated run replaces only the batches it holds.
+
+    Rows of a batch meet in as many tasks as it has ``rows_per_file``, so the number of
+    files follows the data and not tasks times batches, and a large batch is split.
+    """
     keyed = df.withColumn("key", artifact_key(F.col(artifact))).withColumn(
         "batch_id", F.coalesce(F.nullif(F.col("batch_id"), F.lit("")), F.lit("unknown"))
     )
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
+    parts = keyed.groupBy("batch_id").agg(F.ceil(F.count("*") / F.lit(rows_per_file)).alias("_parts"))
+    salted = keyed.join(parts, "batch_id").withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_parts")))
+    dealt = salted.repartition("batch_id", "_salt").drop("_parts", "_salt")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
 
 
 def entity_lines(entities: DataFrame) -> DataFrame:
@@ -157,9 +223,15 @@ def entity_lines(entities: DataFrame) -> DataFrame:
 def write_entities(entities: DataFrame, path: str) -> None:
     """Entity table as parquet and its group-code text, ordered by page and id.
 
-    Text is written entity by entity from range-partitioned rows, so a page with very
-    many entities continues over several files instead of filling one task.
+    The text is a table (page_id, id, text) of range-partitioned rows: a page with very many
+    entities continues over several files, and many small pages share one.
     """
     entities.write.mode("overwrite").parquet(f"{path}/table")
     lines = entity_lines(entities).repartitionByRange("page_id", "id").sortWithinPartitions("page_id", "id")
-    lines.select("page_id", "text").write.mode("overwrite").partitionBy("page_id").text(f"{path}/text")
+    lines.write.mode("overwrite").parquet(f"{path}/text")
+
+
+def write_page_text(spark: SparkSession, path: str, page_id: str, to: str) -> None:
+    """The group-code text of one page as text files, from the table of ``write_entities``."""
+    rows = spark.read.parquet(f"{path}/text").where(F.col("page_id") == page_id)
+    rows.orderBy("id").select("text").write.mode("overwrite").text(to)

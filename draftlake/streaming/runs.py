@@ -37,11 +37,15 @@ def as_messages(events: DataFrame) -> DataFrame:
     return keyed.select(F.col("event_key").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def write_events(events: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:
-    """Write envelopes as JSON lines; a stream needs a checkpoint and is drained once."""
+def write_events(events: DataFrame, path: str, checkpoint: str | None = None, run: str | None = None) -> StreamingQuery | None:
+    """Write envelopes as JSON lines; a stream needs a checkpoint and is drained once.
+
+    A batch is published under the name of its ``run``; publishing a run again replaces it,
+    so a repeated job does not double the log.  Without a name the whole log is replaced.
+    """
     lines = as_messages(events).select("value")
     if not events.isStreaming:
-        lines.write.mode("append").text(path)
+        lines.write.mode("overwrite").text(path if run is None else f"{path}/run={run}")
         return None
     return (
         lines.writeStream.format("text")

@@ -127,3 +127,13 @@ def test_read_cad_lists_malformed(spark, tmp_path):
     assert prims["1"]["x2"] == 3.0 and prims["2"]["x1"] == 5.0 and prims["2"]["height_px"] == 800
     assert tables.cad_dimensions(docs).first()["kind"] == "linear"
     assert tables.cad_pages(docs).first()["page_type"] == "unknown"
+
+
+def test_publishing_a_run_again_replaces_it(spark, tmp_path):
+    rows = [("1", "page.extracted", "p", 1), ("2", "page.failed", "p", 1)]
+    log = spark.createDataFrame(rows, "event_id string, event_type string, page_id string, attempt int").withColumns(
+        {c: F.lit(None).cast("string") for c in ("batch_id", "file_id", "artifact_uri", "payload")}
+    ).withColumn("created_at", F.current_timestamp())
+    for run in ("a", "a", "b"):
+        runs.write_events(log, str(tmp_path / "log"), run=run)
+    assert spark.read.text(str(tmp_path / "log")).count() == 4

@@ -231,3 +231,37 @@ def test_drawing_to_primitives(spark, shape):
     if shape == "rectangle":
         judged = pages.quality(pages.vectorise(ink), ink, sizes).first()
         assert judged["chamfer_px"] < 2 and judged["raster_iou"] > 0.3
+
+
+def test_prepared_page_like_numpy(spark):
+    """A tilted drawing on a gray page, against a plain computation of every step."""
+    rng = np.random.default_rng(4)
+    height, width = 120, 160
+    page = np.full((height, width), 200.0) + rng.normal(0, 3, (height, width))
+    for y in range(20, 100, 16):
+        for x in range(12, 150):
+            page[int(round(y + (x - 80) * np.tan(np.radians(4.0)))), x] = 40
+    gray = np.clip(page, 0, 255).astype(int)
+    pixels = spark.createDataFrame(
+        [("p", int(x), int(y), int(gray[y, x])) for y in range(height) for x in range(width)], "page_id string, x int, y int, v int"
+    )
+    upright, rows = pages.prepare(pixels)
+    row = rows.first()
+    dark = {(r.x, r.y) for r in raster.binarize(pixels).collect()}
+    best, score = 0.0, -1
+    for i in range(101):
+        a = np.radians(-10 + i * 0.2)
+        xs, ys = np.array([p[0] for p in dark]), np.array([p[1] for p in dark])
+        dx, dy = xs - width / 2, ys - height / 2
+        rx, ry = np.floor(np.cos(a) * dx + np.sin(a) * dy + width / 2 + 0.5), np.floor(np.cos(a) * dy - np.sin(a) * dx + height / 2 + 0.5)
+        on = (rx >= 0) & (rx < width) & (ry >= 0) & (ry < height)
+        value = np.bincount(ry[on].astype(int), minlength=height).var()
+        if value > score + 1e-9:
+            best, score = -10 + i * 0.2, value
+    assert abs(row.skew_deg - best) < 1e-6 and abs(abs(best) - 4.0) < 0.5
+    assert abs(row.contrast - min(1, gray.std() / 80)) < 1e-6
+    assert abs(row.fg_ratio - upright.count() / (width * height)) < 1e-9
+    lines = {r.y for r in upright.groupBy("y").count().where("count > 60").collect()}
+    assert len(lines) >= 5
+    assert (row.width, row.height, row.has_frame) == (width, height, False)
+    assert "high_skew" not in row.warnings
