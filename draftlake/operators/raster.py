@@ -35,6 +35,7 @@ REFERENCE_LAYER = "99_RASTER_REFERENCE"
 # ---------------------------------------------------------- end of fixed values
 
 PIXEL = ["page_id", "x", "y"]
+GRAY_TILE = 256
 
 
 # ----------------------------------------------------------------- gray values
@@ -47,21 +48,47 @@ def ink_stats(pixels: DataFrame) -> DataFrame:
     )
 
 
+def _tiles(pixels: DataFrame, halo: int) -> DataFrame:
+    """Pixels dealt to tiles of GRAY_TILE pixels and the ``halo`` around them, with the page's size.
+
+    One exchange; a tile is of bounded size, so it may be handled as an array.
+    """
+    sizes = pixels.groupBy("page_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+    def near(c: str, side: str) -> Column:
+        low, high = F.floor((F.col(c) - halo) / GRAY_TILE), F.floor((F.col(c) + halo) / GRAY_TILE)
+        last = F.floor((F.col(side) - 1) / GRAY_TILE)
+        return F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))
+
+    sized = pixels.select(*PIXEL, "v").join(sizes, "page_id")
+    return sized.withColumn("tx", F.explode(near("x", "width"))).withColumn("ty", F.explode(near("y", "height")))
+
+
+def _tile_array(pdf: pd.DataFrame, halo: int, mode: str) -> tuple[int, int, np.ndarray]:
+    """Origin and values of a tile with its halo; ``mode`` says how a page goes on behind its border."""
+    width, height = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
+    x0, y0 = int(pdf["tx"].iloc[0]) * GRAY_TILE, int(pdf["ty"].iloc[0]) * GRAY_TILE
+    x1, y1 = min(width, x0 + GRAY_TILE), min(height, y0 + GRAY_TILE)
+    left, top, right, bottom = max(0, x0 - halo), max(0, y0 - halo), min(width, x1 + halo), min(height, y1 + halo)
+    cells = np.zeros((bottom - top, right - left))
+    cells[pdf["y"].to_numpy() - top, pdf["x"].to_numpy() - left] = pdf["v"].to_numpy()
+    pad = ((halo - (y0 - top), halo - (bottom - y1)), (halo - (x0 - left), halo - (right - x1)))
+    return x0, y0, np.pad(cells, pad, mode=mode)
+
+
 def noise_score(pixels: DataFrame) -> DataFrame:
     """Variance of the four-neighbour Laplacian; the border mirrors without repeating the edge."""
-    across = Window.partitionBy("page_id", "y").orderBy("x")
-    down = Window.partitionBy("page_id", "x").orderBy("y")
-
-    def sides(w: Window) -> Column:
-        before, after = F.lag("v").over(w), F.lead("v").over(w)
-        both = F.coalesce(before, after, F.col("v")) + F.coalesce(after, before, F.col("v"))
-        return both
-
-    lap = pixels.withColumn("_h", sides(across)).withColumn("_v", sides(down))
-    value = (F.col("_h") + F.col("_v") - 4 * F.col("v")).cast("double")
-    spread_of = F.var_pop(value)
-    return lap.groupBy("page_id").agg(
-        spread_of.alias("laplacian_var"), rules.clip(spread_of / F.lit(rules.NOISE_FULL_SCALE), 0.0, 1.0).alias("noise")
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, a = _tile_array(pdf, 1, "reflect")
+        lap = a[1:-1, :-2] + a[1:-1, 2:] + a[:-2, 1:-1] + a[2:, 1:-1] - 4 * a[1:-1, 1:-1]
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "n": [lap.size], "s": [lap.sum()], "ss": [(lap * lap).sum()]})
+
+    parts = _tiles(pixels, 1).groupBy("page_id", "tx", "ty").applyInPandas(sums, "page_id string, n long, s double, ss double")
+    total = parts.groupBy("page_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    spread_of = F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))
+    return total.select(
+        "page_id", spread_of.alias("laplacian_var"), rules.clip(spread_of / F.lit(rules.NOISE_FULL_SCALE), 0.0, 1.0).alias("noise")
     )
 
 
@@ -101,39 +128,46 @@ def _gauss(block: int) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _blur(df: DataFrame, value: str, out: str, group: str, order: str, block: int) -> DataFrame:
-    """One pass of a separable Gaussian with replicated borders, along an image row or column."""
-    half, weights = block // 2, _gauss(block)
-    w = Window.partitionBy("page_id", group).orderBy(order)
-    edge = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(value).over(edge), F.last(value).over(edge)
-    terms = {"_c": F.col(value) * weights[half]}
-    names = ["_c"]
-    for k in range(1, half + 1):
-        terms[f"_l{k}"] = F.lag(value, k).over(w)
-        terms[f"_r{k}"] = F.lead(value, k).over(w)
-        names += [f"_l{k}", f"_r{k}"]
-    wide = df.withColumns({**terms, "_first": first, "_last": last})
-    total = F.col("_c")
+def _blur(a: np.ndarray, weights: list[float]) -> np.ndarray:
+    """One pass of a symmetric kernel along the last axis; the result is shorter by the kernel."""
+    half = len(weights) // 2
+    count = a.shape[-1] - 2 * half
+    total = a[..., half : half + count] * weights[half]
     for k in range(1, half + 1):
-        pair = F.coalesce(F.col(f"_l{k}"), F.col("_first")) + F.coalesce(F.col(f"_r{k}"), F.col("_last"))
-        total = total + pair * weights[half + k]
-    return wide.withColumn(out, total).drop(*names, "_first", "_last")
+        total = total + (a[..., half - k : half - k + count] + a[..., half + k : half + k + count]) * weights[half + k]
+    return total
 
 
 def adaptive_threshold(pixels: DataFrame, block: int = ADAPTIVE_BLOCK, offset: int = ADAPTIVE_OFFSET) -> DataFrame:
     """Ink pixels of dense pages: darker than the local Gaussian mean minus an offset.
 
     White wins where the value exceeds the bound; a page that is mostly white is
-    inverted, so ink is always the listed side.
+    inverted, so ink is always the listed side.  Tiles are thresholded as arrays with a
+    halo of half a block and kept as bitmaps until the page's side is known.
     """
-    local = pixels.withColumn("_v", F.col("v").cast("double"))
-    local = _blur(local, "_v", "_h", "y", "x", block)
-    local = _blur(local, "_h", "_m", "x", "y", block)
-    white = F.col("v") > F.bround("_m", 0) - offset
-    marked = local.select(*PIXEL, white.alias("white"))
-    pages = marked.groupBy("page_id").agg((F.avg(F.col("white").cast("int")) * 255 > 127).alias("flip"))
-    return marked.join(pages, "page_id").where(F.col("white") != F.col("flip")).select(*PIXEL)
+    half, weights = block // 2, _gauss(block)
+
+    def thresholded(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0, a = _tile_array(pdf, half, "edge")
+        mean = _blur(np.ascontiguousarray(_blur(a, weights).T), weights).T
+        own = a[half : a.shape[0] - half, half : a.shape[1] - half]
+        white = own > np.rint(mean) - offset
+        return pd.DataFrame(
+            {"page_id": [pdf["page_id"].iloc[0]], "x0": [x0], "y0": [y0], "w": [white.shape[1]], "n": [white.size], "n_white": [int(white.sum())], "bits": [np.packbits(white).tobytes()]}
+        )
+
+    schema = "page_id string, x0 int, y0 int, w int, n long, n_white long, bits binary"
+    maps = settle(_tiles(pixels, half).groupBy("page_id", "tx", "ty").applyInPandas(thresholded, schema))
+    pages = maps.groupBy("page_id").agg((F.sum("n_white") / F.sum("n") * 255 > 127).alias("flip"))
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                white = np.unpackbits(np.frombuffer(row.bits, np.uint8), count=row.n).astype(bool)
+                at = np.flatnonzero(white != row.flip)
+                yield pd.DataFrame({"page_id": row.page_id, "x": (at % row.w + row.x0).astype(np.int32), "y": (at // row.w + row.y0).astype(np.int32)})
+
+    return maps.join(pages, "page_id").mapInPandas(listed, "page_id string, x int, y int")
 
 
 def binarize(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
