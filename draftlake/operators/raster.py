@@ -362,10 +362,11 @@ def raster_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     ).withColumn("iou", F.when(F.col("union") == 0, 1.0).otherwise(F.col("intersection") / F.col("union")))
 
 
-def _outline(targets: DataFrame, size: int, side: int) -> DataFrame:
-    """First and last pixel of every row and column inside cells of ``size``, filed under cells of ``side``.
+def _outline(targets: DataFrame, size: int) -> DataFrame:
+    """First and last pixel of every row and column inside cells of ``size``.
 
-    No other pixel of such a cell can be the closest one to a point outside it.
+    No other pixel of such a cell can be the closest one to a point outside it.  Cell sizes
+    nest, so the outline of larger cells follows from that of smaller ones.
     """
     inner = targets.withColumns({"sx": F.floor(F.col("x") / size), "sy": F.floor(F.col("y") / size)})
     row = inner.groupBy("page_id", "sx", "sy", "y").agg(F.min("x").alias("l"), F.max("x").alias("r"))
@@ -373,7 +374,7 @@ def _outline(targets: DataFrame, size: int, side: int) -> DataFrame:
     kept = row.select("page_id", F.explode(F.array("l", "r")).alias("x"), "y").unionByName(
         col.select("page_id", "x", F.explode(F.array("t", "u")).alias("y"))
     )
-    return _filed(kept.distinct(), side)
+    return settle(kept.distinct())
 
 
 def _filed(targets: DataFrame, side: int) -> DataFrame:
@@ -396,7 +397,8 @@ def nearest_ink(a: DataFrame, b: DataFrame, first_cell: int = 8, grow: int = 4)
     represented by the outlines of those half cells.  Work per pixel grows with its
     distance, not with the area in between.  Pages without ``b`` have a null distance.
     """
-    targets = b.select(*PIXEL).distinct()
+    targets = settle(b.select(*PIXEL).distinct())
+    large = small = targets
     spots = a.select(*PIXEL).distinct()
     with_target = targets.select("page_id").distinct()
     found = spots.join(with_target, "page_id", "left_anti").select(*PIXEL, F.lit(None).cast("double").alias("dist"))
@@ -414,10 +416,12 @@ def nearest_ink(a: DataFrame, b: DataFrame, first_cell: int = 8, grow: int = 4)
         else:
             cell_key = [*cell_key, "own"]
             asked = asked.withColumn("own", (F.col("s.dx") == 0) & (F.col("s.dy") == 0))
+            # Each round shrinks both outlines of the round before.
+            large, small = _outline(large, side), _outline(small, previous // 2)
             filed = (
-                _outline(targets, side, side)
+                _filed(large, side)
                 .withColumn("own", F.lit(False))
-                .unionByName(_outline(targets, previous // 2, side).withColumn("own", F.lit(True)))
+                .unionByName(_filed(small, side).withColumn("own", F.lit(True)))
             )
         dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
         best = (
