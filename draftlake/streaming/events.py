@@ -216,12 +216,22 @@ def exported_pages(events: DataFrame) -> DataFrame:
     return done.select("page_id").dropDuplicates()
 
 
+def due_pages(pages: DataFrame) -> DataFrame:
+    return exportable(pages).select("batch_id", "page_id")
+
+
+def completion(due: DataFrame, exported: DataFrame) -> DataFrame:
+    """Batches with expected and exported page counts, from exported pages per batch."""
+    expected = due.groupBy("batch_id").agg(F.count("*").alias("expected"))
+    both = expected.join(exported.select("batch_id", "exported"), "batch_id", "left").na.fill(0, ["exported"])
+    return both.withColumn("complete", F.col("expected") == F.col("exported"))
+
+
 def batch_complete(exported: DataFrame, pages: DataFrame) -> DataFrame:
     """Batches with expected and exported page counts; complete when equal."""
-    expected = exportable(pages).select("batch_id", "page_id")
-    marked = expected.join(exported.select("page_id").withColumn("done", F.lit(1)), "page_id", "left")
-    counts = marked.groupBy("batch_id").agg(F.count("*").alias("expected"), F.count("done").alias("exported"))
-    return counts.withColumn("complete", F.col("expected") == F.col("exported"))
+    due = due_pages(pages)
+    done = due.join(exported.select("page_id").distinct(), "page_id").groupBy("batch_id").agg(F.count("*").alias("exported"))
+    return completion(due, done)
 
 
 def _stage_of(side: int) -> Column:

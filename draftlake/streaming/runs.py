@@ -95,19 +95,24 @@ def split_stream(raw: DataFrame, good: str, dead: str, checkpoint: str) -> Strea
 
 
 def completion_stream(
-    events: DataFrame, pages: DataFrame, seen: str, checkpoint: str, on_result: Callable[[DataFrame, int], None]
+    events: DataFrame, pages: DataFrame, totals: str, checkpoint: str, on_result: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
     """Batch completion after every micro-batch.
 
-    Exported pages of each micro-batch land in the ``seen`` table (one folder per
-    batch number); completion is computed from that table, so no state grows in
-    memory and a repeated batch changes nothing.
+    Exported pages are deduplicated in the stream's state, so a micro-batch brings only pages
+    that are new.  ``totals`` holds the exported pages per batch after each micro-batch (one
+    folder per number); a step adds its new pages to the folder before it and reads no
+    earlier events.  A repeated micro-batch overwrites its own folder and changes nothing.
     """
     spark = events.sparkSession
+    due = ev.due_pages(pages)
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        ev.exported_pages(batch).write.mode("overwrite").parquet(f"{seen}/_epoch={epoch}")
-        exported = spark.read.option("basePath", seen).parquet(f"{seen}/_epoch=*").select("page_id").dropDuplicates()
-        on_result(ev.batch_complete(exported, pages), epoch)
+    def step(fresh: DataFrame, epoch: int) -> None:
+        counts = fresh.join(due, "page_id").groupBy("batch_id").agg(F.count("*").alias("exported"))
+        if epoch > 0:
+            counts = counts.unionByName(spark.read.parquet(f"{totals}/_epoch={epoch - 1}"))
+        counts.groupBy("batch_id").agg(F.sum("exported").alias("exported")).write.mode("overwrite").parquet(f"{totals}/_epoch={epoch}")
+        on_result(ev.completion(due, spark.read.parquet(f"{totals}/_epoch={epoch}")), epoch)
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = ev.exported_pages(events)
+    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

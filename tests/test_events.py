@@ -137,3 +137,23 @@ def test_publishing_a_run_again_replaces_it(spark, tmp_path):
     for run in ("a", "a", "b"):
         runs.write_events(log, str(tmp_path / "log"), run=run)
     assert spark.read.text(str(tmp_path / "log")).count() == 4
+
+
+def test_late_rows_are_dropped_and_early_ones_kept(spark, tmp_path):
+    """A watermark that really passes: events behind it no longer count."""
+    start = datetime(2024, 1, 1)
+    batches = [
+        [("1", "p1", 0), ("2", "p2", 1)],
+        [("3", "p1", 2), ("4", "p3", 600)],  # p1 again inside the delay
+        [("5", "p9", 5), ("6", "p3", 601)],  # p9 is ten minutes late
+        [("7", "p4", 1200)],
+    ]
+    schema = "event_id string, page_id string, event_type string, created_at timestamp"
+    for k, rows in enumerate(batches):
+        data = [(e, p, "page.extracted", start + timedelta(seconds=s)) for e, p, s in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = runs.read_table_stream(spark, str(tmp_path / "in"), schema)
+        got = runs.drain(ev.event_rates(stream, watermark="1 minute"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    # Append mode: only windows the watermark has passed are final; the late row is in none.
+    found = {((r.window_start - start).total_seconds(), r.events) for r in got.collect()}
+    assert found == {(0.0, 3), (600.0, 2)}
