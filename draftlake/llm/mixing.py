@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)  # by rank of the source name, repeating
 SHARE = 1.5  # of all sizes
 MOST = 2  # times a document's size
 SEED = 20_261
-LEAF_ROWS = 4096
+LEAF_ROWS = 256
 FAN = 64
 FEW_SOURCES = 100_000  # rows of the source table up to which it is broadcast
 # ---------------------------------------------------------- end of fixed values
