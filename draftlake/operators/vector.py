@@ -903,10 +903,12 @@ def align_breaks(segments: DataFrame, centres: DataFrame, radius: float = BREAK_
     """Turn the two segments next to each break into the direction of the longer one.
 
     Breaks apply in id order.  Each round applies all breaks that are first in line
-    for both their segments, so independent breaks run together.
+    for both their segments, so independent breaks run together.  Only segments next to a
+    break take part in the rounds; one join at the end brings them back to the others.
     """
     waiting = settle(nearest_segments(segments, centres, radius).select("page_id", "break_id", "seg_a", "seg_b"))
-    current = segments
+    involved = waiting.select("page_id", F.explode(F.array("seg_a", "seg_b")).alias("seg_id")).distinct()
+    current = settle(segments.select("page_id", "seg_id", *ENDS).join(involved, ["page_id", "seg_id"], "left_semi"))
     while not waiting.isEmpty():
         touched = waiting.select("page_id", "break_id", F.explode(F.array("seg_a", "seg_b")).alias("seg_id"))
         turn = touched.groupBy("page_id", "seg_id").agg(F.min("break_id").alias("break_id"))
@@ -943,7 +945,9 @@ def align_breaks(segments: DataFrame, centres: DataFrame, radius: float = BREAK_
         joined = current.join(placed, ["page_id", "seg_id"], "left")
         current = settle(joined.withColumns({c: F.coalesce(F.col(f"_t.{c}"), F.col(c)) for c in ENDS}).drop("_t"))
         waiting = settle(waiting.join(ready.select("page_id", "break_id"), ["page_id", "break_id"], "left_anti"))
-    return current
+    final = current.select("page_id", "seg_id", F.struct(*ENDS).alias("_t"))
+    back = segments.join(final, ["page_id", "seg_id"], "left")
+    return back.withColumns({c: F.coalesce(F.col(f"_t.{c}"), F.col(c)) for c in ENDS}).drop("_t")
 
 
 def rotate_points(ink: DataFrame, turns: DataFrame) -> DataFrame:
