@@ -1,7 +1,7 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are lines of MIN_WORDS words or more.  Equal paragraphs are counted first, so
-copies never multiply.  The distinct ones are banded; bands are tuned so that a pair at the
+Paragraphs are lines of MIN_WORDS words or more, and shorter lines joined until the next
+long or blank one.  Equal paragraphs are counted first, so copies never multiply.  The distinct ones are banded; bands are tuned so that a pair at the
 threshold is missed with a probability of at most MISS.  In every bucket the paragraph with
 most copies is compared with all others by exact Jaccard similarity of five-word shingles.
 Buckets whose members are not in one component by then are compared pair by pair inside
@@ -70,13 +70,29 @@ class Paragraphs:
     def __init__(self, min_words: int) -> None:
         self.min_words, self.words = min_words, Words()
 
-    def of(self, text: bytes | None) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """(number, digest, shingles) of each paragraph that is long enough."""
+    def cut(self, text: bytes | None) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(number of the first line, first word, words) of each paragraph."""
+        at, joined, start = 0, [], (0, 0)
         for n, line in enumerate((text or b"").lower().split(b"\n")):
             words = line.split()
+            if joined and not 0 < len(words) < self.min_words:
+                yield *start, joined
+                joined = []
+            if len(words) >= self.min_words:
+                yield n, at, words
+            elif words:
+                start = start if joined else (n, at)
+                joined.extend(words)
+            at += len(words)
+        if joined:
+            yield *start, joined
+
+    def of(self, text: bytes | None) -> Iterator[tuple[int, bytes, np.ndarray, int, int]]:
+        """(number, digest, shingles, first word, words) of each paragraph that is long enough."""
+        for n, at, words in self.cut(text):
             if len(words) >= self.min_words:
                 hashed = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-                yield n, xxhash.xxh3_128_digest(b" ".join(words)), shingles(hashed)
+                yield n, xxhash.xxh3_128_digest(b" ".join(words)), shingles(hashed), at, len(words)
 
 
 def band_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarray:
@@ -95,19 +111,19 @@ def band_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarra
 
 
 def marked(docs: DataFrame, id: str, text: str, min_words: int, count: int) -> DataFrame:
-    """(doc_id, paragraph, digest, keys) of every paragraph that is long enough."""
+    """(doc_id, paragraph, first_word, n_words, digest, keys) of every paragraph that is long enough."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut = Paragraphs(min_words)
         for b in batches:
             found = [(d, *p) for d, t in zip(b["doc_id"], b["text"], strict=True) for p in cut.of(t)]
             if found:
-                ids, numbers, digests, sets = zip(*found, strict=True)
-                keys = band_keys(list(sets), count).view(np.int64)
-                yield {"doc_id": list(ids), "paragraph": list(numbers), "digest": list(digests), "keys": list(keys)}
+                ids, numbers, digests, sets, at, size = map(list, zip(*found, strict=True))
+                keys = band_keys(sets, count).view(np.int64)
+                yield {"doc_id": ids, "paragraph": numbers, "first_word": at, "n_words": size, "digest": digests, "keys": list(keys)}
 
     source = docs.select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    return by_batch(source, run, "doc_id long, paragraph int, digest binary, keys array<long>")
+    return by_batch(source, run, "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
@@ -124,7 +140,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_wor
             pids, sets = [], []
             for t, digests, own in zip(b["text"], b["digests"], b["pids"], strict=True):
                 ask = dict(zip(digests, own, strict=True))
-                for _, digest, s in cut.of(t):
+                for _, digest, s, *_ in cut.of(t):
                     if (pid := ask.pop(digest, None)) is not None:
                         pids.append(pid)
                         sets.append(np.unique(s).tobytes())
@@ -218,13 +234,14 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, threshold: float, block
 def repeated_paragraphs(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
-    """Paragraphs that occur again: doc_id, paragraph, cluster_doc, cluster_paragraph, n_members, removed.
+    """Paragraphs that occur again: doc_id, paragraph, cluster_doc, cluster_paragraph, n_members, removed, first_word, n_words.
 
     Two paragraphs are linked if the Jaccard similarity of their five-word shingles is
     ``threshold`` or more, without case (A-Z); clusters are the components.  The first
     member by (doc_id, number of the line) stays and names the cluster, the others are
-    marked removed.  Lines of fewer than ``min_words`` words, null and empty texts have no
-    paragraphs.  A paragraph repeated in one document counts, and so do repeated rows; rows
+    marked removed.  Lines of fewer than ``min_words`` words are joined until the next long or
+    blank line; what stays shorter, null and empty texts have no paragraphs.  ``first_word``
+    and ``n_words`` give the place in the document.  A paragraph repeated in one document counts, and so do repeated rows; rows
     without id are left out, as they cannot name a place.  Extra columns are ignored; an
     empty table gives an empty result.
     """
@@ -262,20 +279,41 @@ def repeated_paragraphs(
     classes = rooted.join(clusters.where(F.col("n_members") > 1), "label").select("digest", "first", "n_members")
     classes = scratch.keep("classes", classes)
     scratch.drop("members", "sets", "distinct")
-    return marks.select("doc_id", "paragraph", "digest").join(classes, "digest").select(
+    return marks.select("doc_id", "paragraph", "first_word", "n_words", "digest").join(classes, "digest").select(
         "doc_id",
         "paragraph",
         F.col("first.doc_id").alias("cluster_doc"),
         F.col("first.paragraph").alias("cluster_paragraph"),
         "n_members",
         (place != F.col("first")).alias("removed"),
+        "first_word",
+        "n_words",
     )
 
 
 def without_repeats(docs: DataFrame, repeated: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) with the removed paragraphs' lines taken out, the others by position."""
-    gone = repeated.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("gone"))
-    joined = docs.join(gone, F.col(id) == F.col("_id"), "left")
-    lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
-    stay = F.filter(lines, lambda p: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), p["k"]))
-    return joined.select(F.col(id).alias("doc_id"), F.array_join(F.transform(stay, lambda p: p["x"]), "\n").alias("text"))
+    """(doc_id, text) without the removed words, by position; lines that lose all their words go."""
+    place = F.struct(F.col("first_word").cast("long").alias("at"), F.col("n_words").cast("long").alias("n"))
+    gone = repeated.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(place).alias("_gone"))
+    gone = gone.select("_id", F.flatten(F.transform("_gone", lambda p: F.array(p["at"], p["n"]))).alias("gone"))
+    joined = docs.join(gone, F.col(id) == F.col("_id"), "left").select(F.col(id).alias("doc_id"), utf8(text).alias("text"), "gone")
+
+    def left(body: bytes, spans: list[int]) -> bytes:
+        lost = {k for at, n in zip(spans[::2], spans[1::2], strict=True) for k in range(at, at + n)}
+        at, out = 0, []
+        for line in body.split(b"\n"):
+            words = line.split()
+            stay = [w for k, w in enumerate(words, at) if k not in lost]
+            at += len(words)
+            if len(stay) == len(words):
+                out.append(line)
+            elif stay:
+                out.append(b" ".join(stay))
+        return b"\n".join(out)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            texts = [t if t is None or not g else left(t, g) for t, g in zip(b["text"], b["gone"], strict=True)]
+            yield {"doc_id": b["doc_id"], "text": texts}
+
+    return by_batch(joined, run, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))

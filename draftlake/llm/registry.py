@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, paragraphs, simhash, token_planes, toxicity
+from draftlake.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, passages, simhash, token_planes, toxicity
 from draftlake.llm.common import Scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+    return passages.repeated_passages(table(spark, folder, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
