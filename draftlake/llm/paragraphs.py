@@ -10,6 +10,7 @@ tasks, in blocks of bounded size, so no link is lost and no list of pairs is wri
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -95,6 +96,22 @@ class Paragraphs:
                 yield n, xxhash.xxh3_128_digest(b" ".join(words)), shingles(hashed), at, len(words)
 
 
+class Whole(Paragraphs):
+    """Takes a text as one paragraph, whatever its length; the digest is the text's MD5."""
+
+    def __init__(self) -> None:
+        super().__init__(0)
+
+    def of(self, text: bytes | None) -> Iterator[tuple[int, bytes, np.ndarray, int, int]]:
+        words = (text or b"").lower().split()
+        hashed = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        yield 0, hashlib.md5(text or b"").digest(), shingles(hashed), 0, len(words)
+
+
+def cutter(min_words: int | None) -> Paragraphs:
+    return Whole() if min_words is None else Paragraphs(min_words)
+
+
 def band_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarray:
     """(paragraphs, count) 64-bit bucket keys."""
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
@@ -110,11 +127,11 @@ def band_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarra
     return keys
 
 
-def marked(docs: DataFrame, id: str, text: str, min_words: int, count: int) -> DataFrame:
+def marked(docs: DataFrame, id: str, text: str, min_words: int | None, count: int) -> DataFrame:
     """(doc_id, paragraph, first_word, n_words, digest, keys) of every paragraph that is long enough."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        cut = Paragraphs(min_words)
+        cut = cutter(min_words)
         for b in batches:
             found = [(d, *p) for d, t in zip(b["doc_id"], b["text"], strict=True) for p in cut.of(t)]
             if found:
@@ -126,7 +143,7 @@ def marked(docs: DataFrame, id: str, text: str, min_words: int, count: int) -> D
     return by_batch(source, run, "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_words: int | None) -> DataFrame:
     """(pid, shingles) of the paragraphs ``wanted`` (pid, doc_id, digest) by a pass over their documents."""
     # Grouped by document: as many entries as the document has paragraphs at most.
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"), F.collect_list("pid").alias("pids"))
@@ -135,7 +152,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_wor
     source = source.join(per_doc.hint("merge"), "doc_id")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        cut = Paragraphs(min_words)
+        cut = cutter(min_words)
         for b in batches:
             pids, sets = [], []
             for t, digests, own in zip(b["text"], b["digests"], b["pids"], strict=True):
@@ -231,25 +248,13 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, threshold: float, block
     return by_batch(dealt, run, "a long, b long")
 
 
-def repeated_paragraphs(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, block: int = BLOCK
-) -> DataFrame:
-    """Paragraphs that occur again: doc_id, paragraph, cluster_doc, cluster_paragraph, n_members, removed, first_word, n_words.
-
-    Two paragraphs are linked if the Jaccard similarity of their five-word shingles is
-    ``threshold`` or more, without case (A-Z); clusters are the components.  The first
-    member by (doc_id, number of the line) stays and names the cluster, the others are
-    marked removed.  Lines of fewer than ``min_words`` words are joined until the next long or
-    blank line; what stays shorter, null and empty texts have no paragraphs.  ``first_word``
-    and ``n_words`` give the place in the document.  A paragraph repeated in one document counts, and so do repeated rows; rows
-    without id are left out, as they cannot name a place.  Extra columns are ignored; an
-    empty table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession)
+def _labelled(
+    scratch: Scratch, docs: DataFrame, id: str, text: str, min_words: int | None, threshold: float, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Marks of all paragraphs, and (digest, place, copies, label) of the distinct ones."""
     named = docs.where(F.col(id).isNotNull())
     marks = scratch.keep("marks", marked(named, id, text, min_words, bands(threshold)))
-    place = F.struct("doc_id", "paragraph")
-    distinct = marks.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    distinct = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "paragraph")).alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     # Numbers fall with the copies (in powers of two), so the smallest of a bucket has most.
     rarity = F.lit(63) - F.floor(F.log2("copies")).cast("int")
     number = F.shiftleft(rarity.cast("long"), 57).bitwiseOR(F.monotonically_increasing_id())
@@ -275,6 +280,26 @@ def repeated_paragraphs(
         labels = components(scratch, links.unionByName(more), "all").withColumnRenamed("node", "pid")
     rooted = distinct.select("pid", "digest", "place", "copies").join(labels, "pid", "left")
     rooted = rooted.withColumn("label", F.coalesce("label", "pid"))
+    return marks, rooted
+
+
+def repeated_paragraphs(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, block: int = BLOCK
+) -> DataFrame:
+    """Paragraphs that occur again: doc_id, paragraph, cluster_doc, cluster_paragraph, n_members, removed, first_word, n_words.
+
+    Two paragraphs are linked if the Jaccard similarity of their five-word shingles is
+    ``threshold`` or more, without case (A-Z); clusters are the components.  The first
+    member by (doc_id, number of the line) stays and names the cluster, the others are
+    marked removed.  Lines of fewer than ``min_words`` words are joined until the next long or
+    blank line; what stays shorter, null and empty texts have no paragraphs.  ``first_word``
+    and ``n_words`` give the place in the document.  A paragraph repeated in one document counts, and so do repeated rows; rows
+    without id are left out, as they cannot name a place.  Extra columns are ignored; an
+    empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marks, rooted = _labelled(scratch, docs, id, text, min_words, threshold, block)
+    place = F.struct("doc_id", "paragraph")
     clusters = rooted.groupBy("label").agg(F.min("place").alias("first"), F.sum("copies").alias("n_members"))
     classes = rooted.join(clusters.where(F.col("n_members") > 1), "label").select("digest", "first", "n_members")
     classes = scratch.keep("classes", classes)
@@ -291,6 +316,23 @@ def repeated_paragraphs(
     )
 
 
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, digest) of the text that stays of every group of near-duplicate texts.
+
+    Two texts are linked if the Jaccard similarity of their five-word shingles is
+    ``threshold`` or more, without case (A-Z); of a component the smallest (id, MD5) stays.
+    Null texts are empty ones, and texts of fewer than five words are one shingle.  Rows
+    without id are left out.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marks, rooted = _labelled(scratch, docs, id, text, None, threshold, block)
+    placed = marks.select("doc_id", "digest").join(rooted.select("digest", "label"), "digest")
+    first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    first = scratch.keep("first", first.select("first.doc_id", "first.digest"))
+    scratch.drop("members", "sets", "distinct", "marks")
+    return first
+
+
 def without_repeats(docs: DataFrame, repeated: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) without the removed words, by position; lines that lose all their words go."""
     place = F.struct(F.col("first_word").cast("long").alias("at"), F.col("n_words").cast("long").alias("n"))
