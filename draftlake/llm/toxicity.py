@@ -128,7 +128,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", per_grade: int = SAMPLE_PER_GRADE) -> Ordinal:
     """Fit on at most ``per_grade`` labelled rows of each grade, chosen by a hash of the id.
 
-    Only distinct word buckets of those rows come to the driver.  Rows are weighted so that
+    Only distinct word buckets of one text of each of those ids come to the driver.  Rows are weighted so that
     the sample stands for all labelled rows.
     """
     known = labels.select(F.col(id).cast("long").alias("doc_id"), grade().alias("grade")).where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
@@ -145,8 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         for b in batches:
             yield {"doc_id": b["doc_id"], "grade": b["grade"], "buckets": [own.of(t).astype("<i4").tobytes() for t in b["text"]]}
 
-    got = by_batch(joined, run, "doc_id long, grade int, buckets binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
+    # One text of each id, the smallest by hash, so that repeated ids do not exceed the sample.
+    chosen = F.min(F.struct(F.xxhash64("buckets").alias("hash"), "buckets", "grade")).alias("row")
+    held = by_batch(joined, run, "doc_id long, grade int, buckets binary").groupBy("doc_id").agg(chosen)
+    got = held.select("doc_id", "row.grade", "row.buckets").collect()
+    got.sort(key=lambda r: r["doc_id"])
     grades = np.array([r["grade"] for r in got], np.int64)
     counts = np.bincount(grades, minlength=3)
     weight = np.array([total[g] / counts[g] for g in grades.tolist()])
