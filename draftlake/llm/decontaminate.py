@@ -24,6 +24,7 @@ from draftlake.llm.common import WORD, by_batch, keep_rows, utf8
 
 # ---------------------------------------------------------------- fixed values
 MASKS = ("1111111", "11101001011", "11010110011")
+SHORT = {5: "11"} | dict.fromkeys(range(6, 20), "111")  # further mask of items of so many words
 MIN_MATCH = 10  # equal words of an overlap; shorter items: SHARE of their words
 SHARE = 0.8  # equal words among those of an overlap
 MISMATCH = 4  # equal words that make up for another one at that share
@@ -74,12 +75,12 @@ class Seeds:
     def of(items: list[tuple[int, bytes | None]]) -> Seeds:
         hashed = WordHash()
         words = [hashed.of(t) for _, t in items]
-        # An item shorter than every mask is looked for as a whole.
-        short = sorted({len(w) for w in words if 0 < len(w) < min(map(len, MASKS))})
+        # Items of few words: any overlap of the rule has equal words in a row (three, of five
+        # words two); up to four words all must be equal.
         table, masks = np.zeros(1 << TABLE_BITS, bool), []
-        for mask in [*MASKS, *("1" * n for n in short)]:
-            whole = len(mask) in short
-            own = [seeds(w, mask) if not whole or len(w) == len(mask) else w[:0] for w in words]
+        extra = [SHORT.get(len(w), "1" * len(w) if len(w) < min(SHORT) else "") for w in words]
+        for mask in [*MASKS, *sorted({m for m in extra if m})]:
+            own = [seeds(w, mask) if mask in MASKS or mask == m else w[:0] for w, m in zip(words, extra, strict=True)]
             seed = np.concatenate([*own, np.zeros(0, np.uint64)])
             item = np.repeat(np.arange(len(own)), [len(s) for s in own])
             place = np.concatenate([*(np.arange(len(s)) for s in own), np.zeros(0, np.int64)])
