@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, passages, simhash, token_planes, toxicity
+from draftlake.llm import chat, decontaminate, exact_dedup, filter_audit, langid, line_dedup, mixing, passages, simhash, token_planes, toxicity
 from draftlake.llm.common import Scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_planes.read_tokens(spark, path, with_ids=False)
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Run] = {
         op8_line_dedup,
         op9_decontaminate,
         op10_token_planes,
+        op11_filter_audit,
     )
 }
 
@@ -120,4 +125,47 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op11_filter_audit": r"""
+        WITH said AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        read AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        marked AS (
+            SELECT r.part, coalesce(s.good, false) AS good, coalesce(s.toxic, false) AS toxic,
+                   (len(words) < 50)::int AS a,
+                   (100 * len(list_distinct(words)) < 65 * len(words))::int AS b,
+                   (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body))::int AS c,
+                   regexp_matches(body, '[#$%&*|]')::int AS d,
+                   coalesce(r.doc_id > min(r.doc_id) OVER (PARTITION BY body), false)::int AS e
+            FROM read r LEFT JOIN said s ON r.doc_id = s.doc_id),
+        cells AS (
+            SELECT part, [a, b, c, d, e] AS bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM marked GROUP BY ALL),
+        letters AS (SELECT unnest(range(1, 6)) AS x),
+        orders AS (
+            SELECT [p.x, q.x, r.x, s.x, t.x] AS axes
+            FROM letters p, letters q, letters r, letters s, letters t
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (
+            SELECT axes, array_to_string([substr('ABCDE', a::int, 1) for a in axes], '') AS filter_order, k.x AS step, axes[k.x] AS own,
+                   axes[:k.x - 1] AS earlier
+            FROM orders, letters k),
+        laid AS (
+            SELECT part, filter_order, step, own, n, good, toxic, bits[own] = 1 AS fails,
+                   len([f for f in earlier if bits[f] = 1]) > 0 AS gone, list_sum(bits) = 1 AS alone
+            FROM cells, steps),
+        counted AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::bigint AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND fails), 0)::bigint AS removed,
+                   coalesce(sum(n) FILTER (gone AND fails), 0)::bigint AS redundant,
+                   coalesce(sum(n) FILTER (fails AND alone), 0)::bigint AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT gone AND fails), 0)::bigint AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::bigint AS toxic_lost
+            FROM laid GROUP BY ALL)
+        SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, own)::bigint AS shapley
+        FROM counted""",
 }
