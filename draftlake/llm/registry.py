@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import chat, decontaminate, exact_dedup, filter_audit, gated_lm, langid, line_dedup, mixing, passages, simhash, token_planes, toxicity
+from draftlake.llm import chat, conversation_repair, decontaminate, exact_dedup, filter_audit, gated_lm, langid, line_dedup, mixing, passages, simhash, token_planes, toxicity
 from draftlake.llm.common import Scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, folder, "conversations"))
+
+
 def op13_gated_lm(spark: SparkSession, folder: str) -> DataFrame:
     return gated_lm.score(table(spark, folder, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Run] = {
         op9_decontaminate,
         op10_token_planes,
         op11_filter_audit,
+        op12_conversation_repair,
         op13_gated_lm,
     )
 }
