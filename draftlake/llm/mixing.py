@@ -34,13 +34,14 @@ FAN = 64
 FEW_SOURCES = 100_000  # rows of the source table up to which it is broadcast
 # ---------------------------------------------------------- end of fixed values
 
-UNIT = "source string, leaf long, rank long, doc_id long, size long, source_size long, target double, base long, part double"
+UNIT = "source string, leaf long, rank long, key string, doc_id long, size long, source_size long, target double, base long, part double"
 
 
-def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): size counts the words of the whole text, null has none."""
+def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", key: str | None = None) -> DataFrame:
+    """(key, doc_id, source, size): size counts the words of the whole text, null has none."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"))
+    own = (F.lit(None) if key is None else F.col(key)).cast("string").alias("key")
+    return docs.select(own, F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -131,18 +132,21 @@ def mix(
     most: int = MOST,
     leaf_rows: int = LEAF_ROWS,
     fan: int = FAN,
+    key: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: key, doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` (0 to ``most``) is how often the mix takes the document, ``taken`` its words.
     A source's taken words differ from its target by less than its largest document.  The
     choice depends on the rows only, not on how they are partitioned.  Null texts and texts
     without words have size 0 and are not taken; a null source is a source of its own and
     ranks last; repeated rows are rounded one by one; rows without id are treated alike.
+    ``key`` names a column that tells rows apart better than the id; it then leads the
+    random choice and comes back with each row.
     An empty table gives an empty result; extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.keep("sizes", sizes(docs, id, text, source))
+    sized = scratch.keep("sizes", sizes(docs, id, text, source, key))
     targets = scratch.keep("targets", source_targets(sized, weights, share, most))
     facts = targets.agg(F.count("*"), F.sum("n_docs")).first()
     leaves = 1 << max(0, math.ceil(math.log2(max(1, (facts[1] or 0) / leaf_rows))))
@@ -152,11 +156,12 @@ def mix(
     # Near-whole numbers of copies (a target at the cap) have no fraction to round.
     base = F.floor(copies + F.lit(1e-9))
     part = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), copies - base)).otherwise(F.lit(0.0))
-    rank = F.xxhash64("doc_id", F.lit(SEED))
+    rank = F.xxhash64("doc_id" if key is None else "key", F.lit(SEED))
     units = per_source.select(
         "source",
         F.shiftrightunsigned(rank, 32).cast("long").alias("leaf"),
         rank.alias("rank"),
+        "key",
         "doc_id",
         "size",
         "source_size",
@@ -181,4 +186,4 @@ def mix(
     for s in settled:
         out = out.unionByName(s)
     copies = (F.col("base") + F.round("part").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return out.select("key", "doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
