@@ -12,6 +12,8 @@ is exchanged once and ids never.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import struct
 import zlib
@@ -34,9 +36,14 @@ SEGMENT_IDS = 1 << 18
 END_ID = 1
 CACHE = 400_000
 LEVEL = 3
+# What a vocabulary has to do with a text ahead of its model for the short way through it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = "<|"  # how its special tokens begin
 # ---------------------------------------------------------- end of fixed values
 
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|[0-9]")
+OTHER = re.compile(r"[^a-zß-öø-ÿ!-&(-/:-@\[-`{-~0-9 \t\n\v\f\r]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,52 +53,76 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit integers, kept for words met often.
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-    The vocabulary drops white space and no piece crosses it, so the ids of a text are the
-    ids of its words one after the other.  Words of lower-case Latin letters, digits and
-    plain punctuation go to the vocabulary's model piece by piece; all others are encoded
-    by the full tokenizer.
-    """
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
+class Pieces(dict):
+    """Ids of a run of letters, a run of punctuation or a digit; bounded, in two generations."""
 
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.letters, self.older, self.pieces = self.whole.model, _byte_letters(), {}, {}
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.letters, self.older = model, _byte_letters(), {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        value = self.older.get(word)
+        value = self.older.get(part)
         if value is None:
-            value = self.encode(word.decode("utf-8", "replace"))
-        self[word] = value
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            value = _bytes([t.id for t in self.model.tokenize(shown)])
+        self[part] = value
         return value
 
-    def encode(self, word: str) -> bytes:
-        low = word.lower()
-        parts = PLAIN.findall(low) if "<|" not in low else []
-        if sum(map(len, parts)) != len(low):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        return b"".join(map(self.piece, parts))
 
-    def piece(self, part: str) -> bytes:
-        value = self.pieces.get(part)
-        if value is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            value = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.pieces[part] = value
-        return value
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    If the vocabulary lowers case, drops white space and cuts letters, digits and
+    punctuation apart, texts of Latin letters, digits and plain punctuation go to its model
+    piece by piece, and each distinct piece once.  Lines with anything else, and all texts
+    of other vocabularies, are encoded by the full tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.whole.model)
+        rules = json.loads(self.whole.to_str())
+        cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        levels = [{k: c.get(k) for k in ("type", "add_prefix_space", "use_regex")} for c in cuts[1:]]
+        self.short = (
+            rules.get("normalizer") == NORMALIZER
+            and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+            and levels == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+            and all(t["content"].startswith(SPECIAL) for t in rules.get("added_tokens", []))
+        )
+
+    def encode(self, text: str) -> bytes:
+        return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
     def text(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        own = (text or b"").decode("utf-8", "replace")
+        if not self.short:
+            return self.encode(own)
+        low = own.lower()
+        if SPECIAL in low:
+            return self.encode(own)
+        if OTHER.search(low) is None:
+            return b"".join(map(self.pieces.__getitem__, PLAIN.findall(low)))
+        # No piece crosses a line's end.
+        lines = own.split("\n")
+        if len(lines) == 1:
+            return self.encode(own)
+        return b"".join([self.encode(x) if OTHER.search(y := x.lower()) else b"".join(map(self.pieces.__getitem__, PLAIN.findall(y))) for x in lines])
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """Kept by a Python worker over its tasks, with the pieces it has met."""
+    return WordIds(path)
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -178,7 +209,7 @@ def write_tokens(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        words, part = WordIds(vocabulary), TaskContext.get().partitionId()
+        words, part = word_ids(vocabulary), TaskContext.get().partitionId()
         number, before = 0, 0
         names, counts, held, load = [], [], [], 0
 
