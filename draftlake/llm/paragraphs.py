@@ -88,12 +88,15 @@ class Paragraphs:
         if joined:
             yield *start, joined
 
-    def of(self, text: bytes | None) -> Iterator[tuple[int, bytes, np.ndarray, int, int]]:
-        """(number, digest, shingles, first word, words) of each paragraph that is long enough."""
+    def of(self, text: bytes | None, hashed: np.ndarray | None = None) -> Iterator[tuple[int, bytes, np.ndarray, int, int]]:
+        """(number, digest, shingles, first word, words) of each paragraph that is long enough.
+
+        ``hashed`` gives the hashes of all words of the text, if they are known.
+        """
         for n, at, words in self.cut(text):
             if len(words) >= self.min_words:
-                hashed = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-                yield n, xxhash.xxh3_128_digest(b" ".join(words)), shingles(hashed), at, len(words)
+                own = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words)) if hashed is None else hashed[at : at + len(words)]
+                yield n, xxhash.xxh3_128_digest(b" ".join(words)), shingles(own), at, len(words)
 
 
 class Whole(Paragraphs):
@@ -249,11 +252,12 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, threshold: float, block
 
 
 def _labelled(
-    scratch: Scratch, docs: DataFrame, id: str, text: str, min_words: int | None, threshold: float, block: int
+    scratch: Scratch, docs: DataFrame, id: str, text: str, min_words: int | None, threshold: float, block: int, marks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Marks of all paragraphs, and (digest, place, copies, label) of the distinct ones."""
+    """Marks of all paragraphs (unless given), and (digest, place, copies, label) of the distinct ones."""
     named = docs.where(F.col(id).isNotNull())
-    marks = scratch.keep("marks", marked(named, id, text, min_words, bands(threshold)))
+    if marks is None:
+        marks = scratch.keep("marks", marked(named, id, text, min_words, bands(threshold)))
     distinct = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "paragraph")).alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     # Numbers fall with the copies (in powers of two), so the smallest of a bucket has most.
     rarity = F.lit(63) - F.floor(F.log2("copies")).cast("int")
@@ -284,7 +288,13 @@ def _labelled(
 
 
 def repeated_paragraphs(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, block: int = BLOCK
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    threshold: float = THRESHOLD,
+    block: int = BLOCK,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
     """Paragraphs that occur again: doc_id, paragraph, cluster_doc, cluster_paragraph, n_members, removed, first_word, n_words.
 
@@ -298,7 +308,7 @@ def repeated_paragraphs(
     empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    marks, rooted = _labelled(scratch, docs, id, text, min_words, threshold, block)
+    marks, rooted = _labelled(scratch, docs, id, text, min_words, threshold, block, marks)
     place = F.struct("doc_id", "paragraph")
     clusters = rooted.groupBy("label").agg(F.min("place").alias("first"), F.sum("copies").alias("n_members"))
     classes = rooted.join(clusters.where(F.col("n_members") > 1), "label").select("digest", "first", "n_members")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import Scratch, by_batch, partitions, utf8
-from draftlake.llm.paragraphs import Words, _mixed, repeated_paragraphs
+from draftlake.llm.paragraphs import MIN_WORDS, Paragraphs, Words, _mixed, band_keys, bands, repeated_paragraphs
 
 # ---------------------------------------------------------------- fixed values
 WINDOW = 50  # words of the shortest passage
@@ -57,9 +57,8 @@ class Cutter:
         found = (text or b"").lower().split()
         return np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
 
-    def grams(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first word) of the grams that represent some window."""
-        words = self.of(text)
+    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first word) of the grams that represent some window of hashed words."""
         if len(words) < WINDOW:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         own, span = rolling(words, GRAM, BASES[0]), WINDOW - GRAM + 1
@@ -100,12 +99,43 @@ def _grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut = Cutter()
         for b in batches:
-            found = [cut.grams(t) for t in b["text"]]
+            found = [cut.grams(cut.of(t)) for t in b["text"]]
             yield {"doc_id": b["doc_id"], "grams": [g.view(np.int64) for g, _ in found], "at": [a for _, a in found]}
 
     return by_batch(docs, run, "doc_id long, grams array<long>, at array<int>").where(F.size("grams") > 0)
 
 
+def _read_once(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Marks of paragraphs and, in rows without a paragraph, grams of whole texts, by one reading of the words."""
+    count = bands()
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        cut, paragraphs = Cutter(), Paragraphs(min_words)
+        for b in batches:
+            marks, held = [], []
+            for d, t in zip(b["doc_id"], b["text"], strict=True):
+                words = cut.of(t)
+                marks += [(d, *p) for p in paragraphs.of(t, words)]
+                own, at = cut.grams(words)
+                if len(own):
+                    held.append((d, own.view(np.int64), at))
+            keys = list(band_keys([m[3] for m in marks], count).view(np.int64)) if marks else []
+            blank, more = [None] * len(held), [None] * len(marks)
+            yield {
+                "doc_id": [m[0] for m in marks] + [h[0] for h in held],
+                "paragraph": [m[1] for m in marks] + blank,
+                "first_word": [m[4] for m in marks] + blank,
+                "n_words": [m[5] for m in marks] + blank,
+                "digest": [m[2] for m in marks] + blank,
+                "keys": keys + blank,
+                "grams": more + [h[1] for h in held],
+                "at": more + [h[2] for h in held],
+            }
+
+    schema = "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>, grams array<long>, at array<int>"
+    return by_batch(docs, run, schema)
+
+
 def _standing(grams: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, gram, n) of the grams outside the removed spans, n places each."""
 
@@ -183,7 +213,11 @@ def _merged(found: DataFrame) -> DataFrame:
     return by_batch(dealt, run, schema)
 
 
-def repeated_runs(docs: DataFrame, rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _source(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
+
+
+def repeated_runs(docs: DataFrame, rows: DataFrame, id: str = "doc_id", text: str = "text", grams: DataFrame | None = None) -> DataFrame:
     """Passages that occur again in what the removal of ``rows`` leaves, with the columns of ``rows``.
 
     Every run of WINDOW equal words or more that stands at two places is found, without case
@@ -192,9 +226,9 @@ def repeated_runs(docs: DataFrame, rows: DataFrame, id: str = "doc_id", text: st
     all rows of one id.
     """
     scratch = Scratch(docs.sparkSession)
-    source = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
+    source = _source(docs, id, text)
     spans = scratch.keep("spans", spans_of(rows))
-    standing = scratch.keep("standing", _standing(_grams(source), spans))
+    standing = scratch.keep("standing", _standing(_grams(source) if grams is None else grams, spans))
     again = standing.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("gram")
     wanted = standing.join(again, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("wanted"))
     windows = scratch.keep("windows", _windows(source, wanted.join(spans, "doc_id", "left")))
@@ -216,6 +250,9 @@ def repeated_runs(docs: DataFrame, rows: DataFrame, id: str = "doc_id", text: st
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated paragraphs, and repeated runs of words in what their removal leaves."""
-    rows = repeated_paragraphs(docs, id, text)
-    rows = Scratch(docs.sparkSession).keep("paragraphs", rows)
-    return rows.unionByName(repeated_runs(docs, rows, id, text))
+    scratch = Scratch(docs.sparkSession)
+    read = scratch.keep("read", _read_once(_source(docs, id, text)))
+    marks = read.where(F.col("paragraph").isNotNull()).drop("grams", "at")
+    rows = scratch.keep("paragraphs", repeated_paragraphs(docs, id, text, marks=marks))
+    grams = read.where(F.col("paragraph").isNull()).select("doc_id", "grams", "at")
+    return rows.unionByName(repeated_runs(docs, rows, id, text, grams))
