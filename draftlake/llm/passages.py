@@ -21,6 +21,7 @@ from draftlake.llm.paragraphs import MIN_WORDS, Paragraphs, Words, _mixed, band_
 # ---------------------------------------------------------------- fixed values
 WINDOW = 50  # words of the shortest passage
 GRAM = 25
+ROOM = 200_000  # words whose shingles and grams a task holds
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 # ---------------------------------------------------------- end of fixed values
 
@@ -109,28 +110,35 @@ def _read_once(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Marks of paragraphs and, in rows without a paragraph, grams of whole texts, by one reading of the words."""
     count = bands()
 
+    def columns(marks: list[tuple], held: list[tuple]) -> dict:
+        keys = list(band_keys([m[3] for m in marks], count).view(np.int64)) if marks else []
+        blank, more = [None] * len(held), [None] * len(marks)
+        return {
+            "doc_id": [m[0] for m in marks] + [h[0] for h in held],
+            "paragraph": [m[1] for m in marks] + blank,
+            "first_word": [m[4] for m in marks] + blank,
+            "n_words": [m[5] for m in marks] + blank,
+            "digest": [m[2] for m in marks] + blank,
+            "keys": keys + blank,
+            "grams": more + [h[1] for h in held],
+            "at": more + [h[2] for h in held],
+        }
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut, paragraphs = Cutter(), Paragraphs(min_words)
         for b in batches:
-            marks, held = [], []
+            marks, held, load = [], [], 0
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 words = cut.of(t)
                 marks += [(d, *p) for p in paragraphs.of(t, words)]
                 own, at = cut.grams(words)
                 if len(own):
                     held.append((d, own.view(np.int64), at))
-            keys = list(band_keys([m[3] for m in marks], count).view(np.int64)) if marks else []
-            blank, more = [None] * len(held), [None] * len(marks)
-            yield {
-                "doc_id": [m[0] for m in marks] + [h[0] for h in held],
-                "paragraph": [m[1] for m in marks] + blank,
-                "first_word": [m[4] for m in marks] + blank,
-                "n_words": [m[5] for m in marks] + blank,
-                "digest": [m[2] for m in marks] + blank,
-                "keys": keys + blank,
-                "grams": more + [h[1] for h in held],
-                "at": more + [h[2] for h in held],
-            }
+                load += len(words)
+                if load >= ROOM:
+                    yield columns(marks, held)
+                    marks, held, load = [], [], 0
+            yield columns(marks, held)
 
     schema = "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>, grams array<long>, at array<int>"
     return by_batch(docs, run, schema)
