@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from draftlake.plans.registry import query
 from draftlake.session import shared_dir
 from draftlake.sources import files, tables
 from draftlake.streaming import events as ev
-from draftlake.streaming import runs
+from draftlake.streaming import runs, stateful
 
 
 def _scratch(src: Source, name: str) -> str:
@@ -313,6 +314,78 @@ def t4_stream(src: Source) -> DataFrame:
     return once.select("page_id", "event_type", F.when(F.col("page_id").isNull(), F.col("event_id")).alias("lone_id"))
 
 
+def _late_log(src: Source) -> tuple[DataFrame, str]:
+    """The event log as a stream in time order; events on their last attempt arrive behind the watermark.
+
+    Files are written one after the other and read one at a time.  After those of the log
+    come two closing events, far ahead in time, and then the late ones: a row is late if it is
+    behind the watermark of the micro-batch before.
+    """
+    path = _scratch(src, "late")
+    log = src["envelopes"].withColumn("created_at", F.col("created_at").cast("timestamp"))
+    late = F.col("attempt") > ev.MAX_ATTEMPTS
+    days = log.agg(F.min("created_at"), F.max("created_at")).first()
+    step = (days[1] - days[0]) / _PARTS
+    for k in range(_PARTS):
+        start, stop = F.lit(days[0] + k * step), F.lit(days[0] + (k + 1) * step)
+        own = (F.col("created_at") >= start) & ((F.col("created_at") < stop) if k < _PARTS - 1 else F.lit(True))
+        log.where(own & ~late).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for ahead in (2, 3):
+        fixed = {"event_id": F.lit(_CLOSING), "page_id": F.lit(_CLOSING), "event_type": F.lit("page.qa.done"), "created_at": F.lit(days[1] + timedelta(days=ahead))}
+        log.where(~late).limit(1).select(*[fixed.get(c, F.col(c)).alias(c) for c in log.columns]).write.mode("append").parquet(f"{path}/in")
+    log.where(late).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return runs.read_table_stream(src.spark, f"{path}/in", log.schema, 1), path
+
+
+_PARTS, _CLOSING = 4, "closing"
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, more in ev.NEXT_STATUS.items() for b in more)
+
+
+def _moves_sql(rows: str) -> str:
+    return f"""
+, own AS (SELECT page_id, event_id, created_at AS moved_at, status AS to_status, LAG(status) OVER (PARTITION BY page_id ORDER BY created_at, event_id) AS from_status
+  FROM (SELECT *, {_STATUS} AS status FROM envelopes WHERE {rows}) s WHERE status IS NOT NULL AND page_id <> ''),
+known AS (SELECT * FROM (VALUES {_MOVES}) v(a, b))
+SELECT page_id, event_id, moved_at, from_status, to_status, k.a IS NOT NULL AS legal
+FROM own LEFT JOIN known k ON k.a = COALESCE(from_status, '') AND k.b = to_status"""
+
+
+@query("t7_page_moves", oracle_with("envelopes", body=_moves_sql("TRUE")))
+def t7_moves(src: Source) -> DataFrame:
+    return stateful.page_moves(src["envelopes"])
+
+
+@query("t7_page_moves_stream", oracle_with("envelopes", body=_moves_sql(f"attempt <= {ev.MAX_ATTEMPTS}")))
+def t7_moves_stream(src: Source) -> DataFrame:
+    """Legal and illegal moves, each from its own table."""
+    events, path = _late_log(src)
+    runs.split_moves(stateful.page_moves_stream(events, "1 hour"), f"{path}/legal", f"{path}/illegal", f"{path}/ckpt").awaitTermination()
+    sides = [src.spark.read.parquet(f"{path}/{s}").withColumn("legal", F.lit(s == "legal")) for s in ("legal", "illegal")]
+    return sides[0].unionByName(sides[1]).where(F.col("page_id") != _CLOSING).drop("_epoch")
+
+
+@query(
+    "t9_first_completion_stream",
+    oracle_with(
+        "envelopes",
+        body=f"""
+, stages AS (SELECT * FROM (VALUES ('ocr', 'page.ocr.requested', 'page.ocr.done'), ('geometry', 'page.geometry.requested', 'page.geometry.done'),
+  ('qa', 'page.qa.requested', 'page.qa.done'), ('export', 'page.export.requested', 'page.export.done')) v(stage, req, done)),
+live AS (SELECT * FROM envelopes WHERE attempt <= {ev.MAX_ATTEMPTS} AND page_id <> ''),
+asked AS (SELECT e.page_id, s.stage, e.event_id, e.created_at AS requested_at FROM live e JOIN stages s ON s.req = e.event_type),
+fin AS (SELECT e.page_id, s.stage, e.created_at AS done_at FROM live e JOIN stages s ON s.done = e.event_type)
+SELECT a.page_id, a.stage, a.event_id, a.requested_at, MIN(f.done_at) AS done_at
+FROM asked a LEFT JOIN fin f ON f.page_id = a.page_id AND f.stage = a.stage AND f.done_at BETWEEN a.requested_at AND a.requested_at + INTERVAL 6 HOUR
+GROUP BY ALL""",
+    ),
+)
+def t9_first_stream(src: Source) -> DataFrame:
+    """One row per request, without a completion once its six hours are over."""
+    events, path = _late_log(src)
+    with stateful.rocks_state(src.spark):
+        return runs.drain(stateful.first_completions_stream(events, "6 hours", "1 hour"), f"{path}/out", f"{path}/ckpt")
+
+
 @query(
     "t9_stage_pairs_stream",
     oracle_with(

@@ -419,8 +419,11 @@ def w10(src: Source) -> DataFrame:
         "segments",
         body="""
 , pts AS (SELECT page_id, x, y, COUNT(*) AS n FROM (SELECT page_id, x1 AS x, y1 AS y FROM segments UNION ALL SELECT page_id, x2, y2 FROM segments) u GROUP BY page_id, x, y)
+, cut AS (SELECT *, CAST(FLOOR(x / 4) AS BIGINT) AS cx, CAST(FLOOR(y / 4) AS BIGINT) AS cy FROM pts),
+about AS (SELECT * FROM (VALUES (-1), (0), (1)) v(d))
 SELECT a.page_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.n AS n_a, b.n AS n_b, ROUND(SQRT((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 6) AS dist
-FROM pts a JOIN pts b ON b.page_id = a.page_id AND (a.x < b.x OR (a.x = b.x AND a.y < b.y)) AND b.x - a.x <= 4 AND ABS(b.y - a.y) <= 4
+FROM (SELECT c.*, cx + i.d AS tx, cy + j.d AS ty FROM cut c, about i, about j) a
+JOIN cut b ON b.page_id = a.page_id AND b.cx = a.tx AND b.cy = a.ty AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))
 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 16""",
     ),
 )

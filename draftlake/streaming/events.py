@@ -33,6 +33,25 @@ STATUS_BY_EVENT = {
     "page.failed": "failed",
 }
 SPEC_SKIP_REASON = "specification_sheet"
+# status: statuses that may follow it; the empty name stands ahead of the first event.
+# Recognition and geometry run side by side, export follows QA with or without a review,
+# and a page may be processed again from any end.
+NEXT_STATUS = {
+    "": ("created", "extracted"),
+    "created": ("extracted", "failed"),
+    "extracted": ("preprocessed", "skipped", "failed"),
+    "preprocessed": ("routed", "segmented", "ocr_done", "geometry_done", "skipped", "failed"),
+    "routed": ("segmented", "ocr_done", "geometry_done", "skipped", "failed"),
+    "segmented": ("ocr_done", "geometry_done", "failed"),
+    "ocr_done": ("geometry_done", "qa_done", "failed"),
+    "geometry_done": ("ocr_done", "qa_done", "failed"),
+    "qa_done": ("review_required", "exported", "failed"),
+    "review_required": ("reviewed", "exported", "failed"),
+    "reviewed": ("exported", "failed"),
+    "exported": ("extracted",),
+    "skipped": ("extracted",),
+    "failed": ("extracted",),
+}
 
 # stage: (request topic, completion topic)
 STAGES = {
@@ -189,14 +208,14 @@ def progress(events: DataFrame, batch_id: str = "") -> DataFrame:
     return events.where(F.coalesce(F.col("batch_id"), F.lit("")).isin("", batch_id))
 
 
-def _status() -> Column:
+def status_of() -> Column:
     pairs = [F.lit(x) for item in STATUS_BY_EVENT.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), F.col("event_type"))
 
 
 def page_state(events: DataFrame) -> DataFrame:
     """Last status of every page.  A stream runs in update mode with one row per page."""
-    moves = events.where(F.coalesce(F.col("page_id"), F.lit("")) != "").withColumn("_status", _status())
+    moves = events.where(F.coalesce(F.col("page_id"), F.lit("")) != "").withColumn("_status", status_of())
     newest = F.max(F.when(F.col("_status").isNotNull(), F.struct("created_at", "event_id", "_status")))
     return (
         moves.groupBy("page_id")
@@ -234,7 +253,7 @@ def batch_complete(exported: DataFrame, pages: DataFrame) -> DataFrame:
     return completion(due, done)
 
 
-def _stage_of(side: int) -> Column:
+def stage_of(side: int) -> Column:
     pairs = [F.lit(x) for stage, topics in STAGES.items() for x in (topics[side], stage)]
     return F.try_element_at(F.create_map(*pairs), F.col("event_type"))
 
@@ -248,7 +267,7 @@ def stage_latency(events: DataFrame, block: str = "HOUR") -> DataFrame:
     at = F.col("created_at")
     marks = (
         events.where(F.coalesce(F.col("page_id"), F.lit("")) != "")
-        .withColumns({"_asked": _stage_of(0), "_done": _stage_of(1)})
+        .withColumns({"_asked": stage_of(0), "_done": stage_of(1)})
         .withColumn("stage", F.coalesce("_asked", "_done"))
         .where(F.col("stage").isNotNull())
         .select(
@@ -291,14 +310,14 @@ def stage_pairs_stream(events: DataFrame, within: str = "1 hour", watermark: str
     delay = watermark or within
     usable = events.where(F.coalesce(F.col("page_id"), F.lit("")) != "")
     asked = (
-        usable.withColumn("stage", _stage_of(0))
+        usable.withColumn("stage", stage_of(0))
         .where(F.col("stage").isNotNull())
         .select("page_id", "stage", "event_id", F.col("created_at").alias("requested_at"))
         .withWatermark("requested_at", delay)
         .alias("asked")
     )
     done = (
-        usable.withColumn("stage", _stage_of(1))
+        usable.withColumn("stage", stage_of(1))
         .where(F.col("stage").isNotNull())
         .select(
             F.col("page_id").alias("done_page"), F.col("stage").alias("done_stage"), F.col("created_at").alias("done_at")

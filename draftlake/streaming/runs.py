@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from draftlake.streaming import events as ev
+from draftlake.streaming.stateful import rocks_state
 
 
 def read_events(spark: SparkSession, path: str | None = None, files_per_trigger: int = 100, **broker: str) -> DataFrame:
@@ -116,3 +117,16 @@ def completion_stream(
 
     fresh = ev.exported_pages(events)
     return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_moves(moves: DataFrame, legal: str, illegal: str, checkpoint: str) -> StreamingQuery:
+    """Legal moves of pages to one table, illegal ones to another, exactly once per batch."""
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        batch.where("legal").drop("legal").write.mode("overwrite").parquet(f"{legal}/_epoch={epoch}")
+        batch.where("NOT legal").drop("legal").write.mode("overwrite").parquet(f"{illegal}/_epoch={epoch}")
+        batch.unpersist()
+
+    with rocks_state(moves.sparkSession):
+        return moves.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
