@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import rules
 from draftlake.operators import vector
+from draftlake.operators.distance import nearest_ink
 from draftlake.operators.grid import offsets
 from draftlake.session import settle, spread_rows
 
@@ -362,79 +363,6 @@ def raster_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     ).withColumn("iou", F.when(F.col("union") == 0, 1.0).otherwise(F.col("intersection") / F.col("union")))
 
 
-def _outline(targets: DataFrame, size: int) -> DataFrame:
-    """First and last pixel of every row and column inside cells of ``size``.
-
-    No other pixel of such a cell can be the closest one to a point outside it.  Cell sizes
-    nest, so the outline of larger cells follows from that of smaller ones.
-    """
-    inner = targets.withColumns({"sx": F.floor(F.col("x") / size), "sy": F.floor(F.col("y") / size)})
-    row = inner.groupBy("page_id", "sx", "sy", "y").agg(F.min("x").alias("l"), F.max("x").alias("r"))
-    col = inner.groupBy("page_id", "sx", "sy", "x").agg(F.min("y").alias("t"), F.max("y").alias("u"))
-    kept = row.select("page_id", F.explode(F.array("l", "r")).alias("x"), "y").unionByName(
-        col.select("page_id", "x", F.explode(F.array("t", "u")).alias("y"))
-    )
-    return settle(kept.distinct())
-
-
-def _filed(targets: DataFrame, side: int) -> DataFrame:
-    return targets.select(
-        "page_id",
-        F.floor(F.col("x") / side).alias("cx"),
-        F.floor(F.col("y") / side).alias("cy"),
-        F.col("x").alias("bx"),
-        F.col("y").alias("by"),
-    )
-
-
-def nearest_ink(a: DataFrame, b: DataFrame, first_cell: int = 8, grow: int = 4) -> DataFrame:
-    """Exact distance of every pixel of ``a`` to the closest pixel of ``b`` on its page.
-
-    Pixels meet the pixels of their own and the eight neighbouring cells; a distance
-    up to the cell size is then final.  The rest goes on with larger cells, where a
-    neighbouring cell is represented by its outline.  An unsettled pixel shares no
-    half cell of the previous round with any ``b`` pixel, so its own cell is
-    represented by the outlines of those half cells.  Work per pixel grows with its
-    distance, not with the area in between.  Pages without ``b`` have a null distance.
-    """
-    targets = settle(b.select(*PIXEL).distinct())
-    large = small = targets
-    spots = a.select(*PIXEL).distinct()
-    with_target = targets.select("page_id").distinct()
-    found = spots.join(with_target, "page_id", "left_anti").select(*PIXEL, F.lit(None).cast("double").alias("dist"))
-    open_spots, side, previous = spots.join(with_target, "page_id", "left_semi"), first_cell, None
-    while True:
-        asked = open_spots.select(
-            *PIXEL,
-            F.floor(F.col("x") / side).alias("cx"),
-            F.floor(F.col("y") / side).alias("cy"),
-            F.explode(offsets(1)).alias("s"),
-        ).withColumns({"cx": F.col("cx") + F.col("s.dx"), "cy": F.col("cy") + F.col("s.dy")})
-        cell_key = ["page_id", "cx", "cy"]
-        if previous is None:
-            filed = _filed(targets, side)
-        else:
-            cell_key = [*cell_key, "own"]
-            asked = asked.withColumn("own", (F.col("s.dx") == 0) & (F.col("s.dy") == 0))
-            # Each round shrinks both outlines of the round before.
-            large, small = _outline(large, side), _outline(small, previous // 2)
-            filed = (
-                _filed(large, side)
-                .withColumn("own", F.lit(False))
-                .unionByName(_filed(small, side).withColumn("own", F.lit(True)))
-            )
-        dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
-        best = (
-            asked.drop("s").join(filed, cell_key, "left").groupBy(*PIXEL).agg(F.min((dx * dx + dy * dy).cast("long")).alias("d2"))
-        )
-        judged = settle(best.withColumn("final", F.coalesce(F.col("d2") <= side * side, F.lit(False))))
-        found = found.unionByName(judged.where("final").select(*PIXEL, F.sqrt(F.col("d2").cast("double")).alias("dist")))
-        open_spots = judged.where(~F.col("final")).select(*PIXEL)
-        if open_spots.isEmpty():
-            return found
-        side, previous = side * grow, side
-
-
 def _directed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distances of both directions: page, direction, distance, number of pixels."""
     both = nearest_ink(a, b).withColumn("dir", F.lit(0)).unionByName(nearest_ink(b, a).withColumn("dir", F.lit(1)))
