@@ -21,7 +21,8 @@ from draftlake.operators.vector import ENDPOINT_TOLERANCE_PX
 from draftlake.session import settle
 
 # ---------------------------------------------------------------- fixed values
-LEAF = 512  # positions of a cell
+LEAF = 256  # positions of a cell
+TOP = 32  # sides of a cell at the first level, in tolerances
 LEVELS = 24  # halvings of a cell's side; what is still crowded then is dealt by hash
 # ---------------------------------------------------------- end of fixed values
 
@@ -36,7 +37,7 @@ def leaves(spots: DataFrame, tol: float, limit: int = LEAF, levels: int = LEVELS
     """
     open_spots, out, level = spots, None, 0
     while True:
-        side = tol / 2**level
+        side = TOP * tol / 2**level
         filed = open_spots.withColumns({"level": F.lit(level), "cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side), "part": F.lit(0)})
         key = ["page_id", "cx", "cy"]
         crowded = settle(filed.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") > limit))
@@ -53,11 +54,12 @@ def leaves(spots: DataFrame, tol: float, limit: int = LEAF, levels: int = LEVELS
 
 
 def _boxes(filed: DataFrame, tol: float) -> DataFrame:
-    """One row per cell: its box, its positions as arrays, and the cell of side ``tol`` it lies in."""
+    """One row per cell: its box, its positions as arrays, and the cell of the first level it lies in."""
     cells = filed.groupBy(*CELL).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.collect_list(F.struct("x", "y")).alias("held")
     )
-    return settle(cells.withColumns({"id": F.struct(*CELL), "hx": F.floor(F.col("x0") / tol), "hy": F.floor(F.col("y0") / tol)}))
+    home = lambda c: F.floor(F.col(c) / (TOP * tol))
+    return settle(cells.withColumns({"id": F.concat_ws(":", *[c for c in CELL if c != "page_id"], "page_id"), "hx": home("x0"), "hy": home("y0")}))
 
 
 def near_spots(points: DataFrame, tol: float = ENDPOINT_TOLERANCE_PX, limit: int = LEAF, levels: int = LEVELS) -> DataFrame:
@@ -69,10 +71,10 @@ def near_spots(points: DataFrame, tol: float = ENDPOINT_TOLERANCE_PX, limit: int
     spots = settle(points.groupBy(*SPOT).agg(F.count("*").alias("n")))
     cells = _boxes(leaves(spots.select(*SPOT), tol, limit, levels), tol)
     box = ["x0", "x1", "y0", "y1"]
-    plain = cells.select("id", "hx", "hy", *box, F.size("held").alias("size"))
-    one = plain.select(*[F.col(c).alias(f"a_{c}") for c in plain.columns], F.explode(offsets(1)).alias("s"), F.col("id.page_id").alias("page_id"))
+    plain = cells.select("page_id", "id", "hx", "hy", *box, F.size("held").alias("size"))
+    one = plain.select("page_id", *[F.col(c).alias(f"a_{c}") for c in plain.columns[1:]], F.explode(offsets(1)).alias("s"))
     one = one.withColumns({"hx": F.col("a_hx") + F.col("s.dx"), "hy": F.col("a_hy") + F.col("s.dy")}).drop("s", "a_hx", "a_hy")
-    other = plain.select(F.col("id.page_id").alias("page_id"), "hx", "hy", F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in [*box, "size"]])
+    other = plain.select("page_id", "hx", "hy", F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in [*box, "size"]])
     met = one.join(other, ["page_id", "hx", "hy"])
     apart = lambda c: F.greatest(F.lit(0.0), F.col(f"b_{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"b_{c}1"))
     reach = lambda c: F.greatest(F.col(f"b_{c}1") - F.col(f"a_{c}0"), F.col(f"a_{c}1") - F.col(f"b_{c}0"))
@@ -83,10 +85,10 @@ def near_spots(points: DataFrame, tol: float = ENDPOINT_TOLERANCE_PX, limit: int
     whole = (far <= tol * tol) & (near > wide) & (F.col("a_size") > 1)
     met = settle(met.where(near <= tol * tol).select("a_id", "b_id", "b_size", whole.alias("whole")))
     added = met.where("whole").groupBy("a_id").agg(F.sum("b_size").alias("more"))
-    side = lambda k: cells.select(F.col("id").alias(f"{k}_id"), F.col("held.x").alias(f"{k}x"), F.col("held.y").alias(f"{k}y"))
+    side = lambda k: cells.select(F.col("id").alias(f"{k}_id"), F.col("held.x").alias(f"{k}x"), F.col("held.y").alias(f"{k}y"), *(["page_id"] if k == "a" else []))
     pairs = met.where("NOT whole").select("a_id", "b_id").join(side("b"), "b_id").join(side("a"), "a_id")
     count = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.withColumn("name", F.to_json("a_id")).repartition(count, "name").sortWithinPartitions("name").select("name", "ax", "ay", "bx", "by", F.col("a_id.page_id").alias("page_id"))
+    pairs = pairs.repartition(count, "a_id").sortWithinPartitions("a_id").select("a_id", "ax", "ay", "bx", "by", "page_id")
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, held = None, None

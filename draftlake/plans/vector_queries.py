@@ -440,11 +440,11 @@ def j7(src: Source) -> DataFrame:
 , pts AS (SELECT page_id, x, y, COUNT(*) AS n FROM (SELECT page_id, x1 AS x, y1 AS y FROM segments UNION ALL SELECT page_id, x2, y2 FROM segments) u GROUP BY page_id, x, y)
 , cut AS (SELECT *, CAST(FLOOR(x / 4) AS BIGINT) AS cx, CAST(FLOOR(y / 4) AS BIGINT) AS cy FROM pts),
 about AS (SELECT * FROM (VALUES (-1), (0), (1)) v(d)),
-met AS (SELECT a.page_id, a.x, a.y, b.x AS bx, b.y AS by, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2
+met AS (SELECT a.page_id, a.x, a.y, b.x AS nx, b.y AS ny, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2
   FROM (SELECT c.*, cx + i.d AS tx, cy + j.d AS ty FROM cut c, about i, about j) a
   JOIN cut b ON b.page_id = a.page_id AND b.cx = a.tx AND b.cy = a.ty AND (a.x <> b.x OR a.y <> b.y)),
-best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, x, y ORDER BY d2, bx, by) AS rn, COUNT(*) OVER (PARTITION BY page_id, x, y) AS near FROM met WHERE d2 <= 16)
-SELECT p.page_id, p.x, p.y, p.n, COALESCE(b.near, 0) AS neighbours, b.bx AS near_x, b.by AS near_y, ROUND(SQRT(b.d2), 6) AS dist
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, x, y ORDER BY d2, nx, ny) AS rn, COUNT(*) OVER (PARTITION BY page_id, x, y) AS near FROM met WHERE d2 <= 16)
+SELECT p.page_id, p.x, p.y, p.n, COALESCE(b.near, 0) AS neighbours, b.nx AS near_x, b.ny AS near_y, ROUND(SQRT(b.d2), 6) AS dist
 FROM pts p LEFT JOIN best b ON b.page_id = p.page_id AND b.x = p.x AND b.y = p.y AND b.rn = 1""",
     ),
 )
