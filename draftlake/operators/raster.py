@@ -186,8 +186,11 @@ def skew_profile(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_D
     page, so what travels is rows of the page per task, not pixels.
     """
     count = int(round(2 * max_angle / step)) + 1
-    # One row per page; ink keeps its place, a page's rows may be spread over all tasks.
-    placed = ink.select(*PIXEL).distinct().join(sizes.select("page_id", "width", "height"), "page_id")
+    # Pixels of a tile come together, so a batch holds few pages and a page spreads over many tasks.
+    tile = ["page_id", "tx", "ty"]
+    placed = ink.select(*PIXEL).join(sizes.select("page_id", "width", "height"), "page_id")
+    placed = placed.withColumns({"tx": F.floor(F.col("x") / GRAY_TILE), "ty": F.floor(F.col("y") / GRAY_TILE)})
+    placed = placed.repartition(*[F.col(c) for c in tile]).dropDuplicates([*tile, "x", "y"]).sortWithinPartitions(*tile).drop("tx", "ty")
 
     def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         angles = np.radians(-max_angle + np.arange(count) * step)
@@ -198,9 +201,15 @@ def skew_profile(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_D
                 dx, dy = own["x"].to_numpy(np.float64)[None, :] - cx, own["y"].to_numpy(np.float64)[None, :] - cy
                 rx, ry = np.floor(cos * dx + sin * dy + cx + 0.5), np.floor(cos * dy - sin * dx + cy + 0.5)
                 seen = (rx >= 0) & (rx < width) & (ry >= 0) & (ry < height)
-                i = np.broadcast_to(np.arange(count)[:, None], ry.shape)[seen]
-                cell, c = np.unique(i * int(height) + ry[seen].astype(np.int64), return_counts=True)
-                yield pd.DataFrame({"page_id": page, "i": cell // int(height), "height": int(height), "ry": cell % int(height), "c": c})
+                tall = int(height)
+                cell = (np.arange(count)[:, None] * tall + ry.astype(np.int64))[seen]
+                if len(cell) * 8 > count * tall:
+                    c = np.bincount(cell, minlength=count * tall)
+                    cell = np.flatnonzero(c)
+                    c = c[cell]
+                else:  # few pixels of a tall page
+                    cell, c = np.unique(cell, return_counts=True)
+                yield pd.DataFrame({"page_id": page, "i": cell // tall, "height": tall, "ry": cell % tall, "c": c})
 
     part = placed.mapInPandas(turned, "page_id string, i int, height int, ry long, c long")
     rows = part.groupBy("page_id", "i", "height", "ry").agg(F.sum("c").alias("c"))
