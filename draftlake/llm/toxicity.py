@@ -29,6 +29,7 @@ RATE = 0.15
 SPARSE = 5e-5  # pull of each weight towards zero
 EDGE = b".,;:!?\"'()[]*&%$#-_"
 SEED = 29
+SLICES = 64  # of a grade's labelled rows, ranked apart
 CACHE = 500_000
 # ---------------------------------------------------------- end of fixed values
 
@@ -134,8 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     known = labels.select(F.col(id).cast("long").alias("doc_id"), grade().alias("grade")).where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     total = {r[0]: r[1] for r in known.groupBy("grade").count().collect()}
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    sample = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_grade)
+    # First per slice of a grade, so that no task ranks all labelled rows of one.
+    spot = F.xxhash64("doc_id", F.lit(SEED))
+    ranked = known.withColumns({"spot": spot, "slice": F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(SLICES))})
+    for keys in (["grade", "slice"], ["grade"]):
+        order = Window.partitionBy(*keys).orderBy("spot", "doc_id")
+        ranked = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_grade)
+    sample = ranked
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
     # The sample has at most per_grade rows of each of three grades.
     joined = texts.join(F.broadcast(sample.select("doc_id", "grade")), "doc_id")
