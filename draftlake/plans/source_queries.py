@@ -386,6 +386,31 @@ def t9_first_stream(src: Source) -> DataFrame:
         return runs.drain(stateful.first_completions_stream(events, "6 hours", "1 hour"), f"{path}/out", f"{path}/ckpt")
 
 
+@query(
+    "t5_retry_stream",
+    oracle_with(
+        "envelopes",
+        body=f"""
+, judged AS (SELECT event_id, CAST(attempt AS INT) AS first, artifact_uri IS NULL AS hopeless, event_type = 'page.failed' AS flaky FROM envelopes)
+SELECT event_id, CASE WHEN hopeless THEN 'dead' ELSE 'done' END AS side,
+       CAST(CASE WHEN hopeless THEN GREATEST(first, {ev.MAX_ATTEMPTS}) WHEN flaky THEN GREATEST(first, 4) ELSE first END AS INT) AS attempt FROM judged""",
+    ),
+)
+def t5_stream(src: Source) -> DataFrame:
+    """Events without an artifact never succeed; those of failed pages do at the fourth attempt."""
+    path, table = _scratch(src, "retry"), src["envelopes"].withColumn("created_at", F.col("created_at").cast("timestamp"))
+    table.write.parquet(f"{path}/log/first")
+
+    def judge(events: DataFrame) -> DataFrame:
+        flaky = (F.col("event_type") == "page.failed") & (F.col("attempt") < 4)
+        return events.withColumn("error", F.when(F.col("artifact_uri").isNull(), "no artifact").when(flaky, "not yet"))
+
+    runs.retry_stream(src.spark, f"{path}/log", table.schema, judge, f"{path}/done", f"{path}/dead", f"{path}/ckpt")
+    done = src.spark.read.parquet(f"{path}/done").select("event_id", F.lit("done").alias("side"), F.col("attempt").cast("int").alias("attempt"))
+    attempt = F.get_json_object("payload", "$.original_event.attempt").cast("int").alias("attempt")
+    return done.unionByName(src.spark.read.parquet(f"{path}/dead").select("event_id", F.lit("dead").alias("side"), attempt))
+
+
 @query(
     "t9_stage_pairs_stream",
     oracle_with(

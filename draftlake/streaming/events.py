@@ -200,6 +200,17 @@ def retry_or_dead(failures: DataFrame, max_attempts: int = MAX_ATTEMPTS, error:
     )
 
 
+def retried(failures: DataFrame, max_attempts: int = MAX_ATTEMPTS, error: str = "error") -> DataFrame:
+    """Failed events that may be tried again, as whole envelopes with one more attempt."""
+    more = failures.where(F.col("attempt") < max_attempts)
+    return more.withColumn("attempt", (F.col("attempt") + 1).cast(failures.schema["attempt"].dataType)).drop(error)
+
+
+def dead_letters(failures: DataFrame, max_attempts: int = MAX_ATTEMPTS, error: str = "error") -> DataFrame:
+    """Dead letters of the failed events whose attempts are used up."""
+    return retry_or_dead(failures.where(F.col("attempt") >= max_attempts), max_attempts, error)
+
+
 # ------------------------------------------------------------------- progress
 def progress(events: DataFrame, batch_id: str = "") -> DataFrame:
     """Events of one batch plus events without a batch; an empty filter keeps all."""

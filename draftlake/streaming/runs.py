@@ -95,6 +95,47 @@ def split_stream(raw: DataFrame, good: str, dead: str, checkpoint: str) -> Strea
     return raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry_stream(
+    spark: SparkSession,
+    log: str,
+    schema: StructType,
+    judge: Callable[[DataFrame], DataFrame],
+    done: str,
+    dead: str,
+    checkpoint: str,
+    max_attempts: int = ev.MAX_ATTEMPTS,
+    files_per_trigger: int = 100,
+) -> int:
+    """Handle an event log until nothing is left to retry; returns how often it was drained.
+
+    ``log`` holds folders of parquet envelopes.  ``judge`` adds the column ``error``, null
+    where an event was handled.  Handled events go to ``done``, events out of attempts as
+    dead letters to ``dead``, and the others back into the log with one more attempt, from
+    where the same stream reads them again.  Each micro-batch overwrites its own folders, so
+    a repeated one changes nothing; attempts are bounded, so the loop ends.
+    """
+    waiting = True
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        nonlocal waiting
+        judged = judge(batch).persist()
+        failed = judged.where(F.col("error").isNotNull())
+        judged.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{done}/_epoch={epoch}")
+        ev.dead_letters(failed, max_attempts).write.mode("overwrite").parquet(f"{dead}/_epoch={epoch}")
+        again = ev.retried(failed, max_attempts).select(*schema.fieldNames())
+        if not again.isEmpty():
+            again.write.mode("overwrite").parquet(f"{log}/retry-{epoch}")
+            waiting = True
+        judged.unpersist()
+
+    drains = 0
+    while waiting:
+        waiting, drains = False, drains + 1
+        stream = read_table_stream(spark, f"{log}/*", schema, files_per_trigger)
+        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return drains
+
+
 def completion_stream(
     events: DataFrame, pages: DataFrame, totals: str, checkpoint: str, on_result: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
