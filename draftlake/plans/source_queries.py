@@ -17,7 +17,7 @@ from draftlake.plans.registry import query
 from draftlake.session import shared_dir
 from draftlake.sources import files, tables
 from draftlake.streaming import events as ev
-from draftlake.streaming import runs, stateful
+from draftlake.streaming import counters, runs, stateful
 
 
 def _scratch(src: Source, name: str) -> str:
@@ -411,6 +411,30 @@ def t5_stream(src: Source) -> DataFrame:
     return done.unionByName(src.spark.read.parquet(f"{path}/dead").select("event_id", F.lit("dead").alias("side"), attempt))
 
 
+_KNOWN = ", ".join(f"'{t}'" for t in counters.topics())
+
+
+@query(
+    "a21_live_counters",
+    oracle_with(
+        "envelopes",
+        body=f"SELECT CASE WHEN event_type IN ({_KNOWN}) THEN event_type ELSE '{counters.OTHER}' END AS event_type, COUNT(*) AS events FROM envelopes GROUP BY 1",
+    ),
+)
+def a21_live(src: Source) -> DataFrame:
+    """Events by type as a stream reports them while it writes the log; nothing is read again."""
+    events, path = _event_stream(src, files_per_trigger=1)
+    live = counters.TopicCounters()
+    src.spark.streams.addListener(live)
+    try:
+        stream = counters.counted(events).writeStream.format("parquet").option("path", f"{path}/out")
+        running = stream.option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
+        running.awaitTermination()
+        return live.settled(running).table(events)
+    finally:
+        src.spark.streams.removeListener(live)
+
+
 @query(
     "t9_stage_pairs_stream",
     oracle_with(
