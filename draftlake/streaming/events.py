@@ -61,6 +61,15 @@ STAGES = {
     "qa": ("page.qa.requested", "page.qa.done"),
     "export": ("page.export.requested", "page.export.done"),
 }
+# event: topics that follow it, in order; those of REVIEW_TOPICS only where a review is asked for
+FOLLOW_UPS = {
+    "page.extracted": ("page.preprocessed", "page.ocr.requested", "page.geometry.requested"),
+    "page.geometry.requested": ("page.geometry.done", "page.qa.requested"),
+    "page.qa.requested": ("page.qa.done", "page.review.required", "page.export.requested"),
+    "page.ocr.requested": ("page.ocr.done",),
+    "page.export.requested": ("page.export.done",),
+}
+REVIEW_TOPICS = ("page.review.required",)
 # ---------------------------------------------------------- end of fixed values
 
 
@@ -132,23 +141,10 @@ def fan_out(events: DataFrame) -> DataFrame:
     """
     source = F.col("event_type")
     review = F.coalesce(F.get_json_object("payload", "$.requires_review") == "true", F.lit(False))
-    topics = (
-        F.when(
-            source == "page.extracted",
-            F.array(*map(F.lit, ["page.preprocessed", "page.ocr.requested", "page.geometry.requested"])),
-        )
-        .when(source == "page.geometry.requested", F.array(*map(F.lit, ["page.geometry.done", "page.qa.requested"])))
-        .when(
-            source == "page.qa.requested",
-            F.array_compact(
-                F.array(
-                    F.lit("page.qa.done"), F.when(review, "page.review.required"), F.lit("page.export.requested")
-                )
-            ),
-        )
-        .when(source == "page.ocr.requested", F.array(F.lit("page.ocr.done")))
-        .when(source == "page.export.requested", F.array(F.lit("page.export.done")))
-    )
+    topics = F.lit(None).cast("array<string>")
+    for cause, names in FOLLOW_UPS.items():
+        own = [F.when(review, t) if t in REVIEW_TOPICS else F.lit(t) for t in names]
+        topics = F.when(source == cause, F.array_compact(F.array(*own))).otherwise(topics)
     return events.select(
         F.col("event_id").alias("cause_id"),
         source.alias("cause_type"),
