@@ -15,7 +15,7 @@ from draftlake.plans.event_queries import _REASON, _STATUS
 from draftlake.plans.fixtures import Source, oracle_with
 from draftlake.plans.registry import query
 from draftlake.session import shared_dir
-from draftlake.sources import files, tables
+from draftlake.sources import files, stored, tables
 from draftlake.streaming import events as ev
 from draftlake.streaming import counters, runs, stateful
 
@@ -27,10 +27,30 @@ def _scratch(src: Source, name: str) -> str:
 
 @query("s1_scan_files")
 def s1(src: Source) -> DataFrame:
-    found = files.classify_files(files.scan_files(src.spark, src.folder, "*.parquet"))
+    found = files.classify_files(stored.scan_heads(src.spark, src.folder, "*.parquet"))
     return found.select("name", "length", "kind", "archive_format")
 
 
+@query(
+    "s2_scan_images",
+    oracle_with(
+        "pixels",
+        body="""
+, size AS (SELECT page_id, MAX(x) + 1 AS w, MAX(y) + 1 AS h FROM pixels GROUP BY page_id),
+dots AS (SELECT page_id, x, y, MAX(v) AS v FROM pixels GROUP BY page_id, x, y),
+across AS (SELECT page_id, h, CAST(UNNEST(RANGE(w)) AS INT) AS x FROM size),
+grid AS (SELECT page_id, x, CAST(UNNEST(RANGE(h)) AS INT) AS y FROM across)
+SELECT g.page_id, g.x, g.y, COALESCE(d.v, 255) AS v FROM grid g LEFT JOIN dots d ON d.page_id = g.page_id AND d.x = g.x AND d.y = g.y""",
+    ),
+)
+def s2(src: Source) -> DataFrame:
+    """Pages written as images, then read back pixel by pixel."""
+    pixels, path = src["pixels"], _scratch(src, "images")
+    sizes = pixels.groupBy("page_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    stored.write_images(pixels, sizes, path)
+    return files.scan_pixels(src.spark, path)
+
+
 @query(
     "s3_read_cad",
     oracle_with(
