@@ -6,12 +6,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from draftlake.operators import components as cc
 from draftlake.operators import raster
-from draftlake.operators.chains import extract_chains
+from draftlake.operators.chains import _tile_stretches, extract_chains
 from draftlake.plans import pages
 from draftlake.sources import files
 
@@ -131,6 +132,41 @@ def test_long_chain_across_many_tiles(spark):
     assert list(zip(chains["x"], chains["y"], strict=True)) in (path, path[::-1])
 
 
+def _walked(points):
+    """Stretches by walking from pixel to pixel: {pixel: (first, place, length, loop)}."""
+    near = {(y, x): [(y + b, x + a) for b in (-1, 0, 1) for a in (-1, 0, 1) if (a or b) and (x + a, y + b) in points] for x, y in points}
+    out = {}
+    for first in [*sorted(p for p in near if len(near[p]) < 2), *sorted(near)]:
+        if first in out:
+            continue
+        path, loop = [first], len(near[first]) == 2
+        while ahead := [q for q in near[path[-1]] if q not in path]:
+            path.append(ahead[0])
+        out |= {p: (first, i, len(path), loop) for i, p in enumerate(path)}
+    return out
+
+
+def _without_crossings(points):
+    count = {p: sum((p[0] + a, p[1] + b) in points for a in (-1, 0, 1) for b in (-1, 0, 1)) - 1 for p in points}
+    return {p for p in points if count[p] < 3}
+
+
+def test_tile_stretches_as_walked():
+    square = {(x, y) for x in range(60, 80) for y in range(60, 75) if (x in (60, 79)) != (y in (60, 74))}
+    triangle, lone, pair = {(0, 0), (1, 0), (0, 1)}, {(90, 0)}, {(95, 95), (96, 96)}
+    cases = [_without_crossings(_noise(k, 58, 58, 0.1 + 0.03 * k)) for k in range(6)]
+    cases += [set(square), triangle | lone | pair | square, {(5, y) for y in range(250)}, lone]
+    cases.append(cases[0] | {(x + 60, y + 60) for x, y in cases[1]} | {(x + 130, y) for x, y in square})
+    loops = 0
+    for points in cases:
+        got = _tile_stretches(pd.DataFrame([("p", x, y) for x, y in points], columns=["page_id", "x", "y"]))
+        want = _walked(points)
+        loops += sum(w[3] for w in want.values())
+        found = {(r.y, r.x): ((r.part // cc.ROW, r.part % cc.ROW), r.pos, r.n, r.loop) for r in got.itertuples()}
+        assert found == want
+    assert loops > 200
+
+
 def test_runs_round_trip_and_dilate(spark):
     points = _noise(7, 50, 30, 0.4)
     ink = _ink(spark, points)
