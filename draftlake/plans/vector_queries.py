@@ -24,6 +24,35 @@ def _pages(src: Source) -> DataFrame:
     )
 
 
+_FIT = """
+, s AS (SELECT page_id, chain_id, COUNT(*) AS inliers, AVG(x) AS mx, AVG(y) AS my, VAR_POP(x) AS sxx, VAR_POP(y) AS syy, COVAR_POP(x, y) AS sxy,
+  COVAR_POP(x, x * x + y * y) AS sxz, COVAR_POP(y, x * x + y * y) AS syz FROM chain_points GROUP BY page_id, chain_id),
+d AS (SELECT *, sxx * syy - sxy * sxy AS det FROM s),
+c AS (SELECT *, CASE WHEN inliers >= 3 AND det > 1e-9 * (sxx + syy) * (sxx + syy) THEN (sxz * syy - syz * sxy) / (2 * det) END AS cx,
+  CASE WHEN inliers >= 3 AND det > 1e-9 * (sxx + syy) * (sxx + syy) THEN (syz * sxx - sxz * sxy) / (2 * det) END AS cy FROM d),
+fits AS (SELECT page_id, chain_id, cx, cy, SQRT(sxx + syy + (mx - cx) * (mx - cx) + (my - cy) * (my - cy)) AS r, inliers FROM c)"""
+
+_RESIDUALS = """
+, res AS (SELECT p.page_id, p.chain_id, SQRT(AVG(POWER(SQRT((x - cx) * (x - cx) + (y - cy) * (y - cy)) - r, 2))) AS rms FROM chain_points p
+  JOIN fits f ON f.page_id = p.page_id AND f.chain_id = p.chain_id WHERE r IS NOT NULL GROUP BY p.page_id, p.chain_id)"""
+
+_ARCS = """
+, raw AS (SELECT p.page_id, p.chain_id, DEGREES(ATAN2(y - cy, x - cx)) AS d FROM chain_points p
+  JOIN fits f ON f.page_id = p.page_id AND f.chain_id = p.chain_id WHERE r IS NOT NULL),
+ang AS (SELECT DISTINCT page_id, chain_id, d - 360.0 * FLOOR(d / 360.0) AS a FROM raw),
+nxt AS (SELECT *, LEAD(a) OVER (PARTITION BY page_id, chain_id ORDER BY a) AS b FROM ang),
+ext AS (SELECT page_id, chain_id, MIN(a) AS lo, MAX(a) AS hi, COALESCE(MAX(b - a), 0) AS g FROM nxt GROUP BY page_id, chain_id),
+top AS (SELECT n.page_id, n.chain_id, ARG_MIN(n.a, n.a) AS ga, ARG_MIN(n.b, n.a) AS gb FROM nxt n JOIN ext e ON e.page_id = n.page_id AND e.chain_id = n.chain_id
+  WHERE n.b - n.a = e.g GROUP BY n.page_id, n.chain_id),
+fin AS (SELECT e.*, t.ga, t.gb, 360.0 - (hi - lo) AS wrap, 360.0 - GREATEST(g, 360.0 - (hi - lo)) AS coverage FROM ext e
+  LEFT JOIN top t ON t.page_id = e.page_id AND t.chain_id = e.chain_id)"""
+
+
+def _rounded(df: DataFrame, *more: str) -> DataFrame:
+    """Ends of segments and further columns as the SQL rounds them."""
+    return df.withColumns({c: r6(c) for c in (*vec.ENDS, *more)})
+
+
 # -------------------------------------------------------------- column formulas
 @query(
     "p22_confidence_from_rms",
@@ -78,17 +107,44 @@ def p23(src: Source) -> DataFrame:
     )
 
 
-@query("u1_assemble_primitives")
+_SURE = "CASE WHEN rms_px IS NULL OR rms_px <= 0 THEN 0.85 ELSE LEAST(GREATEST(1.0 - rms_px / 6.0, 0.05), 0.99) END"
+
+
+@query(
+    "u1_assemble_primitives",
+    oracle_with(
+        "segments",
+        "polyline_sizes",
+        "chain_points",
+        body=_FIT
+        + _RESIDUALS
+        + _ARCS
+        + f"""
+, lines AS (SELECT * FROM segments WHERE SQRT((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 1.5),
+rounds AS (SELECT f.page_id, CASE WHEN coverage <= 330 THEN 'ARC' ELSE 'CIRCLE' END AS type, f.inliers, res.rms AS rms_px FROM fits f
+  JOIN res ON res.page_id = f.page_id AND res.chain_id = f.chain_id JOIN fin ON fin.page_id = f.page_id AND fin.chain_id = f.chain_id
+  WHERE rms <= 2 AND f.inliers >= 30 AND r >= 1),
+whole AS (
+  SELECT page_id, 'LINE' AS type, '02_PART_VISIBLE' AS layer, inliers AS pixels, {_SURE} AS sure FROM lines
+  UNION ALL SELECT page_id, 'LINE', '04_CENTER_AXIS', inliers, {_SURE} FROM lines WHERE inliers > 40
+  UNION ALL SELECT page_id, type, '02_PART_VISIBLE', inliers, {_SURE} FROM rounds
+  UNION ALL SELECT page_id, 'LWPOLYLINE', '09_BREAK_SYMBOLS', n * 10, 0.4 FROM polyline_sizes WHERE n >= 4)
+SELECT page_id, type, layer, COUNT(*) AS n, CAST(SUM(pixels) AS BIGINT) AS pixels, ROUND(SUM(sure), 4) AS confidence FROM whole GROUP BY page_id, type, layer""",
+    ),
+)
 def u1(src: Source) -> DataFrame:
     rounds, _ = _shapes(src)
     segments = src["segments"]
     centre = segments.where(F.col("inliers") > 40)
-    return vec.assemble(
+    whole = vec.assemble(
         vec.line_primitives(segments),
         vec.line_primitives(centre, vec.CENTER_LAYER),
         vec.round_primitives(rounds),
         vec.break_primitives(_breaks(src)),
-    ).groupBy("page_id", "type", "layer").agg(F.count("*").alias("n"))
+    )
+    return whole.groupBy("page_id", "type", "layer").agg(
+        F.count("*").alias("n"), F.sum("source_pixels").alias("pixels"), F.round(F.sum("confidence"), 4).alias("confidence")
+    )
 
 
 @query(
@@ -314,16 +370,6 @@ def j12(src: Source) -> DataFrame:
     return vec.layer_dim(src["primitives"].select("id", "layer"))
 
 
-# ------------------------------------------------------------------------ fits
-_FIT = """
-, s AS (SELECT page_id, chain_id, COUNT(*) AS inliers, AVG(x) AS mx, AVG(y) AS my, VAR_POP(x) AS sxx, VAR_POP(y) AS syy, COVAR_POP(x, y) AS sxy,
-  COVAR_POP(x, x * x + y * y) AS sxz, COVAR_POP(y, x * x + y * y) AS syz FROM chain_points GROUP BY page_id, chain_id),
-d AS (SELECT *, sxx * syy - sxy * sxy AS det FROM s),
-c AS (SELECT *, CASE WHEN inliers >= 3 AND det > 1e-9 * (sxx + syy) * (sxx + syy) THEN (sxz * syy - syz * sxy) / (2 * det) END AS cx,
-  CASE WHEN inliers >= 3 AND det > 1e-9 * (sxx + syy) * (sxx + syy) THEN (syz * sxx - sxz * sxy) / (2 * det) END AS cy FROM d),
-fits AS (SELECT page_id, chain_id, cx, cy, SQRT(sxx + syy + (mx - cx) * (mx - cx) + (my - cy) * (my - cy)) AS r, inliers FROM c)"""
-
-
 @query(
     "a5_fit_circles",
     oracle_with(
@@ -342,9 +388,8 @@ def a5(src: Source) -> DataFrame:
     oracle_with(
         "chain_points",
         body=_FIT
+        + _RESIDUALS
         + """
-, res AS (SELECT p.page_id, p.chain_id, SQRT(AVG(POWER(SQRT((x - cx) * (x - cx) + (y - cy) * (y - cy)) - r, 2))) AS rms FROM chain_points p
-  JOIN fits f ON f.page_id = p.page_id AND f.chain_id = p.chain_id WHERE r IS NOT NULL GROUP BY p.page_id, p.chain_id)
 SELECT f.page_id, f.chain_id, ROUND(rms, 6) AS rms_px, COALESCE(rms <= 2 AND inliers >= 30, FALSE) AS accepted
 FROM fits f LEFT JOIN res ON res.page_id = f.page_id AND res.chain_id = f.chain_id""",
     ),
@@ -359,16 +404,8 @@ def a6(src: Source) -> DataFrame:
     oracle_with(
         "chain_points",
         body=_FIT
+        + _ARCS
         + """
-, raw AS (SELECT p.page_id, p.chain_id, DEGREES(ATAN2(y - cy, x - cx)) AS d FROM chain_points p
-  JOIN fits f ON f.page_id = p.page_id AND f.chain_id = p.chain_id WHERE r IS NOT NULL),
-ang AS (SELECT DISTINCT page_id, chain_id, d - 360.0 * FLOOR(d / 360.0) AS a FROM raw),
-nxt AS (SELECT *, LEAD(a) OVER (PARTITION BY page_id, chain_id ORDER BY a) AS b FROM ang),
-ext AS (SELECT page_id, chain_id, MIN(a) AS lo, MAX(a) AS hi, COALESCE(MAX(b - a), 0) AS g FROM nxt GROUP BY page_id, chain_id),
-top AS (SELECT n.page_id, n.chain_id, ARG_MIN(n.a, n.a) AS ga, ARG_MIN(n.b, n.a) AS gb FROM nxt n JOIN ext e ON e.page_id = n.page_id AND e.chain_id = n.chain_id
-  WHERE n.b - n.a = e.g GROUP BY n.page_id, n.chain_id),
-fin AS (SELECT e.*, t.ga, t.gb, 360.0 - (hi - lo) AS wrap, 360.0 - GREATEST(g, 360.0 - (hi - lo)) AS coverage FROM ext e
-  LEFT JOIN top t ON t.page_id = e.page_id AND t.chain_id = e.chain_id)
 SELECT page_id, chain_id, ROUND(coverage, 6) AS coverage, CASE WHEN coverage > 330 THEN 'CIRCLE' ELSE 'ARC' END AS type,
   ROUND(CASE WHEN coverage <= 330 THEN CASE WHEN wrap > g THEN lo ELSE gb END END, 6) AS start_deg,
   ROUND(CASE WHEN coverage <= 330 THEN CASE WHEN wrap > g THEN hi ELSE ga END END, 6) AS end_deg FROM fin""",
@@ -477,17 +514,21 @@ def j8(src: Source) -> DataFrame:
     return vec.collinear_pairs(src["segments"]).withColumn("merged_len", r6("merged_len"))
 
 
+_NEAREST_TWO = """
+, t AS (SELECT s.page_id, c.break_id, s.seg_id, s.x1, s.y1, s.x2, s.y2, c.x, c.y,
+   LEAST(GREATEST(((c.x - x1) * (x2 - x1) + (c.y - y1) * (y2 - y1)) / CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) < 1e-9 THEN 1 ELSE (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) END, 0.0), 1.0) AS k
+  FROM segments s JOIN break_centres c ON c.page_id = s.page_id),
+d AS (SELECT page_id, break_id, seg_id, SQRT(POWER(x1 + k * (x2 - x1) - x, 2) + POWER(y1 + k * (y2 - y1) - y, 2)) AS dist FROM t),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, break_id ORDER BY dist, seg_id) AS rn FROM d)"""
+
+
 @query(
     "j9_nearest_segments",
     oracle_with(
         "segments",
         "break_centres",
-        body="""
-, t AS (SELECT s.page_id, c.break_id, s.seg_id, s.x1, s.y1, s.x2, s.y2, c.x, c.y,
-   LEAST(GREATEST(((c.x - x1) * (x2 - x1) + (c.y - y1) * (y2 - y1)) / CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) < 1e-9 THEN 1 ELSE (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) END, 0.0), 1.0) AS k
-  FROM segments s JOIN break_centres c ON c.page_id = s.page_id),
-d AS (SELECT page_id, break_id, seg_id, SQRT(POWER(x1 + k * (x2 - x1) - x, 2) + POWER(y1 + k * (y2 - y1) - y, 2)) AS dist FROM t),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, break_id ORDER BY dist, seg_id) AS rn FROM d)
+        body=_NEAREST_TWO
+        + """
 SELECT a.page_id, a.break_id, a.seg_id AS seg_a, b.seg_id AS seg_b, ROUND(a.dist, 6) AS dist_a, ROUND(b.dist, 6) AS dist_b
 FROM r a JOIN r b ON b.page_id = a.page_id AND b.break_id = a.break_id AND a.rn = 1 AND b.rn = 2 WHERE b.dist <= 25""",
     ),
@@ -498,9 +539,35 @@ def j9(src: Source) -> DataFrame:
     )
 
 
-@query("j9_align_breaks")
+# A page's breaks turn their two segments one after the other.
+@query(
+    "j9_align_breaks",
+    oracle_with(
+        "segments",
+        "break_centres",
+        body=_NEAREST_TWO
+        + """
+, two AS (SELECT a.page_id, a.seg_id AS seg_a, b.seg_id AS seg_b, ROW_NUMBER() OVER (PARTITION BY a.page_id ORDER BY a.break_id) AS k
+  FROM r a JOIN r b ON b.page_id = a.page_id AND b.break_id = a.break_id AND a.rn = 1 AND b.rn = 2 WHERE b.dist <= 25),
+met AS (SELECT DISTINCT page_id, seg_id FROM (SELECT page_id, seg_a AS seg_id FROM two UNION ALL SELECT page_id, seg_b FROM two) t),
+state AS (
+  SELECT m.page_id, CAST(0 AS BIGINT) AS k, LIST({'id': s.seg_id, 'x1': s.x1, 'y1': s.y1, 'x2': s.x2, 'y2': s.y2}) AS segs
+  FROM met m JOIN segments s ON s.page_id = m.page_id AND s.seg_id = m.seg_id GROUP BY m.page_id
+  UNION ALL
+  SELECT page_id, k, LIST_TRANSFORM(segs, lambda s: CASE WHEN s.id IN (ga.id, gb.id) THEN {'id': s.id,
+      'x1': (s.x1 + s.x2) / 2 - ux * SQRT((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)) / 2, 'y1': (s.y1 + s.y2) / 2 - uy * SQRT((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)) / 2,
+      'x2': (s.x1 + s.x2) / 2 + ux * SQRT((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)) / 2, 'y2': (s.y1 + s.y2) / 2 + uy * SQRT((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)) / 2} ELSE s END)
+  FROM (SELECT *, (d.x2 - d.x1) / len AS ux, (d.y2 - d.y1) / len AS uy FROM (SELECT *, CASE WHEN la >= lb THEN ga ELSE gb END AS d, CASE WHEN GREATEST(la, lb) = 0 THEN 1 ELSE GREATEST(la, lb) END AS len
+    FROM (SELECT *, SQRT((ga.x2 - ga.x1) * (ga.x2 - ga.x1) + (ga.y2 - ga.y1) * (ga.y2 - ga.y1)) AS la, SQRT((gb.x2 - gb.x1) * (gb.x2 - gb.x1) + (gb.y2 - gb.y1) * (gb.y2 - gb.y1)) AS lb
+      FROM (SELECT s.page_id, t.k, s.segs, LIST_FILTER(s.segs, lambda e: e.id = t.seg_a)[1] AS ga, LIST_FILTER(s.segs, lambda e: e.id = t.seg_b)[1] AS gb
+        FROM state s JOIN two t ON t.page_id = s.page_id AND t.k = s.k + 1) q0) q1) q2) q3),
+last AS (SELECT page_id, UNNEST(segs) AS s FROM (SELECT page_id, ARG_MAX(segs, k) AS segs FROM state GROUP BY page_id) t)
+SELECT g.page_id, g.seg_id, g.rms_px, g.inliers, ROUND(COALESCE(l.s.x1, g.x1), 6) AS x1, ROUND(COALESCE(l.s.y1, g.y1), 6) AS y1, ROUND(COALESCE(l.s.x2, g.x2), 6) AS x2, ROUND(COALESCE(l.s.y2, g.y2), 6) AS y2
+FROM segments g LEFT JOIN last l ON l.page_id = g.page_id AND l.s.id = g.seg_id""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def j9_align(src: Source) -> DataFrame:
-    return vec.align_breaks(src["segments"], src["break_centres"])
+    return _rounded(vec.align_breaks(src["segments"], src["break_centres"]))
 
 
 @query(
@@ -546,9 +613,44 @@ def a19(src: Source) -> DataFrame:
 
 
 # ------------------------------------------------------------------- iterative
-@query("i4_split_polylines")
+_SAME = "ABS({0}x - {1}x) <= 1e-8 + 1e-5 * ABS({1}x) AND ABS({0}y - {1}y) <= 1e-8 + 1e-5 * ABS({1}y)".format
+
+
+# Every round of the recursion cuts the pieces that fail at their farthest point.
+@query(
+    "i4_split_polylines",
+    oracle_with(
+        "chain_points",
+        body=f"""
+, whole AS (SELECT page_id, chain_id, MIN(ord) AS lo, MAX(ord) AS hi, ARG_MIN(x, ord) AS ax, ARG_MIN(y, ord) AS ay, ARG_MAX(x, ord) AS bx, ARG_MAX(y, ord) AS by_, COUNT(*) AS n
+  FROM chain_points GROUP BY page_id, chain_id),
+shut AS (SELECT *, n >= 4 AND {_SAME("a", "b").replace("by", "by_")} AS closed FROM whole),
+far AS (SELECT w.page_id, w.chain_id, MAX({{'d': (x - ax) * (x - ax) + (y - ay) * (y - ay), 'back': -ord, 'x': x, 'y': y}}) AS m FROM shut w
+  JOIN chain_points p ON p.page_id = w.page_id AND p.chain_id = w.chain_id WHERE closed GROUP BY w.page_id, w.chain_id),
+piece AS (
+  SELECT page_id, chain_id, lo, ax, ay, hi, bx, by_ FROM shut WHERE NOT closed
+  UNION ALL SELECT s.page_id, s.chain_id, lo, ax, ay, -m.back, m.x, m.y FROM shut s JOIN far f ON f.page_id = s.page_id AND f.chain_id = s.chain_id
+  UNION ALL SELECT s.page_id, s.chain_id, -m.back, m.x, m.y, hi, bx, by_ FROM shut s JOIN far f ON f.page_id = s.page_id AND f.chain_id = s.chain_id),
+cut AS (
+  SELECT * FROM piece
+  UNION ALL
+  SELECT page_id, chain_id, CASE WHEN k = 0 THEN lo ELSE -m.back END, CASE WHEN k = 0 THEN ax ELSE m.x END, CASE WHEN k = 0 THEN ay ELSE m.y END,
+    CASE WHEN k = 0 THEN -m.back ELSE hi END, CASE WHEN k = 0 THEN m.x ELSE bx END, CASE WHEN k = 0 THEN m.y ELSE by_ END
+  FROM (SELECT c.page_id, c.chain_id, lo, ax, ay, hi, bx, by_, MAX({{'d': ABS((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) / SQRT((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 'back': -ord, 'x': x, 'y': y}}) AS m
+    FROM cut c JOIN chain_points p ON p.page_id = c.page_id AND p.chain_id = c.chain_id AND p.ord BETWEEN c.lo AND c.hi
+    WHERE NOT ({_SAME("a", "b").replace("by", "by_")}) GROUP BY c.page_id, c.chain_id, lo, ax, ay, hi, bx, by_) j, (SELECT UNNEST([0, 1]) AS k) h
+  WHERE m.d > {vec.LINE_RESIDUAL_PX} AND -m.back <> lo AND -m.back <> hi),
+fit AS (SELECT c.page_id, c.chain_id, lo, ax, ay, hi, bx, by_, COUNT(*) AS n,
+    MAX({{'d': ABS((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) / SQRT((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 'back': -ord}}) AS m,
+    AVG(POWER(((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) / SQRT((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 2)) AS ms
+  FROM cut c JOIN chain_points p ON p.page_id = c.page_id AND p.chain_id = c.chain_id AND p.ord BETWEEN c.lo AND c.hi
+  WHERE NOT ({_SAME("a", "b").replace("by", "by_")}) GROUP BY c.page_id, c.chain_id, lo, ax, ay, hi, bx, by_)
+SELECT page_id, chain_id, lo AS from_ord, hi AS to_ord, ROUND(ax, 6) AS x1, ROUND(ay, 6) AS y1, ROUND(bx, 6) AS x2, ROUND(by_, 6) AS y2, ROUND(SQRT(ms), 6) AS rms_px, n AS inliers
+FROM fit WHERE m.d <= {vec.LINE_RESIDUAL_PX} OR -m.back = lo OR -m.back = hi""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def i4(src: Source) -> DataFrame:
-    return vec.split_polylines(src["chain_points"])
+    return _rounded(vec.split_polylines(src["chain_points"]), "rms_px")
 
 
 @query("i5_merge_collinear")
@@ -556,6 +658,33 @@ def i5(src: Source) -> DataFrame:
     return vec.merge_collinear(src["segments"])
 
 
-@query("i6_snap_endpoints")
+# Seeds are chosen one by one inside groups of positions that reach each other.
+@query(
+    "i6_snap_endpoints",
+    oracle_with(
+        "segments",
+        body=f"""
+, ep AS (SELECT page_id, seg_id, seg_id * 2 AS pt, x1 AS x, y1 AS y FROM segments UNION ALL SELECT page_id, seg_id, seg_id * 2 + 1, x2, y2 FROM segments),
+spot AS (SELECT page_id, x, y, MIN(pt) AS pt, FLOOR(x / 4) AS cx, FLOOR(y / 4) AS cy FROM ep GROUP BY page_id, x, y),
+near AS (SELECT a.page_id, a.pt AS p, b.pt AS q FROM (SELECT * FROM spot, (SELECT UNNEST([-1, 0, 1]) AS dx) i, (SELECT UNNEST([-1, 0, 1]) AS dy) j) a
+  JOIN spot b ON b.page_id = a.page_id AND b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy
+  WHERE a.pt <> b.pt AND SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {vec.ENDPOINT_TOLERANCE_PX}),
+reach AS (SELECT page_id, p, p AS q FROM near UNION SELECT r.page_id, r.p, n.q FROM reach r JOIN near n ON n.page_id = r.page_id AND n.p = r.q),
+grp AS (SELECT page_id, p, MIN(q) AS g FROM reach GROUP BY page_id, p),
+turn AS (SELECT grp.page_id, grp.g, grp.p, ROW_NUMBER() OVER (PARTITION BY grp.page_id, grp.g ORDER BY grp.p) AS k, a.qs FROM grp
+  JOIN (SELECT page_id, p, LIST(q) AS qs FROM near GROUP BY page_id, p) a ON a.page_id = grp.page_id AND a.p = grp.p),
+grow AS (SELECT page_id, g, k, [p] AS seeds FROM turn WHERE k = 1
+  UNION ALL SELECT w.page_id, w.g, t.k, CASE WHEN LIST_HAS_ANY(w.seeds, t.qs) THEN w.seeds ELSE LIST_APPEND(w.seeds, t.p) END
+  FROM grow w JOIN turn t ON t.page_id = w.page_id AND t.g = w.g AND t.k = w.k + 1),
+seed AS (SELECT page_id, UNNEST(seeds) AS p FROM (SELECT page_id, g, ARG_MAX(seeds, k) AS seeds FROM grow GROUP BY page_id, g) t
+  UNION ALL SELECT s.page_id, s.pt FROM spot s LEFT JOIN grp ON grp.page_id = s.page_id AND grp.p = s.pt WHERE grp.p IS NULL),
+owner AS (SELECT page_id, p, MAX(seed) AS seed FROM (SELECT page_id, p, p AS seed FROM seed UNION ALL SELECT n.page_id, n.q, n.p FROM near n JOIN seed s ON s.page_id = n.page_id AND s.p = n.p) t
+  GROUP BY page_id, p),
+owned AS (SELECT ep.*, o.seed FROM ep JOIN spot s ON s.page_id = ep.page_id AND s.x = ep.x AND s.y = ep.y JOIN owner o ON o.page_id = s.page_id AND o.p = s.pt),
+mean AS (SELECT page_id, seg_id, pt, AVG(x) OVER (PARTITION BY page_id, seed) AS x, AVG(y) OVER (PARTITION BY page_id, seed) AS y FROM owned)
+SELECT s.page_id, s.seg_id, s.rms_px, s.inliers, ROUND(a.x, 6) AS x1, ROUND(a.y, 6) AS y1, ROUND(b.x, 6) AS x2, ROUND(b.y, 6) AS y2 FROM segments s
+JOIN mean a ON a.page_id = s.page_id AND a.pt = s.seg_id * 2 JOIN mean b ON b.page_id = s.page_id AND b.pt = s.seg_id * 2 + 1""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def i6(src: Source) -> DataFrame:
-    return vec.snap_endpoints(src["segments"])
+    return _rounded(vec.snap_endpoints(src["segments"]))
