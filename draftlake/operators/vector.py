@@ -874,13 +874,11 @@ def nearest_segments(segments: DataFrame, centres: DataFrame, radius: float = BR
         "cy",
     )
     dist = geo.segment_distance(F.col("bx"), F.col("by"), *ends())
-    found = (
-        filed.join(asked, ["page_id", "cx", "cy"])
-        .withColumn("dist", dist)
-        .where(F.col("dist") <= radius)
-        .groupBy("page_id", "break_id", "seg_id")
-        .agg(F.first("dist").alias("dist"))
-    )
+    met = filed.join(asked, ["page_id", "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
+    # A cell lists a segment once, so the closest two are among the closest two of a cell:
+    # at most 18 rows a break leave the cells, which the join has already brought together.
+    close = first_per_key(met, ["page_id", "cx", "cy", "break_id"], F.asc("dist"), F.asc("seg_id"), count=2)
+    found = close.groupBy("page_id", "break_id", "seg_id").agg(F.first("dist").alias("dist"))
     two = first_per_key(found, ["page_id", "break_id"], F.asc("dist"), F.asc("seg_id"), count=2)
     return (
         two.groupBy("page_id", "break_id")
