@@ -208,3 +208,29 @@ def test_empty_page_needs_review(spark):
     empty = spark.createDataFrame([], "page_id string, type string, confidence double")
     r = vec.doc_review(empty, pages).first()
     assert r["requires_review"] and r["warnings"] == ["no_primitives_detected", "no_line_primitives"]
+
+
+def test_nearest_segments_in_a_crowded_cell(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        x, y, a, size = rng.uniform(0, 160), rng.uniform(0, 160), rng.uniform(0, math.pi), rng.choice([0, 8, 90, 300])
+        rows.append((0, x, y, x + size * math.cos(a), y + size * math.sin(a)))
+    rows += rows[:20]
+    spots = [("p0", i, rng.uniform(-40, 200), rng.uniform(-40, 200)) for i in range(60)]
+
+    def far(row, x, y):
+        x1, y1, x2, y2 = row[1:]
+        run = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = 0 if run < 1e-9 else min(max(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / run, 0), 1)
+        return math.dist((x1 + t * (x2 - x1), y1 + t * (y2 - y1)), (x, y))
+
+    want = {}
+    for _, i, x, y in spots:
+        two = sorted((far(r, x, y), k) for k, r in enumerate(rows))[:2]
+        if two[1][0] <= 25:
+            want[i] = tuple(k for _, k in two)
+    centres = spark.createDataFrame(spots, "page_id string, break_id long, x double, y double")
+    got = {r.break_id: (r.seg_a, r.seg_b) for r in vec.nearest_segments(_segments(spark, rows), centres).collect()}
+    assert len(want) > 30
+    assert got == want
