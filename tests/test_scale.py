@@ -47,3 +47,10 @@ def test_arc_ends_as_the_jvm_computes_them(spark):
     want = [r.a for r in spark.createDataFrame(points, "y double, x double").select("y", "x", F.atan2("y", "x").alias("a")).collect()]
     got = raster._atan2(*map(raster.np.array, zip(*points, strict=True)))
     assert got.tolist() == want
+
+
+def test_snapping_files_a_candidate_under_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vec, "spread", None)  # 25 copies of every candidate
+    rows = [("p", k, 10.0 * k, 1.0, 10.0 * k + 3.0, 1.0, 0.5, 10) for k in range(8)]
+    got = vec.snap_endpoints(spark.createDataFrame(rows, SEGMENTS)).collect()
+    assert sorted((r.seg_id, r.x1, r.x2) for r in got) == [(k, 10.0 * k + 1.5, 10.0 * k + 1.5) for k in range(8)]
