@@ -54,3 +54,9 @@ def test_snapping_files_a_candidate_under_few_blocks(spark, monkeypatch):
     rows = [("p", k, 10.0 * k, 1.0, 10.0 * k + 3.0, 1.0, 0.5, 10) for k in range(8)]
     got = vec.snap_endpoints(spark.createDataFrame(rows, SEGMENTS)).collect()
     assert sorted((r.seg_id, r.x1, r.x2) for r in got) == [(k, 10.0 * k + 1.5, 10.0 * k + 1.5) for k in range(8)]
+
+
+def test_candidates_travel_without_what_follows_from_their_ends(spark):
+    travel = joined_columns(vec.collinear_pairs(segments(spark)))
+    assert {"a_x1", "b_x1", "a_copies"} <= travel
+    assert not travel & {"a_len", "b_len", "a_ang", "b_ang", "a_rms_px", "b_inliers"}
