@@ -60,3 +60,13 @@ def test_candidates_travel_without_what_follows_from_their_ends(spark):
     travel = joined_columns(vec.collinear_pairs(segments(spark)))
     assert {"a_x1", "b_x1", "a_copies"} <= travel
     assert not travel & {"a_len", "b_len", "a_ang", "b_ang", "a_rms_px", "b_inliers"}
+
+
+def test_merge_options_are_ids(spark, monkeypatch):
+    kept, settle = [], vec.settle
+    monkeypatch.setattr(vec, "settle", lambda df: kept.append(set(df.columns)) or settle(df))
+    rows = [("p", k, 20.0 * k, 1.0, 20.0 * k + 15.0, 1.0, 0.5, 10) for k in range(9)]
+    got = vec.merge_collinear(spark.createDataFrame(rows, SEGMENTS)).collect()
+    assert [(r.seg_id, round(r.x1, 6), round(r.x2, 6), r.inliers) for r in got] == [(0, 0.0, 175.0, 90)]
+    options = [c for c in kept if {"i", "j"} <= c and "m" not in c]
+    assert options and all(c == {"page_id", "i", "j"} for c in options)
