@@ -70,3 +70,11 @@ def test_merge_options_are_ids(spark, monkeypatch):
     assert [(r.seg_id, round(r.x1, 6), round(r.x2, 6), r.inliers) for r in got] == [(0, 0.0, 175.0, 90)]
     options = [c for c in kept if {"i", "j"} <= c and "m" not in c]
     assert options and all(c == {"page_id", "i", "j"} for c in options)
+
+
+def test_near_points_are_filed_in_few_cells(spark):
+    points = spark.createDataFrame([("p", float(x), float(y)) for x in range(0, 400, 5) for y in range(0, 40, 5)], "page_id string, x double, y double")
+    near = vec.near_points(points, 4.0)
+    assert "array(struct(dx" not in near._jdf.queryExecution().analyzed().toString()
+    assert near.count() == 0
+    assert vec.near_points(points, 5.0).count() == 79 * 8 + 80 * 7
