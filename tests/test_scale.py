@@ -78,3 +78,11 @@ def test_near_points_are_filed_in_few_cells(spark):
     assert "array(struct(dx" not in near._jdf.queryExecution().analyzed().toString()
     assert near.count() == 0
     assert vec.near_points(points, 5.0).count() == 79 * 8 + 80 * 7
+
+
+def test_a_segment_is_exchanged_once_per_cell(spark):
+    rows = [("p", 1, 0.0, 0.0, 90.0, 0.0, 0.5, 10), ("p", 1, 0.0, 0.0, 90.0, 0.0, 0.5, 10), ("p", 2, 0.0, 3.0, 90.0, 3.0, 0.5, 10)]
+    centres = spark.createDataFrame([("p", 7, 45.0, 1.0)], "page_id string, break_id long, x double, y double")
+    near = vec.nearest_segments(spark.createDataFrame(rows, SEGMENTS), centres)
+    assert "array_distinct" in near._jdf.queryExecution().analyzed().toString()
+    assert [(r.seg_a, r.seg_b, r.dist_a, r.dist_b) for r in near.collect()] == [(1, 2, 1.0, 2.0)]
