@@ -7,6 +7,10 @@ predicts the next token through a softmax factored into a word's class and the w
 its class.  It is trained in numpy by backpropagation truncated at the windows' edges, while
 the state is carried on; scoring carries the state across all windows of a document.
 
+All learning documents train it.  Their tokens are dealt to slices of about SLICE_TOKENS: the
+first slice starts the network, the others go on from its weights in parallel, a task per
+slice, and after each of ROUNDS rounds the weights are averaged by tokens.
+
 A word outside the model's vocabulary has the probability of the token "another word" times
 its smoothed share of all such words, so probabilities of a position add up to one.
 
@@ -28,19 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import Scratch, by_batch, utf8
+from draftlake.llm.common import Scratch, by_batch, partitions, utf8
 
 # ---------------------------------------------------------------- fixed values
 MODEL_WORDS = 4_096  # most frequent tokens the network tells apart
 HEAD_WORDS = 131_072  # most frequent tokens whose counts go to every task; others are joined
 UNITS = 32
 CLASSES = 64
-SAMPLE_DOCS = 1_500  # learning documents the network may be trained on
-SAMPLE_WORDS = 300  # of each, from a place that depends on its id
-EPOCHS = 3
+SLICE_TOKENS = 1 << 19  # tokens of learning documents trained on together
+PIECE_TOKENS = 512  # a longer document is trained on in pieces, each from a cleared state, side by side
+ROUNDS = 4  # averages of the weights after the first slice
+PARTS = 16  # pieces of the weights that are averaged on their own
+EPOCHS = 3  # over the first slice; the others are read once
 LANES = 64  # in training
 WINDOW = 32  # tokens between truncations
 RATE = 0.03
+LATER_RATE = 0.01  # behind the first slice
 SEED = 37
 WIDE = 256  # lanes in scoring
 STEPS = 32  # tokens of a scoring window
@@ -228,17 +235,22 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarr
     back[on] = ds
     back = back.reshape(*inputs.shape, units).transpose(0, 2, 1)
     dx, dh = np.zeros((w["x"].shape[1], 3 * units), np.float32), np.zeros_like(h)
+    steps = np.empty((*inputs.shape, 3 * units), np.float32)
     for t in range(len(inputs) - 1, -1, -1):
         before, r, z, n, inner = kept[t]
         dh = dh + back[t]
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (before - n) * z * (1 - z)
         dr = dn * inner * r * (1 - r)
-        np.add.at(dx, inputs[t], np.concatenate([dr, dz, dn]).T)
+        steps[t] = np.concatenate([dr, dz, dn]).T
         dg = np.concatenate([dr, dz, dn * r])
         grad["u"] += dg @ before.T
         grad["b"] += (dn * r).sum(axis=1, keepdims=True)
         dh = (dh * z + w["u"].T @ dg) * ~first[t]
+    order = np.argsort(inputs.ravel(), kind="stable")
+    tokens = inputs.ravel()[order]
+    runs = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    dx[tokens[runs]] = np.add.reduceat(steps.reshape(-1, 3 * units)[order], runs)
     grad["x"] = dx.T
     return loss, grad, hidden[-1]
 
@@ -285,9 +297,21 @@ class Lanes:
             yield running, self.starts[:running] + np.where(live, step, 0), live
 
 
-def train(docs: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, units: int = UNITS, classes: int = CLASSES, seed: int = SEED) -> Model:
-    """Fit by Adam on windows of WINDOW tokens; the same documents always give the same model."""
+def train(
+    docs: list[np.ndarray],
+    counts: np.ndarray,
+    epochs: int = EPOCHS,
+    units: int = UNITS,
+    classes: int = CLASSES,
+    seed: int = SEED,
+    start: Model | None = None,
+    top_rate: float = RATE,
+) -> Model:
+    """Fit by Adam on windows of WINDOW tokens, from ``start`` if given; the same documents always give the same model."""
     m, rng = fresh(counts, units, classes, seed), np.random.default_rng(seed)
+    if start is not None:
+        m = Model(start.order, start.starts, {k: v.copy() for k, v in start.weights.items()})
+        units = m.weights["u"].shape[1]
     mean = {k: np.zeros_like(v) for k, v in m.weights.items()}
     square = {k: np.zeros_like(v) for k, v in m.weights.items()}
     total, step = max(1, epochs * -(-sum(map(len, docs)) // (LANES * WINDOW))), 0
@@ -298,7 +322,7 @@ def train(docs: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, unit
             first = laid.first[at] & live
             _, grad, h = gradients(m, laid.ahead[at], laid.stream[at], first, live, h[:, :running])
             step += 1
-            rate = RATE * max(0.05, 1 - step / total)
+            rate = top_rate * max(0.05, 1 - step / total)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g = g * min(1.0, 1.0 / max(norm, 1e-9))
@@ -410,35 +434,103 @@ def known(counts: DataFrame, head: int = HEAD_WORDS, model: int = MODEL_WORDS) -
     return Known([w for w, _ in got], np.array([c for _, c in got], np.int64), whole[0] or 0, whole[1], min(model, len(got)))
 
 
-def training_sample(docs: DataFrame, k: Known, id: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS, size: int = SAMPLE_WORDS) -> list[np.ndarray]:
-    """Tokens of at most ``most`` learning documents, ``size`` words of each from a place set by its id."""
-    rank = F.xxhash64(F.col(id).cast("long"), F.lit(SEED))
-    learned = docs.where(~is_held_out(id)).select(rank.alias("rank"), utf8(text).alias("text"))
-    last = [r[0] for r in learned.select("rank").orderBy("rank").limit(most).collect()]
-    if not last:
-        return []
-    words = k.words
+def lessons(docs: DataFrame, k: Known, slices: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(slice, hash, piece, ids): model tokens of every learning document, dealt to slices."""
+    hashed = F.xxhash64(F.col(id).cast("long"), utf8(text), F.lit(SEED))
+    learned = docs.where(~is_held_out(id)).select(hashed.alias("hash"), utf8(text).alias("text"))
+    words = k.words[: k.model]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         number = {w: n for n, w in enumerate(words)}
         for b in batches:
             out = []
-            for rank, t in zip(b["rank"].tolist(), b["text"], strict=True):
-                own = [w for part in words_of(t) for w in part]
-                at = rank % (max(0, len(own) - size) + 1)
-                ids = np.array([number.get(w, -1) for w in own[at : at + size]], np.int64)
-                out.append(np.r_[ids, [0] * (at + size >= len(own))].astype("<i4").tobytes())
-            yield {"rank": b["rank"], "ids": out}
+            for h, t in zip(b["hash"].tolist(), b["text"], strict=True):
+                n = np.array([*(number.get(w, -1) for part in words_of(t) for w in part), 0], np.int64)
+                ids = k.token(n).astype("<i4")
+                out += [(h, p, ids[at : at + PIECE_TOKENS].tobytes()) for p, at in enumerate(range(0, len(ids), PIECE_TOKENS))]
+            yield dict(zip(("hash", "piece", "ids"), map(list, zip(*out, strict=True)), strict=True))
+
+    cut = by_batch(learned, run, "hash long, piece int, ids binary")
+    return cut.withColumn("slice", F.pmod(F.xxhash64("hash", "piece"), F.lit(slices)).cast("int"))
+
+
+def taught(m: Model, dealt: DataFrame, counts: np.ndarray, epochs: int, rate: float) -> Model:
+    """The average, by tokens, of the models that the slices of ``dealt`` make of ``m``.
+
+    A task holds one slice, and of a crowded one two slices' tokens at a time.
+    """
+    packed = m.packed()
+    sizes = {name: w.shape for name, w in m.weights.items()}
+
+    def trained(batches: Iterator[dict]) -> Iterator[dict]:
+        name, net, docs, load, total = None, None, [], 0, 0
 
-    cut = by_batch(learned.where(F.col("rank") <= max(last)), run, "rank long, ids binary")
-    got = cut.orderBy("rank", "ids").limit(most).collect()
-    found = [k.token(np.frombuffer(r["ids"], "<i4").astype(np.int64)) for r in got]
-    return [f for f in found if len(f)]
+        def learn() -> None:
+            nonlocal net, docs, load, total
+            net, total = train(docs, counts, epochs, start=net, top_rate=rate), total + load
+            docs, load = [], 0
+
+        def weights() -> dict:
+            parts = np.array_split(np.concatenate([w.ravel() for w in net.weights.values()]), PARTS)
+            return {"part": list(range(PARTS)), "slice": [name] * PARTS, "tokens": [total] * PARTS, "weights": [p.astype("<f4").tobytes() for p in parts]}
+
+        for b in batches:
+            for own, ids in zip(b["slice"].tolist(), b["ids"], strict=True):
+                if own != name or load >= 2 * SLICE_TOKENS:
+                    if docs:
+                        learn()
+                    if own != name:
+                        if name is not None:
+                            yield weights()
+                        name, net, total = own, Model.unpacked(packed), 0
+                docs.append(np.frombuffer(ids, "<i4").astype(np.int64))
+                load += len(docs[-1])
+        if docs:
+            learn()
+        if name is not None:
+            yield weights()
+
+    def averaged(batches: Iterator[dict]) -> Iterator[dict]:
+        part, total, tokens = None, None, 0
+        for b in batches:
+            for p, n, w in zip(b["part"].tolist(), b["tokens"].tolist(), b["weights"], strict=True):
+                if p != part:
+                    if part is not None:
+                        yield {"part": [part], "weights": [(total / tokens).astype("<f4").tobytes()]}
+                    part, total, tokens = p, 0.0, 0
+                total, tokens = total + n * np.frombuffer(w, "<f4").astype(np.float64), tokens + n
+        if part is not None:
+            yield {"part": [part], "weights": [(total / tokens).astype("<f4").tobytes()]}
+
+    count = partitions(dealt.sparkSession)
+    rows = dealt.repartition(count, "slice").sortWithinPartitions("slice", "hash", "piece", "ids").select("slice", "ids")
+    models = by_batch(rows, trained, "part int, slice int, tokens long, weights binary")
+    whole = by_batch(models.repartition(PARTS, "part").sortWithinPartitions("part", "slice"), averaged, "part int, weights binary")
+    got = sorted(whole.collect())
+    if not got:
+        return m
+    flat, at, weights = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in got]), 0, {}
+    for name, shape in sizes.items():
+        size = int(np.prod(shape))
+        weights[name], at = flat[at : at + size].reshape(shape).copy(), at + size
+    return Model(m.order, m.starts, weights)
 
 
 def fit(docs: DataFrame, counts: DataFrame, id: str = "doc_id", text: str = "text", head: int = HEAD_WORDS, model: int = MODEL_WORDS) -> tuple[Known, Model]:
+    """Counts and the network, both of all learning documents."""
     k = known(counts, head, model)
-    return k, train(training_sample(docs, k, id, text), k.token_counts())
+    own = k.token_counts()
+    m = fresh(own)
+    if not k.total:
+        return k, m
+    slices = -(-k.total // SLICE_TOKENS)
+    read = Scratch(docs.sparkSession).keep("lessons", lessons(docs, k, slices, id, text))
+    m = taught(m, read.where(F.col("slice") == 0), own, EPOCHS, RATE)
+    rounds = min(ROUNDS, slices - 1)
+    for r in range(rounds):
+        now = (F.col("slice") > 0) & (F.pmod(F.col("slice") - 1, F.lit(rounds)) == r)
+        m = taught(m, read.where(now), own, 1, LATER_RATE * (1 - r / rounds))
+    return k, m
 
 
 def _scored(docs: DataFrame, k: Known, m: Model) -> DataFrame:
