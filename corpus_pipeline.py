@@ -57,8 +57,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of every group of near-duplicates, the smallest by id and then by MD5 of the text.
 
     Other texts under the same id are documents of their own.  Near-duplicates have five-word
-    shingles of Jaccard similarity 0.8 or more; a fingerprint within four bits (op6) reaches
-    few of them.
+    shingles of Jaccard similarity 0.8 or more.  Candidates come from op6's ball search over
+    SimHash fingerprints and, as those within four bits are few of them, from MinHash bands.
     """
     prepare(spark)
     id, digest, row = unused(docs, "id", "digest", "row")

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.llm import simhash
 from draftlake.llm.common import Scratch, by_batch, partitions, utf8
 from draftlake.llm.graph import components, forest
 
@@ -131,7 +132,10 @@ def band_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarra
 
 
 def marked(docs: DataFrame, id: str, text: str, min_words: int | None, count: int) -> DataFrame:
-    """(doc_id, paragraph, first_word, n_words, digest, keys) of every paragraph that is long enough."""
+    """(doc_id, paragraph, first_word, n_words, digest, keys) of every paragraph that is long enough.
+
+    Whole texts (``min_words`` None) have their SimHash fingerprint with them (fp).
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut = cutter(min_words)
@@ -140,10 +144,12 @@ def marked(docs: DataFrame, id: str, text: str, min_words: int | None, count: in
             if found:
                 ids, numbers, digests, sets, at, size = map(list, zip(*found, strict=True))
                 keys = band_keys(sets, count).view(np.int64)
-                yield {"doc_id": ids, "paragraph": numbers, "first_word": at, "n_words": size, "digest": digests, "keys": list(keys)}
+                out = {"doc_id": ids, "paragraph": numbers, "first_word": at, "n_words": size, "digest": digests, "keys": list(keys)}
+                yield out | {"fp": [simhash.fingerprint(t) for t in b["text"]]} if min_words is None else out
 
     source = docs.select(F.col(id).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    return by_batch(source, run, "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>")
+    schema = "doc_id long, paragraph int, first_word int, n_words int, digest binary, keys array<long>"
+    return by_batch(source, run, schema + ", fp long" * (min_words is None))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, min_words: int | None) -> DataFrame:
@@ -188,7 +194,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return by_batch(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
-def _similar_pairs(sets: list[bytes], threshold: float, room: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _similar_pairs(sets: list[bytes], threshold: float, room: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a bounded list of sets with at least the threshold's similarity."""
     k = len(sets)
     sizes = np.array([len(s) // 8 for s in sets], np.int64)
@@ -251,6 +257,16 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, threshold: float, block
     return by_batch(dealt, run, "a long, b long")
 
 
+def alike(scratch: Scratch, distinct: DataFrame) -> DataFrame:
+    """(a, b): texts whose SimHash fingerprints are equal or linked by the ball search, ahead of their verification."""
+    first = scratch.keep("prints", distinct.groupBy("fp").agg(F.min("pid").alias("head")))
+    same = distinct.join(first, "fp").where(F.col("pid") != F.col("head")).select(F.col("head").alias("a"), F.col("pid").alias("b"))
+    found = simhash.links(scratch, first.select("fp")).distinct().withColumnsRenamed({"a": "u", "b": "v"})
+    end = lambda fp, pid: first.select(F.col("fp").alias(fp), F.col("head").alias(pid))
+    linked = found.join(end("u", "p"), "u").join(end("v", "q"), "v")
+    return same.unionByName(linked.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
 def _labelled(
     scratch: Scratch, docs: DataFrame, id: str, text: str, min_words: int | None, threshold: float, block: int, marks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +274,10 @@ def _labelled(
     named = docs.where(F.col(id).isNotNull())
     if marks is None:
         marks = scratch.keep("marks", marked(named, id, text, min_words, bands(threshold)))
-    distinct = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "paragraph")).alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    hashed = ["fp"] if "fp" in marks.columns else []
+    distinct = marks.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "paragraph")).alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in hashed]
+    )
     # Numbers fall with the copies (in powers of two), so the smallest of a bucket has most.
     rarity = F.lit(63) - F.floor(F.log2("copies")).cast("int")
     number = F.shiftleft(rarity.cast("long"), 57).bitwiseOR(F.monotonically_increasing_id())
@@ -268,10 +287,15 @@ def _labelled(
     heads = entries.groupBy("key").agg(F.min("pid").alias("head"), F.count("*").alias("size"))
     shared = heads.where(F.col("size") > 1)
     members = scratch.keep("members", entries.join(shared, "key").select("key", "pid", "head", "size"))
-    wanted = distinct.join(members.select("pid").distinct(), "pid").select("pid", "place.doc_id", "digest")
+    asked = members.select("pid")
+    if hashed:
+        near = scratch.keep("alike", alike(scratch, distinct.select("pid", "fp")))
+        asked = asked.unionByName(near.select(F.explode(F.array("a", "b")).alias("pid")))
+    wanted = distinct.join(asked.distinct(), "pid").select("pid", "place.doc_id", "digest")
     sets = shingle_sets(named, wanted, id, text, min_words).groupBy("pid").agg(F.first("shingles").alias("shingles"))
     sets = scratch.keep("sets", sets)
-    pairs = members.where(F.col("pid") != F.col("head")).select(F.col("head").alias("a"), F.col("pid").alias("b")).distinct()
+    pairs = members.where(F.col("pid") != F.col("head")).select(F.col("head").alias("a"), F.col("pid").alias("b"))
+    pairs = (pairs.unionByName(near) if hashed else pairs).distinct()
     links = scratch.keep("links-star", verified(pairs, sets, threshold))
     labels = components(scratch, links, "star").withColumnRenamed("node", "pid")
     placed = members.join(labels, "pid", "left").withColumn("label", F.coalesce("label", "pid"))
@@ -331,6 +355,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
 
     Two texts are linked if the Jaccard similarity of their five-word shingles is
     ``threshold`` or more, without case (A-Z); of a component the smallest (id, MD5) stays.
+    Candidates are the links of the SimHash ball search and the members of a MinHash band.
     Null texts are empty ones, and texts of fewer than five words are one shingle.  Rows
     without id are left out.
     """
