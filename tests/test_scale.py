@@ -86,3 +86,19 @@ def test_a_segment_is_exchanged_once_per_cell(spark):
     near = vec.nearest_segments(spark.createDataFrame(rows, SEGMENTS), centres)
     assert "array_distinct" in near._jdf.queryExecution().analyzed().toString()
     assert [(r.seg_a, r.seg_b, r.dist_a, r.dist_b) for r in near.collect()] == [(1, 2, 1.0, 2.0)]
+
+
+def test_an_exchange_is_read_in_bounded_parts(spark):
+    from draftlake.plans.fixtures import open_source
+
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        open_source(spark, "")
+        ink = spark.range(400_000).select(F.concat(F.lit("p"), F.col("id") % 7).alias("page_id"), F.hash("id").alias("x"), F.hash("id", F.lit(1)).alias("y"))
+        both = raster.mask_union(ink, ink.withColumn("x", F.col("x") + 1))
+        assert both.rdd.getNumPartitions() > 1  # the session's own number is 4, its size 64 MB
+        assert [spark.conf.get(n) for n in names] == ["512", "8m"]
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
