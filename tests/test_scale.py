@@ -102,3 +102,9 @@ def test_an_exchange_is_read_in_bounded_parts(spark):
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_snapping_ends_on_points_without_a_place(spark):
+    rows = [("p", 1, None, 1.0, 9.0, 1.0, 0.5, 10), (None, 2, 0.0, 0.0, 9.0, 9.0, 0.5, 10), ("p", None, 0.0, 0.0, 9.0, 9.0, 0.5, 10), ("p", 3, 9.0, 3.0, 30.0, 3.0, 0.5, 10)]
+    got = vec.snap_endpoints(spark.createDataFrame(rows, SEGMENTS)).collect()
+    assert sorted((r.seg_id, r.x1, r.x2, r.y2) for r in got if r.seg_id == 3) == [(3, 9.0, 30.0, 3.0)]
