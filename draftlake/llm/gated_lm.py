@@ -109,24 +109,37 @@ def fresh(counts: np.ndarray, units: int = UNITS, classes: int = CLASSES, seed:
     return Model(order, starts, weights)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def states(m: Model, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Hidden states (T, H, A) over tokens (T, A) from the state ``h``; ``first`` clears it ahead of a step.
 
-
-def states(m: Model, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (T, H, A) over tokens (T, A) from the state ``h``; ``first`` clears it ahead of a step."""
+    ``keep`` takes what the way back needs, by name, as arrays over all steps.
+    """
     w, units = m.weights, m.weights["u"].shape[1]
-    out = np.empty((len(inputs), units, inputs.shape[1]), np.float32)
-    for t in range(len(inputs)):
-        if first[t].any():
+    steps, wide = inputs.shape
+    out = np.empty((steps, units, wide), h.dtype)
+    # All steps' columns at once; a row of the transposed table is one piece of memory.
+    asked = np.ascontiguousarray(w["x"].T[inputs].transpose(0, 2, 1))
+    before, inner = (np.empty_like(out) for _ in range(2))
+    begins = first.any(axis=1)
+    for t in range(steps):
+        if begins[t]:
             h = h * ~first[t]
-        a, g = np.take(w["x"], inputs[t], axis=1), w["u"] @ h
-        rz = _sigmoid(a[: 2 * units] + g[: 2 * units])
-        r, z, inner = rz[:units], rz[units:], g[2 * units :] + w["b"]
-        n = np.tanh(a[2 * units :] + r * inner)
-        if keep is not None:
-            keep.append((h, r, z, n, inner))
-        h = out[t] = n + z * (h - n)
+        a, g = asked[t], w["u"] @ h
+        before[t] = h
+        rz, n = a[: 2 * units], a[2 * units :]
+        rz += g[: 2 * units]
+        rz *= 0.5
+        np.tanh(rz, out=rz)
+        rz *= 0.5
+        rz += 0.5
+        np.add(g[2 * units :], w["b"], out=inner[t])
+        n += rz[:units] * inner[t]
+        np.tanh(n, out=n)
+        h = np.subtract(h, n, out=out[t])
+        h *= rz[units:]
+        h += n
+    if keep is not None:
+        keep.update(before=before, inner=inner, r=asked[:, :units], z=asked[:, units : 2 * units], n=asked[:, 2 * units :])
     return out
 
 
@@ -202,57 +215,81 @@ def log_likelihood(m: Model, hidden: np.ndarray, targets: np.ndarray) -> np.ndar
     return out.reshape(targets.shape)
 
 
-def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """Mean negative log-likelihood of a window, its gradient inside the window, and the last state."""
-    w, units, kept = m.weights, m.weights["u"].shape[1], []
+def _softmax(scores: np.ndarray, at: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """Sum of the log probabilities of ``at``, and the gradient of minus ``share`` times it, in ``scores``."""
+    rows = np.arange(len(at))
+    scores -= scores.max(axis=1, keepdims=True)
+    found = scores[rows, at]
+    np.exp(scores, out=scores)
+    sums = scores @ np.ones(scores.shape[1], scores.dtype)
+    scores *= (share / sums)[:, None]
+    scores[rows, at] -= share
+    return float((found - np.log(sums)).sum()), scores
+
+
+def gradients(
+    m: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict | None = None
+) -> tuple[float, dict, np.ndarray]:
+    """Mean negative log-likelihood of a window, its gradient inside the window, and the last state.
+
+    ``grad`` may bring zeroed arrays for the gradient.
+    """
+    w, units, kept = m.weights, m.weights["u"].shape[1], {}
+    grad = {k: np.zeros_like(v) for k, v in w.items()} if grad is None else grad
     hidden = states(m, inputs, first, h, kept)
-    grad = {k: np.zeros_like(v) for k, v in w.items()}
     on = np.flatnonzero(live.ravel())
-    s, y = hidden.transpose(0, 2, 1).reshape(-1, units)[on], targets.ravel()[on]
-    loss = -float(log_likelihood(m, hidden, targets)[live].mean())
-    classes = m.owner[y]
-    p = s @ w["c"] + w["cb"]
-    p = np.exp(p - p.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(y)), classes] -= 1
-    p /= len(y)
-    grad["c"], grad["cb"] = s.T @ p, p.sum(axis=0)
+    classes = m.owner[targets.ravel()[on]]
+    # Positions class by class, so a class is one stretch of every array below.
+    by_class = np.argsort(classes.astype(np.int16), kind="stable")
+    on, classes = on[by_class], classes[by_class]
+    word, share = m.rank[targets.ravel()[on]], hidden.dtype.type(1 / max(len(on), 1))
+    s = hidden.transpose(0, 2, 1).reshape(-1, units)[on]
+    p = s @ w["c"]
+    p += w["cb"]
+    total, p = _softmax(p, classes, share)
+    grad["c"][:], grad["cb"][:] = s.T @ p, p.sum(axis=0)
     ds = p @ w["c"].T
-    by_class = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[by_class], np.arange(len(m.starts)))
+    bounds = np.searchsorted(classes, np.arange(len(m.starts)))
     for k in np.flatnonzero(np.diff(bounds)):
         low, high = m.starts[k], m.starts[k + 1]
-        own = by_class[bounds[k] : bounds[k + 1]]
-        q = s[own] @ w["w"][:, low:high] + w["wb"][low:high]
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(own)), m.rank[y[own]] - low] -= 1
-        q /= len(y)
-        grad["w"][:, low:high] = s[own].T @ q
-        grad["wb"][low:high] = q.sum(axis=0)
-        ds[own] += q @ w["w"][:, low:high].T
-    back = np.zeros((inputs.size, units), np.float32)
+        if high - low > 1:
+            own = slice(bounds[k], bounds[k + 1])
+            q = s[own] @ w["w"][:, low:high]
+            q += w["wb"][low:high]
+            more, q = _softmax(q, word[own] - low, share)
+            total += more
+            np.matmul(s[own].T, q, out=grad["w"][:, low:high])
+            np.sum(q, axis=0, out=grad["wb"][low:high])
+            ds[own] += q @ w["w"][:, low:high].T
+    back = np.zeros((inputs.size, units), hidden.dtype)
     back[on] = ds
-    back = back.reshape(*inputs.shape, units).transpose(0, 2, 1)
-    dx, dh = np.zeros((w["x"].shape[1], 3 * units), np.float32), np.zeros_like(h)
-    steps = np.empty((*inputs.shape, 3 * units), np.float32)
+    back = np.ascontiguousarray(back.reshape(*inputs.shape, units).transpose(0, 2, 1))
+    before, inner, r, z, n = (kept[k] for k in ("before", "inner", "r", "z", "n"))
+    # What the gates' gradients are of the state's, for all steps.
+    of_n = (1 - z) * (1 - n * n)
+    of_z = (before - n) * z * (1 - z)
+    of_r = inner * r * (1 - r)
+    gates, begins = np.empty((len(inputs), 3 * units, inputs.shape[1]), hidden.dtype), first.any(axis=1)
+    dn, dh, back_u = np.empty_like(back), np.zeros_like(h), np.ascontiguousarray(w["u"].T)
     for t in range(len(inputs) - 1, -1, -1):
-        before, r, z, n, inner = kept[t]
-        dh = dh + back[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        steps[t] = np.concatenate([dr, dz, dn]).T
-        dg = np.concatenate([dr, dz, dn * r])
-        grad["u"] += dg @ before.T
-        grad["b"] += (dn * r).sum(axis=1, keepdims=True)
-        dh = (dh * z + w["u"].T @ dg) * ~first[t]
+        dh += back[t]
+        np.multiply(dh, of_n[t], out=dn[t])
+        np.multiply(dh, of_z[t], out=gates[t, units : 2 * units])
+        np.multiply(dn[t], of_r[t], out=gates[t, :units])
+        np.multiply(dn[t], r[t], out=gates[t, 2 * units :])
+        dh *= z[t]
+        dh += back_u @ gates[t]
+        if begins[t]:
+            dh *= ~first[t]
+    flat = lambda v: v.transpose(1, 0, 2).reshape(v.shape[1], -1)
+    grad["u"][:] = flat(gates) @ flat(before).T
+    grad["b"][:] = gates[:, 2 * units :].sum(axis=(0, 2))[:, None]
+    gates[:, 2 * units :] = dn
     order = np.argsort(inputs.ravel(), kind="stable")
     tokens = inputs.ravel()[order]
     runs = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    dx[tokens[runs]] = np.add.reduceat(steps.reshape(-1, 3 * units)[order], runs)
-    grad["x"] = dx.T
-    return loss, grad, hidden[-1]
+    grad["x"].T[tokens[runs]] = np.add.reduceat(gates.transpose(0, 2, 1).reshape(-1, 3 * units)[order], runs)
+    return -total / max(len(on), 1), grad, hidden[-1]
 
 
 @dataclass
@@ -312,26 +349,56 @@ def train(
     if start is not None:
         m = Model(start.order, start.starts, {k: v.copy() for k, v in start.weights.items()})
         units = m.weights["u"].shape[1]
-    mean = {k: np.zeros_like(v) for k, v in m.weights.items()}
-    square = {k: np.zeros_like(v) for k, v in m.weights.items()}
+    # One vector of all weights and one of their gradients; the arrays are views of them.
+    shapes = {k: v.shape for k, v in m.weights.items()}
+    flat = np.concatenate([m.weights[k].T.ravel() if k == "x" else m.weights[k].ravel() for k in shapes])
+    slope, mean, square = (np.zeros_like(flat) for _ in range(3))
+    m.weights, grad = _views(flat, shapes), _views(slope, shapes)
     total, step = max(1, epochs * -(-sum(map(len, docs)) // (LANES * WINDOW))), 0
     for _ in range(epochs if docs else 0):
         laid = Lanes.of([docs[k] for k in rng.permutation(len(docs))], LANES)
         h = np.zeros((units, len(laid.sizes)), np.float32)
         for running, at, live in laid.windows(WINDOW):
             first = laid.first[at] & live
-            _, grad, h = gradients(m, laid.ahead[at], laid.stream[at], first, live, h[:, :running])
+            slope.fill(0)
+            _, _, h = gradients(m, laid.ahead[at], laid.stream[at], first, live, h[:, :running], grad)
             step += 1
-            rate = top_rate * max(0.05, 1 - step / total)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            for k, g in grad.items():
-                g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                m.weights[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
+            _adam(flat, slope, mean, square, step, top_rate * max(0.05, 1 - step / total))
+    m.weights = {k: np.ascontiguousarray(v) for k, v in m.weights.items()}
     return m
 
 
+def _views(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
+    """Arrays of these shapes inside a vector; ``x`` lies there token by token."""
+    out, at = {}, 0
+    for name, shape in shapes.items():
+        own = flat[at : at + int(np.prod(shape))]
+        out[name], at = own.reshape(shape[::-1]).T if name == "x" else own.reshape(shape), at + own.size
+    return out
+
+
+def _adam(weights: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, rate: float, block: int = 1 << 14) -> None:
+    """One step, by blocks that stay in the processor's cache."""
+    norm = float(np.sqrt(np.dot(slope, slope)))
+    cut, held = min(1.0, 1.0 / max(norm, 1e-9)), np.empty(block, weights.dtype)
+    rate, wide = rate / (1 - 0.9**step), 1 / np.sqrt(1 - 0.99**step)
+    for at in range(0, len(weights), block):
+        g, a, b, w = (v[at : at + block] for v in (slope, mean, square, weights))
+        t = held[: len(g)]
+        a *= 0.9
+        a += np.multiply(g, 0.1 * cut, out=t)
+        np.multiply(g, g, out=t)
+        t *= 0.01 * cut * cut
+        b *= 0.99
+        b += t
+        np.sqrt(b, out=t)
+        t *= wide
+        t += 1e-6
+        np.divide(a, t, out=t)
+        t *= rate
+        w -= t
+
+
 def document_scores(m: Model, docs: list[np.ndarray], wide: int = WIDE, steps: int = STEPS) -> np.ndarray:
     """Natural log-likelihood of every document; the state is carried over all its windows."""
     if not docs:

@@ -127,3 +127,15 @@ def test_nothing_to_score_or_to_learn(spark):
     out = next(i for i in range(100) if is_out(i))
     row = gated_lm.score(spark.createDataFrame([(out, "a b", "w", 1, 2, 3, 4)], DOCS)).collect()
     assert [tuple(r) for r in row] == [(out, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_training_takes_one_softmax_a_window(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [np.r_[rng.integers(1, 40, n), 0] for n in (70, 3, 150, 1, 33)]
+    counts = np.bincount(np.concatenate(docs), minlength=40)
+    own, calls = gated_lm.gradients, []
+    monkeypatch.setattr(gated_lm, "log_likelihood", lambda *a: pytest.fail("scores are taken a second time"))
+    monkeypatch.setattr(gated_lm, "gradients", lambda *a: calls.append(own(*a)[0]) or own(*a))
+    after = gated_lm.train(docs, counts, 2, 8, 3)
+    assert len(calls) > 2 and np.isfinite(calls).all()
+    assert all(w.flags.c_contiguous for w in after.weights.values())
