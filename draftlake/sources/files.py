@@ -20,6 +20,8 @@ from draftlake.functions import ingest
 from draftlake.operators import archive
 
 CHUNK_PIXELS = 1 << 20
+UNPACK_ROWS = 1000
+UNPACK_BYTES = 16 << 20
 # ---------------------------------------------------------------- fixed values
 LUMA_BGR = (0.114, 0.587, 0.299)
 UNPACKED = {"zip", "tar", "tar.gz", "tar.bz2", "tar.xz"}
@@ -117,7 +119,18 @@ def _members(fmt: str, body: bytes) -> Iterator[tuple[str, str, int, object]]:
 
 
 def _unpack(batches: Iterator[pd.DataFrame], max_files: int, max_bytes: int) -> Iterator[pd.DataFrame]:
-    """One row per entry, or one row with an error for an archive that cannot be read."""
+    """One row per entry, or one row with an error for an archive that cannot be read.
+
+    Rows leave in frames of at most UNPACK_ROWS rows, and UNPACK_BYTES or one entry more.
+    """
+    rows, load = [], 0
+
+    def closed() -> pd.DataFrame:
+        nonlocal rows, load
+        out = pd.DataFrame(rows, columns=["archive_id", "file_id", "ord", "name", "type", "size", "depth", "content", "error"])
+        rows, load = [], 0
+        return out
+
     for pdf in batches:
         for row in pdf.itertuples(index=False):
             count = total = 0
@@ -127,17 +140,16 @@ def _unpack(batches: Iterator[pd.DataFrame], max_files: int, max_bytes: int) ->
                     # Content stays out once a limit is passed; the audit then names the violation.
                     body = reader().read(size) if reader and count <= max_files and total <= max_bytes else None
                     child = hashlib.md5(f"{row.file_id}/{count}/{name}".encode()).hexdigest()
-                    yield pd.DataFrame(
-                        [(row.file_id, child, count, name, kind, size, row.depth, body, None)],
-                        columns=["archive_id", "file_id", "ord", "name", "type", "size", "depth", "content", "error"],
-                    )
+                    rows.append((row.file_id, child, count, name, kind, size, row.depth, body, None))
+                    load += len(body or b"")
+                    if len(rows) >= UNPACK_ROWS or load >= UNPACK_BYTES:
+                        yield closed()
                     if count > max_files or total > max_bytes:
                         break
             except (OSError, ValueError, EOFError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError) as exc:
-                yield pd.DataFrame(
-                    [(row.file_id, None, 0, None, "archive", 0, row.depth, None, f"{type(exc).__name__}: {exc}")],
-                    columns=["archive_id", "file_id", "ord", "name", "type", "size", "depth", "content", "error"],
-                )
+                rows.append((row.file_id, None, 0, None, "archive", 0, row.depth, None, f"{type(exc).__name__}: {exc}"))
+    if rows:
+        yield closed()
 
 
 def expand_archives(

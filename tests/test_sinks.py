@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from pathlib import Path
 
+import pandas as pd
 import pyspark.sql.functions as F
 
-from draftlake.sources import tables
+from draftlake.sources import files, tables
 
 PRIMITIVES = (
     "page_id string, id string, type string, layer string, confidence double, x1 double, y1 double, x2 double, y2 double, radius double, "
@@ -64,3 +67,23 @@ def test_entities_are_made_once(spark, tmp_path):
     assert sorted(text) == [r[1] for r in rows if r[2] in ("LINE", "CIRCLE", "ARC", "TEXT")]
     assert text["e000"].split("\n")[:6] == ["0", "LINE", "8", "L", "10", "1.000000"]
     assert spark.read.parquet(f"{tmp_path}/table").count() == 60
+
+
+def packed(names):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as box:
+        for name in names:
+            box.writestr(name, name.encode())
+    return buffer.getvalue()
+
+
+def test_entries_leave_in_bounded_frames(monkeypatch):
+    boxes = pd.DataFrame({"file_id": [f"a{k}" for k in range(50)], "archive_format": "zip", "depth": 1, "content": [packed(["x.txt", "y.txt", "z.txt"])] * 49 + [b"broken"]})
+    whole = list(files._unpack(iter([boxes[:25], boxes[25:]]), 10, 1000))
+    assert len(whole) == 1 and len(whole[0]) == 49 * 3 + 1
+    monkeypatch.setattr(files, "UNPACK_ROWS", 40)
+    cut = list(files._unpack(iter([boxes]), 10, 1000))
+    assert max(map(len, cut)) == 40
+    pd.testing.assert_frame_equal(pd.concat(cut, ignore_index=True), whole[0])
+    assert whole[0]["error"].notna().tolist() == [False] * 147 + [True]
+    assert list(whole[0]["ord"][:3]) == [1, 2, 3] and whole[0]["content"][1] == b"y.txt"
