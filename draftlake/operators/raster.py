@@ -39,6 +39,7 @@ REFERENCE_LAYER = "99_RASTER_REFERENCE"
 
 PIXEL = ["page_id", "x", "y"]
 GRAY_TILE = 256
+SKEW_BLOCK = 16  # angles
 
 
 # ----------------------------------------------------------------- gray values
@@ -185,7 +186,8 @@ def skew_profile(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_D
     """Row-sum statistics of every page at every trial angle, at full resolution.
 
     A task turns its batches of pixels by all angles at once and counts them per row of the
-    page, so what travels is rows of the page per task, not pixels.
+    page.  The counts of a batch travel as arrays, for SKEW_BLOCK angles together, and are added
+    up page by page as they arrive, so a task holds the row sums of one page and block.
     """
     count = int(round(2 * max_angle / step)) + 1
     # Pixels of a tile come together, so a batch holds few pages and a page spreads over many tasks.
@@ -196,30 +198,84 @@ def skew_profile(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_D
 
     def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         angles = np.radians(-max_angle + np.arange(count) * step)
-        cos, sin = np.cos(angles)[:, None], np.sin(angles)[:, None]
         for pdf in batches:
             for (page, width, height), own in pdf.groupby(["page_id", "width", "height"], sort=False):
-                cx, cy = width / 2.0, height / 2.0
+                cx, cy, tall = width / 2.0, height / 2.0, int(height)
                 dx, dy = own["x"].to_numpy(np.float64)[None, :] - cx, own["y"].to_numpy(np.float64)[None, :] - cy
-                rx, ry = np.floor(cos * dx + sin * dy + cx + 0.5), np.floor(cos * dy - sin * dx + cy + 0.5)
-                seen = (rx >= 0) & (rx < width) & (ry >= 0) & (ry < height)
-                tall = int(height)
-                cell = (np.arange(count)[:, None] * tall + ry.astype(np.int64))[seen]
-                if len(cell) * 8 > count * tall:
-                    c = np.bincount(cell, minlength=count * tall)
-                    cell = np.flatnonzero(c)
-                    c = c[cell]
-                else:  # few pixels of a tall page
-                    cell, c = np.unique(cell, return_counts=True)
-                yield pd.DataFrame({"page_id": page, "i": cell // tall, "height": tall, "ry": cell % tall, "c": c})
-
-    part = placed.mapInPandas(turned, "page_id string, i int, height int, ry long, c long")
-    rows = part.groupBy("page_id", "i", "height", "ry").agg(F.sum("c").alias("c"))
-    sums = rows.groupBy("page_id", "i", "height").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
+                rows = []
+                for block in range(0, count, SKEW_BLOCK):
+                    cos, sin = (f(angles[block : block + SKEW_BLOCK])[:, None] for f in (np.cos, np.sin))
+                    rx, ry = np.floor(cos * dx + sin * dy + cx + 0.5), np.floor(cos * dy - sin * dx + cy + 0.5)
+                    seen = (rx >= 0) & (rx < width) & (ry >= 0) & (ry < height)
+                    cell, c = _counted((np.arange(len(cos))[:, None] * tall + ry.astype(np.int64))[seen], None, len(cos) * tall)
+                    if len(cell):
+                        rows.append((page, block, tall, cell.astype("<i8").tobytes(), c.astype("<i8").tobytes()))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["page_id", "block", "height", "cell", "c"])
+
+    part = placed.mapInPandas(turned, "page_id string, block int, height int, cell binary, c binary")
+    key = ["page_id", "block", "height"]
+    part = part.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, load, out = None, [], 0, []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            cell, c = (np.concatenate(v) for v in zip(*held, strict=True))
+            return _counted(cell, c, SKEW_BLOCK * name[2])
+
+        def close() -> None:
+            cell, c = merged()
+            sums, squares = np.zeros(SKEW_BLOCK, np.int64), np.zeros(SKEW_BLOCK, np.int64)
+            np.add.at(sums, cell // name[2], c)
+            np.add.at(squares, cell // name[2], c * c)
+            # A row of the result is an angle with pixels on the page.
+            out.extend((name[0], name[1] + i, name[2], int(sums[i]), int(squares[i])) for i in np.flatnonzero(sums))
+
+        def given() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["page_id", "i", "height", "s", "ss"])
+
+        for pdf in batches:
+            for page, block, tall, cell, c in pdf.itertuples(index=False):
+                if (page, block, tall) != name:
+                    if held:
+                        close()
+                    name, held, load = (page, block, tall), [], 0
+                held.append((np.frombuffer(cell, "<i8"), np.frombuffer(c, "<i8")))
+                load += len(held[-1][0])
+                if load > 1 << 20 and len(held) > 1:
+                    held = [merged()]
+                    load = 0
+            if len(out) >= 4096:
+                yield given()
+                out = []
+        if held:
+            close()
+        if out:
+            yield given()
+
+    sums = part.mapInPandas(summed, "page_id string, i int, height int, s long, ss long")
     # Integer form of the variance over all rows, empty ones included.
     return sums.select("page_id", "i", (F.col("ss") * F.col("height") - F.col("s") * F.col("s")).alias("score"))
 
 
+def _counted(cell: np.ndarray, c: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order and how often they occur, or the sums of ``c`` there."""
+    if len(cell) * 8 > size:
+        whole = np.zeros(size, np.int64)
+        if c is None:
+            whole = np.bincount(cell, minlength=size)
+        else:
+            np.add.at(whole, cell, c)
+        found = np.flatnonzero(whole)
+        return found, whole[found]
+    # Few pixels of a tall page.
+    found, at = np.unique(cell, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, at, 1 if c is None else c)
+    return found, sums
+
+
 def estimate_skew(ink: DataFrame, sizes: DataFrame, max_angle: float = SKEW_MAX_DEG, step: float = SKEW_STEP_DEG) -> DataFrame:
     """Angle whose rotation gives the most uneven row sums; the first of equals."""
     best = skew_profile(ink, sizes, max_angle, step).groupBy("page_id").agg(
