@@ -5,7 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from draftlake.operators import raster
+from draftlake.operators import grouped, raster
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_groups_are_whole_over_batches(spark, monkeypatch, batch):
+    monkeypatch.setattr(grouped, "FLUSH_ROWS", 20)
+    rng = np.random.default_rng(batch)
+    rows = [(None if k % 9 == 0 else f"p{k % 4}", None if k % 11 == 0 else int(rng.integers(0, 3)), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id string, cell int, v int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        seen = lambda own: {"page_id": own["page_id"][0], "n": np.array([len(own["v"])]), "v": np.array([own["v"].sum()])} if own["cell"][0] != 2 else {}
+        got = sorted(map(str, grouped.grouped(df, ["page_id", "cell"], seen, "page_id string, n long, v long").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for page, cell, v in rows:
+        want.setdefault((page, cell), []).append(v)
+    assert got == sorted(f"Row(page_id={page!r}, n={len(v)}, v={sum(v)})" for (page, cell), v in want.items() if cell != 2)
 
 
 @pytest.mark.parametrize("batch", [5, 10_000])
