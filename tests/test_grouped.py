@@ -50,3 +50,23 @@ def test_skew_sums_travel_as_arrays(spark, batch):
             if len(c):
                 want[page, i] = int((c * c).sum() * h - c.sum() ** 2)
     assert got == want
+
+
+def test_neighbours_are_counted_in_tiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [("p", int(x), int(y)) for x, y in rng.integers(245, 262, (150, 2))] + [("q", 255, 255), ("q", 256, 256), ("q", 256, 256), (None, 0, 0), (None, 1, 0), ("p", None, 3), ("p", None, 3), ("p", None, None)]
+    ink = spark.createDataFrame(rows, "page_id string, x int, y int")
+    frame = raster.neighbours(ink)
+    # No pixel is multiplied by its neighbours on the way.
+    assert "HashAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, frame.collect()))
+    votes, owns = {}, {}
+    for page, x, y in rows:
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                key = (page, None if x is None else x + dx, None if y is None else y + dy)
+                votes[key] = votes.get(key, 0) + 1
+                owns[key] = owns.get(key, 0) + (dx == dy == 0)
+    want = [(*k, votes[k] - n) for k, n in owns.items() if n]
+    role = lambda n: "end" if n == 1 else "junction" if n >= 3 else None
+    assert got == sorted(f"Row(page_id={p!r}, x={x}, y={y}, neighbours={n}, role={role(n)!r})" for p, x, y, n in want)
