@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from draftlake.operators import grouped, raster
+from draftlake.operators import grouped, raster, vector
 
 
 @pytest.mark.parametrize("batch", [1, 7, 10_000])
@@ -70,3 +70,24 @@ def test_neighbours_are_counted_in_tiles(spark):
     want = [(*k, votes[k] - n) for k, n in owns.items() if n]
     role = lambda n: "end" if n == 1 else "junction" if n >= 3 else None
     assert got == sorted(f"Row(page_id={p!r}, x={x}, y={y}, neighbours={n}, role={role(n)!r})" for p, x, y, n in want)
+
+
+def test_chains_are_cut_alike_in_a_task_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for chain in range(40):
+        n = int(rng.integers(1, 60))
+        x, y = np.round(np.cumsum(rng.normal(0, 2, (2, n)), axis=1), 1)
+        if chain % 3 == 0:
+            x[-1], y[-1] = x[0], y[0]
+        ords = rng.integers(0, n, n) if chain % 5 == 0 else np.arange(n)
+        rows += [("p" if chain % 7 else None, chain, int(o), float(a), float(b)) for o, a, b in zip(ords, x, y, strict=True)]
+    rows += [("q", 1, None, 1.0, 2.0), ("q", 1, 1, None, 2.0), ("q", 1, 2, 5.0, 2.0), ("q", 1, 3, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "page_id string, chain_id long, ord long, x double, y double")
+    shown = lambda got: sorted(str((*r[:8], round(r[8], 9), r[9])) for r in got.collect())
+    seen, own = [], vector._split_in_rounds
+    monkeypatch.setattr(vector, "_split_in_rounds", lambda points, *more: seen.append(points.count()) or own(points, *more))
+    soon = shown(vector.split_polylines(df))
+    assert seen == [4]  # no chain but the one with missing numbers takes rounds
+    monkeypatch.setattr(vector, "CHAIN_POINTS", 0)
+    assert shown(vector.split_polylines(df)) == soon and len(soon) > 200
