@@ -337,7 +337,8 @@ def t4_stream(src: Source) -> DataFrame:
 def _late_log(src: Source) -> tuple[DataFrame, str]:
     """The event log as a stream in time order; events on their last attempt arrive behind the watermark.
 
-    Files are written one after the other and read one at a time.  After those of the log
+    Files are written one after the other, each by one task behind an exchange, so the log is read
+    and filtered by many, and read one at a time.  After those of the log
     come two closing events, far ahead in time, and then the late ones: a row is late if it is
     behind the watermark of the micro-batch before.
     """
@@ -349,11 +350,11 @@ def _late_log(src: Source) -> tuple[DataFrame, str]:
     for k in range(_PARTS):
         start, stop = F.lit(days[0] + k * step), F.lit(days[0] + (k + 1) * step)
         own = (F.col("created_at") >= start) & ((F.col("created_at") < stop) if k < _PARTS - 1 else F.lit(True))
-        log.where(own & ~late).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        log.where(own & ~late).repartition(1).write.mode("append").parquet(f"{path}/in")
     for ahead in (2, 3):
         fixed = {"event_id": F.lit(_CLOSING), "page_id": F.lit(_CLOSING), "event_type": F.lit("page.qa.done"), "created_at": F.lit(days[1] + timedelta(days=ahead))}
         log.where(~late).limit(1).select(*[fixed.get(c, F.col(c)).alias(c) for c in log.columns]).write.mode("append").parquet(f"{path}/in")
-    log.where(late).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    log.where(late).repartition(1).write.mode("append").parquet(f"{path}/in")
     return runs.read_table_stream(src.spark, f"{path}/in", log.schema, 1), path
 
 

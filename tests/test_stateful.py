@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,81 @@ def test_one_page_with_most_events(spark):
 
 def test_no_events(spark):
     assert stateful.page_moves(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+class State:
+    """List or value state that counts how often it is asked."""
+
+    calls = 0
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        State.calls += 1
+        return iter(self.rows) if self.listed else (self.rows[0] if self.rows else None)
+
+    def put(self, rows):
+        State.calls += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        State.calls += 1
+        self.rows = [*self.rows, *rows]
+
+    def update(self, row):
+        self.put([row])
+
+    def clear(self):
+        self.put([])
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema):
+        return self._state(True)
+
+    def getValueState(self, name, schema):
+        return self._state(False)
+
+    def _state(self, listed):
+        found = State()
+        found.listed = listed
+        return found
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Moment:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("processor", [stateful.Moves, lambda: stateful.FirstCompletion(5_000_000)])
+def test_state_is_not_asked_page_by_page(processor):
+    own, handle, pages = processor(), Handle(), 500
+    own.init(handle)
+    rows = pd.DataFrame([(f"p{k}", "ocr", (k + j) * 1000, j % 2, f"e{k}-{j}", f"s{j}") for k in range(pages) for j in range(4)], columns=["page_id", "stage", "micros", "kind", "event_id", "mark"])
+    State.calls, out = 0, []
+    for part in (rows.iloc[::2], rows.iloc[1::2]):
+        out += own.handleInputRows((0,), iter([part]), Moment(0))
+    for at in (200, 20_000):  # in milliseconds
+        handle.timers = {t for t in handle.timers if t > at}
+        out += own.handleExpiredTimer((0,), Moment(at), None)
+    got = pd.concat(out)
+    assert State.calls < 40 and handle.timers == set()
+    if isinstance(own, stateful.Moves):
+        assert len(got) == 4 * pages
+        assert {(r.page_id, r.from_status) for r in got.itertuples() if r.to_status == "s0"} == {(f"p{k}", None) for k in range(pages)}
+        assert all(r.from_status == f"s{int(r.to_status[1]) - 1}" for r in got.itertuples() if r.to_status != "s0")
+    else:
+        assert len(got) == 2 * pages and (got["done"] - got["asked"] == 1000).all()
