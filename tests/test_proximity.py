@@ -65,3 +65,31 @@ def test_cells_are_bounded(spark):
 
 def test_no_points(spark):
     assert run(spark, []) == {}
+
+
+def test_calm_places_meet_without_a_join(spark):
+    points = [("p", float(x), float(y)) for x in range(-300, 300, 3) for y in (-129, -128, -125, 0, 2)]
+    got = proximity.near_spots(spark.createDataFrame(points, "page_id string, x double, y double"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page_id, r.x, r.y): (r.n, r.neighbours, r.near_x, r.near_y) for r in got.collect()} == {k: v[:4] for k, v in slow(points, 4.0).items()}
+
+
+def test_blocks_cut_by_batches(spark):
+    rng = np.random.default_rng(3)
+    points = [(f"p{k % 3}", *map(float, xy)) for k, xy in enumerate(rng.uniform(-140, 140, (900, 2)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got, want = run(spark, points), slow(points, 4.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+
+
+def test_candidates_are_measured_in_bounded_numbers(monkeypatch):
+    xy = np.random.default_rng(4).uniform(0, 60, (400, 2))
+    zero, side = np.zeros(400, np.int64), proximity.SQUARE * 4.0
+    block = {"page_id": np.array(["p"] * 400, object), "hx": zero, "hy": zero, "x": xy[:, 0], "y": xy[:, 1], "n": zero + 1, "mine": zero == 0}
+    block |= {"fx": np.floor(xy[:, 0] / side).astype(np.int64), "fy": np.floor(xy[:, 1] / side).astype(np.int64)}
+    whole = proximity._met(block, 4.0)
+    monkeypatch.setattr(proximity, "MEETINGS", 50)
+    assert proximity._met(block, 4.0).equals(whole) and whole["neighbours"].sum() > 400
