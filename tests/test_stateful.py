@@ -102,6 +102,15 @@ def test_no_events(spark):
     assert stateful.page_moves(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_events_without_time_are_left_out(spark, tmp_path):
+    rows = log(3, 60)
+    timeless = [("none", kind, "b", "p0", 1, None, "{}") for kind in ("page.failed", "page.ocr.requested")]
+    moves = stateful.page_moves_stream(stream(spark, rows, f"{tmp_path}/a", 1, timeless), "10 minutes")
+    with stateful.rocks_state(spark):
+        got = [tuple(r) for r in runs.drain(moves, f"{tmp_path}/a/out", f"{tmp_path}/a/ckpt").collect()]
+    assert {r for r in got if r[0] != "close"} == slow_moves(rows)
+
+
 class State:
     """List or value state that counts how often it is asked."""
 
