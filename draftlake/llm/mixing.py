@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import WORD, Scratch, by_batch, partitions
+from draftlake.llm.common import Scratch, by_batch, utf8, word_count
 from draftlake.operators.ordered import running
 
 # ---------------------------------------------------------------- fixed values
@@ -39,9 +39,14 @@ UNIT = "source string, leaf long, rank long, key string, doc_id long, size long,
 
 def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", key: str | None = None) -> DataFrame:
     """(key, doc_id, source, size): size counts the words of the whole text, null has none."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {n: b[n] for n in ("key", "doc_id", "source")} | {"size": [word_count(t) for t in b["text"]]}
+
     own = (F.lit(None) if key is None else F.col(key)).cast("string").alias("key")
-    return docs.select(own, F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"))
+    rows = docs.select(own, F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), utf8(text).alias("text"))
+    return by_batch(rows, run, "key string, doc_id long, source string, size long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -169,10 +174,11 @@ def mix(
         base.cast("long").alias("base"),
         part.cast("double").alias("part"),
     ).withColumn("leaf", F.floor(F.col("leaf") * F.lit(leaves) / F.lit(1 << 32)).cast("long"))
-    spark, level, settled = docs.sparkSession, 0, []
+    level, settled = 0, []
     open_part = (F.col("part") > 1e-12) & (F.col("part") < 1 - 1e-12)
     while True:
-        dealt = units.repartition(partitions(spark), "source", "leaf").sortWithinPartitions("source", "leaf", "rank", "doc_id", "size")
+        # Without a number, so that the few rows of the upper levels come to few tasks and files.
+        dealt = units.repartition("source", "leaf").sortWithinPartitions("source", "leaf", "rank", "doc_id", "size")
         done = scratch.keep(f"level-{level}", by_batch(dealt, _round_groups, UNIT))
         if leaves == 1:
             break

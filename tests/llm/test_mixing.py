@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from draftlake.llm import mixing
+from draftlake.llm import common, mixing
 
 SCHEMA = "doc_id long, text string, source string, target double"
 
@@ -84,3 +84,34 @@ def test_edges(spark):
     same = [(1, "a b c", "s", 0.0)] * 40
     got = mixing.mix(spark.createDataFrame(same, SCHEMA), leaf_rows=5, fan=2).collect()
     assert sum(r.taken for r in got) == 180
+
+
+def test_few_rows_are_written_by_few_tasks(spark, monkeypatch):
+    """Each file written starts processes beside the JVM, so a level's files go with its rows, not with the exchange's partitions."""
+    files, keep = {}, mixing.Scratch.keep
+
+    def counted(self, name, df):
+        out = keep(self, name, df)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(mixing.Scratch, "keep", counted)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = mixing.mix(spark.createDataFrame(rows_of(3, 900, ["a", "b", None]), SCHEMA), leaf_rows=20, fan=4).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    levels = {name: n for name, n in files.items() if name.startswith("level-")}
+    assert got == 900 and len(levels) > 2 and max(levels.values()) <= 4
+
+
+def test_words_are_counted_without_lists_of_them(spark, monkeypatch):
+    monkeypatch.setattr(common, "SCAN", 7)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("a\u00e9\u4e2d\u00a0\u2003\x1c\x85 \t\n\v\f\r") for _ in range(rng.randrange(60))) for _ in range(300)] + ["", " ", "x" * 50, None]
+    want = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert [common.word_count(None if t is None else t.encode()) for t in texts] == want
+    sized = mixing.sizes(spark.createDataFrame([(k, t, "s", 0.0) for k, t in enumerate(texts)], SCHEMA))
+    assert [r.size for r in sized.orderBy("doc_id").collect()] == want
+    assert "regexp" not in sized._jdf.queryExecution().optimizedPlan().toString()
