@@ -26,6 +26,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -118,7 +119,7 @@ def states(m: Model, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep:
     steps, wide = inputs.shape
     out = np.empty((steps, units, wide), h.dtype)
     # All steps' columns at once; a row of the transposed table is one piece of memory.
-    asked = np.ascontiguousarray(w["x"].T[inputs].transpose(0, 2, 1))
+    asked = np.ascontiguousarray(w["x"].T.take(inputs, axis=0).transpose(0, 2, 1))
     before, inner = (np.empty_like(out) for _ in range(2))
     begins = first.any(axis=1)
     for t in range(steps):
@@ -144,52 +145,62 @@ def states(m: Model, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, keep:
 
 
 class Stepper:
-    """``states`` for scoring: the same arithmetic in buffers that are used again."""
+    """``states`` for scoring: the same up to rounding, in buffers that are used again."""
 
     def __init__(self, m: Model, wide: int, steps: int) -> None:
         units = self.units = m.weights["u"].shape[1]
-        # Gates are 1/2 + tanh(x/2)/2: halve their rows once, here; r * inner = inner/2 + tanh * inner/2.
-        scale = np.r_[np.full(2 * units, 0.5), np.ones(units)].astype(np.float32)[:, None]
-        self.x = np.ascontiguousarray(m.weights["x"] * scale)
-        self.u, self.b = np.ascontiguousarray(m.weights["u"] * np.float32(0.5)), m.weights["b"] * np.float32(0.5)
-        self.a, self.g = (np.empty(3 * units * wide, np.float32) for _ in range(2))
+        # Gates are 1 / (1 + exp(-x)) and tanh(x) is 1 - 2 / (1 + exp(2x)): their rows are scaled once, here.
+        scale = np.r_[np.full(2 * units, -1), np.full(units, 2)].astype(np.float32)[:, None]
+        self.x = np.ascontiguousarray((m.weights["x"] * scale).T)  # a token's row is one piece of memory
+        self.u, self.b = np.ascontiguousarray(m.weights["u"] * scale), m.weights["b"] * np.float32(2)
+        self.a, self.g, self.rows = (np.empty(3 * units * wide, np.float32) for _ in range(3))
         self.t, self.out = np.empty(units * wide, np.float32), np.empty(steps * units * wide, np.float32)
 
+    @np.errstate(over="ignore")  # infinite powers give gates of 0 and states of 1
     def run(self, inputs: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
         units, (steps, wide) = self.units, inputs.shape
         a, g = (v[: 3 * units * wide].reshape(3 * units, wide) for v in (self.a, self.g))
+        rows = self.rows[: 3 * units * wide].reshape(wide, 3 * units)
         tmp, out = self.t[: units * wide].reshape(units, wide), self.out[: steps * units * wide].reshape(steps, units, wide)
         r, z, n, rz, inner = a[:units], a[units : 2 * units], a[2 * units :], a[: 2 * units], g[2 * units :]
         begins = first.any(axis=1)
         for t in range(steps):
             if begins[t]:
                 h = h * ~first[t]
-            np.take(self.x, inputs[t], axis=1, out=a, mode="clip")
+            np.take(self.x, inputs[t], axis=0, out=rows, mode="clip")
+            a[:] = rows.T
             np.matmul(self.u, h, out=g)
             rz += g[: 2 * units]
-            np.tanh(rz, out=rz)
+            np.exp(rz, out=rz)
+            rz += 1
+            np.divide(1, rz, out=rz)
             inner += self.b
-            n += inner
             inner *= r
             n += inner
-            np.tanh(n, out=n)
-            # h = n + (1 + tanh)/2 * (h - n)
+            np.exp(n, out=n)
+            n += 1
+            np.divide(-2, n, out=n)
+            n += 1
+            # h = n + z * (h - n)
             np.subtract(h, n, out=tmp)
-            z += 1
-            z *= 0.5
             tmp *= z
             h = np.add(n, tmp, out=out[t])
         return out
 
 
-def log_likelihood(m: Model, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def is_far(m: Model, far: float = 80.0) -> bool:
+    """Whether a score may leave the range in which exponentials are taken as they are."""
+    return max(float(np.abs(m.weights[k]).sum(axis=0).max() + np.abs(m.weights[b]).max()) for k, b in (("c", "cb"), ("w", "wb"))) > far
+
+
+def log_likelihood(m: Model, hidden: np.ndarray, targets: np.ndarray, shift: bool | None = None) -> np.ndarray:
     """Natural log of the probability of targets (T, A) from states (T, H, A): the class, then the word in it.
 
     States lie between -1 and 1, so scores are bounded by the weights; those are shifted
     only if exponentials could leave the range of floats.
     """
-    w, classes, far = m.weights, m.owner[targets], 80.0
-    shift = max(float(np.abs(w[k]).sum(axis=0).max() + np.abs(w[b]).max()) for k, b in (("c", "cb"), ("w", "wb"))) > far
+    w, classes = m.weights, m.owner[targets]
+    shift = is_far(m) if shift is None else shift
     scores = np.matmul(w["c"].T, hidden)
     scores += w["cb"][:, None]
     out = np.take_along_axis(scores, classes[:, None, :], axis=1)[:, 0]
@@ -216,15 +227,15 @@ def log_likelihood(m: Model, hidden: np.ndarray, targets: np.ndarray) -> np.ndar
 
 
 def _softmax(scores: np.ndarray, at: np.ndarray, share: float) -> tuple[float, np.ndarray]:
-    """Sum of the log probabilities of ``at``, and the gradient of minus ``share`` times it, in ``scores``."""
-    rows = np.arange(len(at))
-    scores -= scores.max(axis=1, keepdims=True)
-    found = scores[rows, at]
+    """Sum of the log probabilities of places ``at`` of the flat ``scores``, one a row, and the gradient of minus ``share`` times it, in ``scores``."""
+    flat = scores.reshape(-1)
+    scores -= np.maximum.reduce(scores, axis=1, keepdims=True)
+    found = flat.take(at)
     np.exp(scores, out=scores)
     sums = scores @ np.ones(scores.shape[1], scores.dtype)
     scores *= (share / sums)[:, None]
-    scores[rows, at] -= share
-    return float((found - np.log(sums)).sum()), scores
+    flat[at] -= share
+    return float(np.add.reduce(found - np.log(sums))), scores
 
 
 def gradients(
@@ -243,24 +254,28 @@ def gradients(
     by_class = np.argsort(classes.astype(np.int16), kind="stable")
     on, classes = on[by_class], classes[by_class]
     word, share = m.rank[targets.ravel()[on]], hidden.dtype.type(1 / max(len(on), 1))
-    s = hidden.transpose(0, 2, 1).reshape(-1, units)[on]
+    s = hidden.transpose(0, 2, 1).reshape(-1, units).take(on, axis=0)
     p = s @ w["c"]
     p += w["cb"]
-    total, p = _softmax(p, classes, share)
+    total, p = _softmax(p, np.arange(len(on)) * p.shape[1] + classes, share)
     grad["c"][:], grad["cb"][:] = s.T @ p, p.sum(axis=0)
     ds = p @ w["c"].T
     bounds = np.searchsorted(classes, np.arange(len(m.starts)))
-    for k in np.flatnonzero(np.diff(bounds)):
-        low, high = m.starts[k], m.starts[k + 1]
+    # Where a position's word lies in the flat scores of its class.
+    at = (np.arange(len(on)) - bounds[classes]) * np.diff(m.starts)[classes] + word - m.starts[classes]
+    starts, ends = m.starts.tolist(), bounds.tolist()
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        low, high = starts[k], starts[k + 1]
         if high - low > 1:
-            own = slice(bounds[k], bounds[k + 1])
-            q = s[own] @ w["w"][:, low:high]
+            own = slice(ends[k], ends[k + 1])
+            here, columns = s[own], w["w"][:, low:high]
+            q = here @ columns
             q += w["wb"][low:high]
-            more, q = _softmax(q, word[own] - low, share)
+            more, q = _softmax(q, at[own], share)
             total += more
-            np.matmul(s[own].T, q, out=grad["w"][:, low:high])
-            np.sum(q, axis=0, out=grad["wb"][low:high])
-            ds[own] += q @ w["w"][:, low:high].T
+            np.matmul(here.T, q, out=grad["w"][:, low:high])
+            np.add.reduce(q, axis=0, out=grad["wb"][low:high])
+            ds[own] += q @ columns.T
     back = np.zeros((inputs.size, units), hidden.dtype)
     back[on] = ds
     back = np.ascontiguousarray(back.reshape(*inputs.shape, units).transpose(0, 2, 1))
@@ -288,7 +303,7 @@ def gradients(
     order = np.argsort(inputs.ravel(), kind="stable")
     tokens = inputs.ravel()[order]
     runs = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    grad["x"].T[tokens[runs]] = np.add.reduceat(gates.transpose(0, 2, 1).reshape(-1, 3 * units)[order], runs)
+    grad["x"].T[tokens[runs]] = np.add.reduceat(gates.transpose(0, 2, 1).reshape(-1, 3 * units).take(order, axis=0), runs)
     return -total / max(len(on), 1), grad, hidden[-1]
 
 
@@ -325,13 +340,19 @@ class Lanes:
         first[at] = True
         return Lanes(np.cumsum(sizes) - sizes, sizes, stream, ahead, first, np.array(order, np.int64), at)
 
-    def windows(self, steps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(lanes still running, places (T, A) in the stream, which of them are real)."""
-        for t in range(0, int(self.sizes[0]), steps):
+    def windows(self, steps: int, stretch: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(lanes still running, places (T, A) in the stream, which of them are real).
+
+        With ``stretch`` few lanes take longer windows, up to the next lane's end, of no more places than all lanes' window.
+        """
+        t = 0
+        while t < self.sizes[0]:
             running = int(np.searchsorted(-self.sizes, -t, "left"))
-            step = np.arange(t, min(t + steps, int(self.sizes[0])))[:, None]
+            long = min(steps * len(self.sizes) // running, int(self.sizes[running - 1]) - t) if stretch else 0
+            step = np.arange(t, min(t + max(steps, long), int(self.sizes[0])))[:, None]
             live = step < self.sizes[:running]
             yield running, self.starts[:running] + np.where(live, step, 0), live
+            t += len(step)
 
 
 def train(
@@ -377,7 +398,7 @@ def _views(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
     return out
 
 
-def _adam(weights: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, rate: float, block: int = 1 << 14) -> None:
+def _adam(weights: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: int, rate: float, block: int = 1 << 15) -> None:
     """One step, by blocks that stay in the processor's cache."""
     norm = float(np.sqrt(np.dot(slope, slope)))
     cut, held = min(1.0, 1.0 / max(norm, 1e-9)), np.empty(block, weights.dtype)
@@ -405,11 +426,11 @@ def document_scores(m: Model, docs: list[np.ndarray], wide: int = WIDE, steps: i
         return np.zeros(0)
     laid, units = Lanes.of(docs, wide), m.weights["u"].shape[1]
     found, h = np.zeros(len(laid.stream)), np.zeros((units, len(laid.sizes)), np.float32)
-    stepper = Stepper(m, len(laid.sizes), steps)
-    for running, at, live in laid.windows(steps):
+    stepper, shift = Stepper(m, len(laid.sizes), steps), is_far(m)
+    for running, at, live in laid.windows(steps, stretch=True):
         hidden = stepper.run(laid.ahead[at], laid.first[at], np.ascontiguousarray(h[:, :running]))
         h = hidden[-1].copy()
-        found[at[live]] = log_likelihood(m, hidden, laid.stream[at])[live]
+        found[at[live]] = log_likelihood(m, hidden, laid.stream[at], shift)[live]
     out = np.zeros(len(docs))
     out[laid.docs] = np.add.reduceat(found, laid.at)
     return out
@@ -508,12 +529,12 @@ def lessons(docs: DataFrame, k: Known, slices: int, id: str = "doc_id", text: st
     words = k.words[: k.model]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        number = {w: n for n, w in enumerate(words)}
+        number = dict(zip(words, k.token(np.arange(len(words))).tolist(), strict=True))
         for b in batches:
             out = []
             for h, t in zip(b["hash"].tolist(), b["text"], strict=True):
-                n = np.array([*(number.get(w, -1) for part in words_of(t) for w in part), 0], np.int64)
-                ids = k.token(n).astype("<i4")
+                parts = [np.fromiter(map(number.get, part, repeat(1)), "<i4", len(part)) for part in words_of(t)]
+                ids = np.concatenate([*parts, np.zeros(1, "<i4")])
                 out += [(h, p, ids[at : at + PIECE_TOKENS].tobytes()) for p, at in enumerate(range(0, len(ids), PIECE_TOKENS))]
             yield dict(zip(("hash", "piece", "ids"), map(list, zip(*out, strict=True)), strict=True))
 
@@ -610,6 +631,7 @@ def _scored(docs: DataFrame, k: Known, m: Model) -> DataFrame:
         base, share = words.logs()
         # Number -1 (a word that is joined later) reads the last entry.
         base, share = np.r_[base, 0.0], np.r_[share, 0.0]
+        token = np.r_[words.token(np.arange(len(words.words))), 1].astype(np.int32)
         key = TaskContext.get().partitionId() << 40
         held: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
         docs, load = [], 0
@@ -623,7 +645,7 @@ def _scored(docs: DataFrame, k: Known, m: Model) -> DataFrame:
             for d, t in zip(ids, b["text"], strict=True):
                 parts, rare = [], Counter()
                 for own in words_of(t):
-                    n = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
+                    n = np.fromiter(map(number.get, own, repeat(-1)), np.int64, len(own))
                     if (n < 0).any():
                         rare.update(own[i] for i in np.flatnonzero(n < 0))
                     parts.append(n)
@@ -631,7 +653,7 @@ def _scored(docs: DataFrame, k: Known, m: Model) -> DataFrame:
                 row = (key, d, len(n), int((n >= 0).sum()), float(base[n].sum()), float(share[n].sum()), list(rare), list(rare.values()))
                 for c, v in zip(held, row, strict=True):
                     held[c].append(v)
-                docs.append(words.token(n).astype(np.int32))
+                docs.append(token[n])
                 key, load = key + 1, load + len(n)
             if load >= CHUNK:
                 yield closed()

@@ -139,3 +139,19 @@ def test_training_takes_one_softmax_a_window(monkeypatch):
     after = gated_lm.train(docs, counts, 2, 8, 3)
     assert len(calls) > 2 and np.isfinite(calls).all()
     assert all(w.flags.c_contiguous for w in after.weights.values())
+
+
+def test_a_long_document_is_scored_in_few_windows(monkeypatch):
+    m, rng, own, places = small_model(), np.random.default_rng(8), gated_lm.log_likelihood, []
+    monkeypatch.setattr(gated_lm, "log_likelihood", lambda m, h, at, *a: places.append(at.size) or own(m, h, at, *a))
+    docs = [rng.integers(0, 11, n) for n in [4_000, 900, *[50] * 62]]
+    got = gated_lm.document_scores(m, docs, 64, 32)
+    assert max(places) <= 64 * 32 and len(places) < 20
+    assert got == pytest.approx([slow_score(m, d) for d in docs], rel=1e-5)
+
+
+def test_gates_far_from_zero():
+    m = small_model()
+    m.weights["x"] *= 1e4
+    docs = [np.array([1, 5, 9, 3, 0])]
+    assert gated_lm.document_scores(m, docs) == pytest.approx([slow_score(m, docs[0])], rel=1e-4)
