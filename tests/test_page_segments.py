@@ -30,7 +30,7 @@ def _rows(df):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("of,rounds", [(vec.merge_collinear, "_merge_in_rounds"), (vec.snap_endpoints, "_snap_in_rounds")])
+@pytest.mark.parametrize("of,rounds", [(vec.merge_collinear, "_merge_in_rounds"), (vec.collinear_pairs, "_collinear_in_cells"), (vec.snap_endpoints, "_snap_in_rounds")])
 def test_pages_alike_in_a_task_and_in_rounds(drawn, monkeypatch, of, rounds):
     """Before, every page went through rounds of joins over all tasks."""
     own, late = getattr(vec, rounds), []
