@@ -38,6 +38,17 @@ def test_pieces_keep_every_pixel(spark):
     assert sorted(map(repr, lone)) == ["[nan, 4.0]", "[nan, nan]"]
 
 
+def test_solid_runs_in_any_order(spark):
+    points = _noise(3, 60, 20, 0.7, 40)
+    rows = [("p", *p) for p in points + points[::3]] + [(None, 5, 5), ("p", None, 3)]
+    random.Random(4).shuffle(rows)
+    ink = spark.createDataFrame(rows, INK).repartition(3)
+    for axis, line in (("x", "y"), ("y", "x")):
+        got = {tuple(r) for r in pieces.solid_runs(ink, axis).collect()}
+        want = {tuple(r) for r in raster.runs(ink.where("x is not null").distinct(), axis).collect()}
+        assert got == want
+
+
 def test_a_painted_tile_is_one_row(spark):
     """Before, every pixel left its task as a row."""
     rows = [("p", "LINE", "L", 0.0, 5.0, 2000.0, 5.0, None, None, None), ("p", "CIRCLE", "L", 300.0, 260.0, None, None, 40.0, None, None)]
@@ -57,3 +68,21 @@ def test_angles_far_from_an_end_are_not_computed_twice(monkeypatch):
     monkeypatch.setattr(raster, "_atan2", lambda y, x: asked.append(len(y)) or own(y, x))
     assert (raster._on_arc(dy, dx, start, sweep) == want).all()
     assert sum(asked) < 400 and raster._on_arc(dy, dx, start, np.full(4000, 360.0)).all()
+
+
+def test_components_get_pieces(spark, monkeypatch):
+    """Before, pixels were exchanged twice as rows."""
+    sent, packed = [], cc.packed
+    monkeypatch.setattr(cc, "packed", lambda ink: sent.append(packed(ink)) or sent[-1])
+    assert cc.components(_strokes(spark).coalesce(1)).select("comp").distinct().count() == 1
+    assert len(sent) == 1 and sent[0].count() == 4
+
+
+def test_a_dense_table_keeps_rows_and_types(spark):
+    df = spark.range(30_000).select(
+        F.concat(F.lit("p"), F.col("id") % 3).alias("page_id"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("n"),
+        F.struct((F.col("id") / 2).alias("v"), (F.col("id") % 2 == 0).alias("even")).alias("s"), F.array("id").alias("a"),
+    )
+    back = settle_dense(df)
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
