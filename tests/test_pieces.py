@@ -70,6 +70,15 @@ def test_angles_far_from_an_end_are_not_computed_twice(monkeypatch):
     assert sum(asked) < 400 and raster._on_arc(dy, dx, start, np.full(4000, 360.0)).all()
 
 
+def test_masks_meet_as_pieces(spark):
+    """Before, both masks went into a join as rows of pixels."""
+    a = spark.createDataFrame([("p", x, y) for x, y in _noise(8, 40, 40, 0.5, 240)] * 2 + [(None, 1, 1), ("p", None, 1)], INK)
+    b = spark.createDataFrame([("p", x, y) for x, y in _noise(9, 40, 40, 0.5, 240)] + [(None, 1, 1), ("p", None, 1)], INK)
+    met = raster.mask_intersect(a, b)
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(map(tuple, met.collect())) == Counter(map(tuple, a.join(b.distinct(), ["page_id", "x", "y"], "left_semi").collect()))
+
+
 def test_components_get_pieces(spark, monkeypatch):
     """Before, pixels were exchanged twice as rows."""
     sent, packed = [], cc.packed
