@@ -49,6 +49,31 @@ def test_solid_runs_in_any_order(spark):
         assert got == want
 
 
+def test_strokes_are_thin_after_one_round_of_tiles(spark, monkeypatch):
+    """Before, a second round went over the same tiles, and every round kept rows of pixels."""
+    kept, settle = [], cc.settle
+    monkeypatch.setattr(cc, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    assert cc.thin(_strokes(spark)).count() < 1100
+    assert len(kept) == 1 and kept[0].count() <= 6
+
+
+def test_thin_and_corners_of_noise_as_on_the_whole_page(spark):
+    points = _noise(5, 300, 60, 0.75, 100, 230)
+    img = np.zeros((400, 500), bool)
+    for x, y in points:
+        img[y + 1, x + 1] = True
+    while True:
+        after = cc._thin_pass(cc._thin_pass(img, True), False)
+        if (after == img).all():
+            break
+        img = after
+    ink = spark.createDataFrame([("p", x, y) for x, y in points] + [(None, x, y) for x, y in points] + [("p", None, 1)], INK)
+    for corners, want in ((True, img), (False, cc._drop_corners(cc._drop_corners(img, True), False))):
+        got = Counter((r.page_id, r.x, r.y) for r in cc.thin(ink, corners=corners).collect())
+        ys, xs = np.nonzero(want)
+        assert got == Counter((p, x - 1, y - 1) for p in ("p", None) for x, y in zip(xs.tolist(), ys.tolist(), strict=True))
+
+
 def test_a_painted_tile_is_one_row(spark):
     """Before, every pixel left its task as a row."""
     rows = [("p", "LINE", "L", 0.0, 5.0, 2000.0, 5.0, None, None, None), ("p", "CIRCLE", "L", 300.0, 260.0, None, None, 40.0, None, None)]
