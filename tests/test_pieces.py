@@ -74,6 +74,23 @@ def test_thin_and_corners_of_noise_as_on_the_whole_page(spark):
         assert got == Counter((p, x - 1, y - 1) for p in ("p", None) for x, y in zip(xs.tolist(), ys.tolist(), strict=True))
 
 
+def test_chains_alike_by_page_and_by_tiles(spark, monkeypatch):
+    """Before, every page was put together from tiles by joins."""
+    t = pieces.TILE
+    ring = lambda cx, cy, r: {(cx + round(r * math.cos(a / 90)), cy + round(r * math.sin(a / 90))) for a in range(566)}
+    drawn = {(x, 40) for x in range(t - 40, t + 41)} | {(t, y) for y in range(10, 71)} | ring(t, t, 30) | ring(t + 90, t - 3, 20) | ring(60, 60, 12) | {(x, x) for x in range(300, 330)}
+    skeleton = cc.thin(spark.createDataFrame([("p", x, y) for x, y in drawn], INK), corners=False)
+    noise = [("q", *p) for p in _noise(6, 70, 50, 0.22, t - 30, t - 20)] + [("r", t, 5), ("r", t - 1, 4), ("r", t + 1, 6), ("r", t, 7)]
+    ink = skeleton.unionByName(spark.createDataFrame(noise, INK)).localCheckpoint()
+    own, late = chains._chains_by_tiles, []
+    monkeypatch.setattr(chains, "_chains_by_tiles", lambda *a: late.append(1) or own(*a))
+    rows = lambda df: sorted(map(tuple, df.select("page_id", "chain_id", "ord", "x", "y", "closed").collect()))
+    got = rows(chains.extract_chains(ink))
+    assert not late and len({r[:2] for r in got}) > 30 and len({r[1] for r in got if r[5] and r[0] == "p"}) == 3
+    monkeypatch.setattr(chains, "PAGE_PIXELS", 0)
+    assert got == rows(chains.extract_chains(ink)) and late
+
+
 def test_a_painted_tile_is_one_row(spark):
     """Before, every pixel left its task as a row."""
     rows = [("p", "LINE", "L", 0.0, 5.0, 2000.0, 5.0, None, None, None), ("p", "CIRCLE", "L", 300.0, 260.0, None, None, 40.0, None, None)]
