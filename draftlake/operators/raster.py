@@ -591,9 +591,10 @@ def _line_pixels(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     t1 = np.where(flat, 1.0, t.max(axis=0)).min(axis=1).clip(None, 1.0)
     first = np.maximum(np.floor(t0 * n) - 1, 0)
     last = np.where(apart | (t0 > t1), first - 1, np.minimum(np.ceil(t1 * n) + 1, n))
-    owner, k = _spelled(first.astype(np.int64), last.astype(np.int64))
-    at = start[owner] + (k / n[owner])[:, None] * step[owner]
-    return np.rint(at[:, 0]), np.rint(at[:, 1])
+    many = np.maximum(last - first + 1, 0).astype(np.int64)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first.astype(np.int64), many)
+    t = k / np.repeat(n, many)
+    return tuple(np.rint(np.repeat(start[:, c], many) + t * np.repeat(step[:, c], many)) for c in (0, 1))
 
 
 def _on_arc(dy: np.ndarray, dx: np.ndarray, start: np.ndarray, sweep: np.ndarray) -> np.ndarray:
@@ -603,12 +604,15 @@ def _on_arc(dy: np.ndarray, dx: np.ndarray, start: np.ndarray, sweep: np.ndarray
         t = np.fmod(np.degrees(angle) - start, 360.0)
         return np.where(t < 0, np.fmod(t + 360.0, 360.0), t)
 
-    t = turned(np.arctan2(dy, dx), start)
-    on = t <= sweep
-    close = (np.abs(t - sweep) < 1e-6) | (t < 1e-6) | (t > 360.0 - 1e-6) | (np.abs(start) > 1e6)
-    k = np.flatnonzero(close & (sweep < 360.0))
-    on[k] = turned(_atan2(dy[k], dx[k]), start[k]) <= sweep[k]
-    return on | (sweep >= 360.0)
+    on = np.ones(len(dy), bool)
+    arc = np.flatnonzero(sweep < 360.0)
+    dy, dx, start, sweep = dy[arc], dx[arc], start[arc], sweep[arc]
+    t = np.degrees(np.arctan2(dy, dx)) - np.fmod(start, 360.0)
+    t = t + 360.0 * (t < 0) + 360.0 * (t < -360.0) - 360.0 * (t >= 360.0)
+    on[arc] = t <= sweep
+    k = np.flatnonzero((np.abs(t - sweep) < 1e-6) | (t < 1e-6) | (t > 360.0 - 1e-6) | (np.abs(start) > 1e6))
+    on[arc[k]] = turned(_atan2(dy[k], dx[k]), start[k]) <= sweep[k]
+    return on
 
 
 def _round_pixels(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -639,9 +643,10 @@ def _painter(thickness: int):
         high = low + side - 1
         for pixels, own in ((_line_pixels, shapes[~is_round]), (_round_pixels, shapes[is_round])):
             for at in range(0, len(own), 2048):
-                x, y = pixels(own[at : at + 2048], low, high)
-                inside = (x >= low[0]) & (x <= high[0]) & (y >= low[1]) & (y <= high[1])
-                canvas[(y[inside] - low[1]).astype(np.int64), (x[inside] - low[0]).astype(np.int64)] = True
+                # A number below the box is a very large one without a sign.
+                x, y = ((v - o).astype(np.int64).view(np.uint64) for v, o in zip(pixels(own[at : at + 2048], low, high), low, strict=True))
+                inside = (x < side) & (y < side)
+                canvas.ravel()[(y * np.uint64(side) + x)[inside].view(np.int64)] = True
 
     def done(tile: tuple, canvas: np.ndarray, frames: list[dict], held: list[tuple]) -> None:
         page, tx, ty = tile
